@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canon, leaks, survivor, tokens, visual
+from . import canon, leaks, spam, survivor, tokens, visual
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,7 @@ def queries() -> dict[str, Query]:
         "p5_found": lambda s, d: survivor.found(table(s, d, "papers"), table(s, d, "dup_groups")),
         "p6_ids": lambda s, d: tokens.encode_column(table(s, d, "documents"), "doc_id", "text"),
         "p7_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
+        "p8_found": lambda s, d: spam.found(table(s, d, "documents")),
     }
 
 
