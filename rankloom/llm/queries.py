@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canon, leaks, spam, survivor, tokens, visual
+from . import canon, leaks, link, spam, survivor, tokens, visual
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +15,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "p1_found": lambda s, d: canon.found(table(s, d, "scores"), table(s, d, "datasets")),
+        "p2_found": lambda s, d: link.found(table(s, d, "papers"), table(s, d, "works"), table(s, d, "dup_groups")),
+        "p2_links": lambda s, d: link.link(table(s, d, "papers"), table(s, d, "works"), table(s, d, "dup_groups")),
         "p3_found": lambda s, d: visual.found(table(s, d, "papers")),
         "p3_keys": lambda s, d: visual.keys(table(s, d, "papers")),
         "p5_found": lambda s, d: survivor.found(table(s, d, "papers"), table(s, d, "dup_groups")),
