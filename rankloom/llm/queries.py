@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import canon, leaks, link, spam, survivor, tokens, visual
+from . import canon, leaks, link, neighbours, spam, survivor, tokens, visual
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,7 @@ def queries() -> dict[str, Query]:
         "p2_links": lambda s, d: link.link(table(s, d, "papers"), table(s, d, "works"), table(s, d, "dup_groups")),
         "p3_found": lambda s, d: visual.found(table(s, d, "papers")),
         "p3_keys": lambda s, d: visual.keys(table(s, d, "papers")),
+        "p4_found": lambda s, d: neighbours.found(table(s, d, "vecs")),
         "p5_found": lambda s, d: survivor.found(table(s, d, "papers"), table(s, d, "dup_groups")),
         "p6_ids": lambda s, d: tokens.encode_column(table(s, d, "documents"), "doc_id", "text"),
         "p7_found": lambda s, d: leaks.found(table(s, d, "documents"), table(s, d, "eval_items")),
