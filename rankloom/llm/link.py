@@ -1,8 +1,8 @@
 """Problem 2: records of two sources that describe the same paper, without a common key.
 
 A deterministic cascade of rules. Each rule is an exact join on a weaker combination of attributes than the one
-before (identifier and author, title and author, title and year, head of the title and author, rare words and
-author, authors and year, ...). Joined pairs are verified by comparing title words (spelling slips, line-break
+before (identifier with author or title word, title with author, title with year, title words with author, title
+words with year). Joined pairs are verified by comparing title words (spelling slips, line-break
 hyphens, cut titles, version remarks), authors' surnames and years; the works a rule resolves leave the cascade
 before the next. Each rule's confidence is the precision on its own pairs that identifiers can judge, smoothed.
 
@@ -21,12 +21,12 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .canon import edits
 from .common import cores, materialize
-from .visual import key
+from .visual import fold, key
 
 #: Prior of a rule's precision: so many right and wrong labels are added.
 RIGHT, WRONG = 4.0, 1.0
@@ -39,8 +39,10 @@ CUT = re.compile(r"(?:\.\.\.|…|\[\.\.\.\]|\(truncated\))\s*$")
 _WORD = re.compile(r"[^\W_]+")
 _LATEX = re.compile(r"\\[a-zA-Z]+\*?\s*(?=\{)|\\[a-zA-Z]+\s?|[{}$~^]")
 _TAG = re.compile(r"</?[a-zA-Z]{1,8}/?>")
+_LIST = re.compile(r"\s*[;|&]\s*|\s+and\s+")
+_NO_WORD = re.compile(r"\W")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s+(?=[^\W\d_])")
-RULES = ("doi", "arxiv", "title_author", "title_year", "title", "head_author", "words_author_year", "words_author", "authors_year", "words_year")
+RULES = ("doi", "arxiv", "title_author", "title_year", "words_author", "words_year")
 
 
 def unaccented(s: str) -> str:
@@ -65,13 +67,17 @@ def title_words(title: str | None) -> tuple[list[str], bool]:
 def surnames(authors: list[str | None] | None) -> list[str]:
     """Surnames in order; packed lists are split, 'et al.' and blanks dropped."""
     out: list[str] = []
-    for a in authors or ():
-        for x in re.split(r"\s*[;|&]\s*|\s+and\s+", a or ""):
-            y = unaccented(key(x)).strip(" .,")
+    if not authors:
+        return out
+    packed = unaccented(fold("\n".join(a for a in authors if a)).casefold())
+    for a in packed.split("\n"):
+        for x in _LIST.split(a) if ";" in a or "|" in a or "&" in a or " and " in a else (a,):
+            y = x.strip(" .,\t\r")
             if not y or y in ("et al", "others", "et alii", "anonymous", "unknown", "n/a"):
                 continue
             last = y.split(",")[0] if "," in y else (y.split()[-1] if not y.endswith(" et al") else y.split()[0])
-            last = re.sub(r"[^\w]", "", last)
+            if not last.isalnum():
+                last = _NO_WORD.sub("", last)
             if last:
                 out.append(last)
     return out
@@ -89,49 +95,57 @@ def arxiv_of(arxiv_id: str | None, doi: str | None, url: str | None = None) -> s
     return re.sub(r"v\d+$|\.pdf$", "", a)
 
 
-def keys_of(words: list[str], names: list[str], year: int | None, doi: str, arxiv: str, spread: bool) -> list[list[str]]:
-    """Join keys by rule. spread: the side whose keys also cover the years beside its own."""
-    whole = "".join(words)
-    first = names[0] if names else ""
-    long = sorted(set(words), key=lambda w: (-len(w), w))[:3]
-    years = [] if year is None else [year - 1, year, year + 1] if spread else [year]
-    marks = [f"@{first}"] * bool(first) + [f"#{w}" for w in long[:2]]
-    some_year = [str(y) for y in years]
-    pair = "".join(names[:2])
-    told = list(dict.fromkeys([*long[:2], *words[:1]]))
-    some = list(dict.fromkeys(names[:3]))
-    return [
-        [f"{doi}{m}" for m in marks] if doi else [],
-        [f"{arxiv}{m}" for m in marks] if arxiv else [],
-        [f"{whole}@{n}" for n in {first, *names[1:2]} if n] if whole else [],
-        [f"{whole}@{y}" for y in some_year] if len(words) > 1 else [],
-        [whole] if len(words) > 2 else [],
-        [f"{''.join(words[:3])}@{first}", f"{''.join(words[1:4])}@{first}"] if first and len(words) >= 3 else [],
-        [f"{w}@{n}@{y}" for w in told for n in some for y in some_year],
-        [f"{w}@{n}" for w in told for n in some],
-        [f"{pair}@{y}@{w[:1]}" for y in some_year for w in words[:1]] if pair else [],
-        [f"{w}@{words[0]}@{y}" for w in long[:2] for y in some_year if w != words[0]] + [f"{long[0]}@{words[-1]}@{y}" for y in some_year] if len(words) > 2 else [],
-    ]
-
-
-def features(df: DataFrame, id_col: str, spread: bool) -> DataFrame:
-    """(id, words, cut, names, year, doi, arxiv, keys): one row per record."""
+def features(df: DataFrame, id_col: str) -> DataFrame:
+    """(id, words, cut, names, year, doi, arxiv, long): one row per record; long: its longest words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for i, title, authors, year, doi, arxiv in zip(*(b.column(k).to_pylist() for k in range(6))):
                 words, cut = title_words(title)
-                names, d, a = surnames(authors), doi_of(doi), arxiv_of(arxiv, doi)
-                rows.append((i, words, cut, names, year, d, a, keys_of(words, names, year, d, a, spread)))
+                long = sorted(set(words), key=lambda w: (-len(w), w))[:2]
+                rows.append((i, words, cut, surnames(authors), year, doi_of(doi), arxiv_of(arxiv, doi), long))
             cols = list(zip(*rows)) or [()] * 8
-            kinds = [pa.int64(), pa.list_(pa.string()), pa.bool_(), pa.list_(pa.string()), pa.int32(), pa.string(), pa.string(), pa.list_(pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["id", "words", "cut", "names", "year", "doi", "arxiv", "keys"])
+            texts = pa.list_(pa.string())
+            kinds = [pa.int64(), texts, pa.bool_(), texts, pa.int32(), pa.string(), pa.string(), texts]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["id", "words", "cut", "names", "year", "doi", "arxiv", "long"])
 
     src = df.select(F.col(id_col).cast("long"), "title", "authors", F.col("year").cast("int"), "doi", "arxiv_id")
     if src.rdd.getNumPartitions() < cores(df.sparkSession):
         src = src.repartition(2 * cores(df.sparkSession))
-    return src.mapInArrow(run, "id long, words array<string>, cut boolean, names array<string>, year int, doi string, arxiv string, keys array<array<string>>")
+    return src.mapInArrow(run, "id long, words array<string>, cut boolean, names array<string>, year int, doi string, arxiv string, long array<string>")
+
+
+def rule_keys(rule: str, spread: bool) -> Column:
+    """The (hashed) join keys of a record by one rule. spread: the side whose keys cover the years beside its own.
+
+    The other side also has a key for any year, which records without a year use, and both have one for no year.
+    """
+    first = F.slice("names", 1, 1)
+    some = F.array_distinct(F.slice("names", 1, 3))
+    told = F.array_distinct(F.concat("long", F.slice("words", 1, 1)))
+    whole = F.array_join("words", "")
+    y = F.col("year")
+    if spread:
+        years = F.when(y.isNull(), F.array(F.lit("any"), F.lit("none"))).otherwise(F.array(*((y + d).cast("string") for d in (-1, 0, 1)), F.lit("none")))
+    else:
+        years = F.when(y.isNull(), F.array(F.lit("none"), F.lit("any"))).otherwise(F.array(y.cast("string"), F.lit("any")))
+
+    def both(a: Column, b: Column) -> Column:
+        return F.flatten(F.transform(a, lambda x: F.transform(b, lambda z: F.xxhash64(F.lit(rule), x, z))))
+
+    if rule in ("doi", "arxiv"):
+        marks = F.concat(F.transform(first, lambda n: F.concat(F.lit("@"), n)), F.col("long"))
+        keys = F.when(F.col(rule) != "", both(F.array(F.col(rule)), marks))
+    elif rule == "title_author":
+        keys = F.when(whole != "", both(F.array(whole), F.array_distinct(F.slice("names", 1, 2))))
+    elif rule == "title_year":
+        keys = F.when(F.size("words") > 1, both(F.array(whole), years))
+    elif rule == "words_author":
+        keys = both(both(told, some), years)
+    else:
+        keys = F.when(F.size("words") > 2, both(F.array(F.array_join("long", "+"), F.concat(F.get("long", F.lit(0)), F.element_at("words", 1), F.element_at("words", -1))), years))
+    return F.array_distinct(F.coalesce(keys, F.array().cast("array<bigint>")))
 
 
 def _alike(a: str, b: str) -> bool:
@@ -223,15 +237,15 @@ def verdict(p: dict, w: dict) -> float:
     return title + 0.3 * (names == 2) + 0.1 * (known and gap == 0) + 0.05 * (known and gap == 1) + 0.3 * same_id
 
 
-def _verify(pairs: DataFrame) -> DataFrame:
-    """(work, entity, fit, sure) of the joined pairs that fit."""
+def _verify(pairs: DataFrame, every: bool) -> DataFrame:
+    """(work, entity, fit, sure) of the joined pairs that fit, or of every one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[tuple] = []
             for work, entity, p, w in zip(*(b.column(k).to_pylist() for k in range(4))):
                 fit = verdict(p, w)
-                if fit:
+                if fit or every:
                     sure = bool(p["names"] and w["names"]) and (w["year"] is not None or title_relation(p["words"], w["words"], p["cut"], w["cut"]) >= 0.5)
                     out.append((work, entity, fit, sure))
             cols = list(zip(*out)) or [()] * 4
@@ -254,12 +268,10 @@ def link(papers: DataFrame, works: DataFrame, groups: DataFrame | None = None) -
     """(rec_id, work_id, rule, confidence): all pairs of a papers record and a works record of one paper."""
     fields: list[str] = ["words", "cut", "names", "year", "doi", "arxiv"]
     member = materialize(entities(papers, groups), "entities")
-    left = features(papers, "rec_id", False).join(member, F.col("id") == F.col("rec_id"))
+    left = features(papers, "rec_id").join(member, F.col("id") == F.col("rec_id"))
     # different spellings of one paper; copies fall together here
-    left = materialize(left.groupBy("entity", *fields).agg(F.first("keys").alias("keys")), "papers")
-    right = materialize(features(works, "work_id", True).dropDuplicates(["id"]), "works")
-    p: Column = F.struct(*fields).alias("p")
-    w: Column = F.struct(*fields).alias("w")
+    left = materialize(left.groupBy("entity", *fields).agg(F.min("id").alias("sig"), F.first("long").alias("long")), "papers")
+    right = materialize(features(works, "work_id").dropDuplicates(["id"]), "works")
     resolved: DataFrame | None = None
     truth: DataFrame | None = None
     counts: list[DataFrame] = []
@@ -271,31 +283,29 @@ def link(papers: DataFrame, works: DataFrame, groups: DataFrame | None = None) -
             truth = truth if truth is not None else materialize(resolved.select("work", F.col("entity").alias("true")), "labels")
             known = right.join(truth.select(F.col("work").alias("id")).distinct(), "id", "left_semi")
             candidates = candidates.unionByName(known)
-        a = left.select("entity", p, F.explode(F.array_distinct(F.element_at("keys", n + 1))).alias("key"))
-        b = candidates.select(F.col("id").alias("work"), w, F.explode(F.array_distinct(F.element_at("keys", n + 1))).alias("key"))
-        pairs = b.join(a, "key").select("work", "entity", "p", "w").dropDuplicates(["work", "entity", "p"])
-        fits = _verify(pairs).groupBy("work", "entity").agg(F.max("fit").alias("fit"), F.max("sure").alias("sure"))
-        stats = fits.groupBy("work").agg(F.max("fit").alias("best"))
-        top = fits.join(stats, "work").where(F.col("fit") >= F.col("best") - 1e-9)
+        a = left.select("sig", F.explode(rule_keys(rule, False)).alias("key"))
+        b = candidates.select("id", F.explode(rule_keys(rule, True)).alias("key"))
+        pairs = b.join(a, "key").select("sig", "id").distinct()
+        pairs = pairs.join(left.select("sig", "entity", F.struct(*fields).alias("p")), "sig")
+        pairs = pairs.join(right.select("id", F.struct(*fields).alias("w")), "id").select(F.col("id").alias("work"), "entity", "p", "w")
+        fits = _verify(pairs, by_id).groupBy("work", "entity").agg(F.max("fit").alias("fit"), F.max("sure").alias("sure"))
+        own = Window.partitionBy("work")
         # where authors or years are silent, two papers that fit equally well decide nothing
-        alone = top.groupBy("work").agg((F.count("*") == 1).alias("alone"))
-        top = top.join(alone, "work").where(F.col("sure") | F.col("alone")).select("work", "entity", F.lit(rule).alias("rule"))
-        top = materialize(top, f"rule-{rule}")
+        best = fits.withColumn("best", F.max("fit").over(own)).withColumn("ties", F.count_if(F.col("fit") >= F.col("best") - 1e-9).over(own))
+        wins = (F.col("fit") > 0) & (F.col("fit") >= F.col("best") - 1e-9) & (F.col("sure") | (F.col("ties") == 1))
+        judged = materialize(best.select("work", "entity", F.lit(rule).alias("rule"), wins.alias("wins")), f"rule-{rule}")
+        top = judged.where("wins").select("work", "entity", "rule")
         if by_id:  # titles and authors judge identifiers
-            raw = pairs.select("work", "entity").distinct().select(F.lit(rule).alias("rule"), F.lit(1).alias("n"), F.lit(0).alias("right"))
-            counts += [raw, top.select("rule", F.lit(0).alias("n"), F.lit(1).alias("right"))]
+            counts.append(judged.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("wins").alias("right")))
             fresh = top
         else:
-            judged = top.join(truth, "work").groupBy("rule", "work", "entity").agg(F.max((F.col("entity") == F.col("true")).cast("int")).alias("right"))
-            counts.append(judged.select("rule", F.lit(1).alias("n"), "right"))
-            fresh = top.join(done.withColumnRenamed("id", "work"), "work", "left_anti")
+            told = top.join(truth, "work").groupBy("rule", "work", "entity").agg(F.max(F.col("entity") == F.col("true")).alias("right"))
+            counts.append(told.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("right").alias("right")))
+            fresh = materialize(top.join(done.withColumnRenamed("id", "work"), "work", "left_anti"), f"fresh-{rule}")
         resolved = fresh if resolved is None else resolved.unionByName(fresh)
-    judged = counts[0]
-    for c in counts[1:]:
-        judged = judged.unionByName(c)
-    rate = judged.groupBy("rule").agg(((F.sum("right") + RIGHT) / (F.sum("n") + RIGHT + WRONG)).alias("confidence"))
-    prior = F.lit(RIGHT / (RIGHT + WRONG))
-    scored = resolved.join(F.broadcast(rate), "rule", "left").withColumn("confidence", F.coalesce("confidence", prior))  # one row per rule
+    rates = {r["rule"]: (r["right"] + RIGHT) / (r["n"] + RIGHT + WRONG) for c in counts for r in c.collect()}  # one row per rule
+    rate = F.coalesce(*(F.when(F.col("rule") == r, F.lit(float(rates.get(r, RIGHT / (RIGHT + WRONG))))) for r in RULES))
+    scored = resolved.withColumn("confidence", rate)
     return scored.join(member, "entity").groupBy("rec_id", F.col("work").alias("work_id")).agg(
         F.max_by("rule", "confidence").alias("rule"), F.max("confidence").alias("confidence")
     )
