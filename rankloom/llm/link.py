@@ -2,7 +2,7 @@
 
 A deterministic cascade of rules. Each rule is an exact join on a weaker combination of attributes than the one
 before (identifier with author or title word, title with author, title with year, title words with author, title
-words with year). Joined pairs are verified by comparing title words (spelling slips, line-break
+without any one of its words). Joined pairs are verified by comparing title words (spelling slips, line-break
 hyphens, cut titles, version remarks), authors' surnames and years; the works a rule resolves leave the cascade
 before the next. Each rule's confidence is the precision on its own pairs that identifiers can judge, smoothed.
 
@@ -42,7 +42,7 @@ _TAG = re.compile(r"</?[a-zA-Z]{1,8}/?>")
 _LIST = re.compile(r"\s*[;|&]\s*|\s+and\s+")
 _NO_WORD = re.compile(r"\W")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s+(?=[^\W\d_])")
-RULES = ("doi", "arxiv", "title_author", "title_year", "words_author", "words_year")
+RULES = ("doi", "arxiv", "title_author", "title_year", "words_author", "title_but_one")
 
 
 def unaccented(s: str) -> str:
@@ -143,8 +143,9 @@ def rule_keys(rule: str, spread: bool) -> Column:
         keys = F.when(F.size("words") > 1, both(F.array(whole), years))
     elif rule == "words_author":
         keys = both(both(told, some), years)
-    else:
-        keys = F.when(F.size("words") > 2, both(F.array(F.array_join("long", "+"), F.concat(F.get("long", F.lit(0)), F.element_at("words", 1), F.element_at("words", -1))), years))
+    else:  # titles that differ in one word: both without it
+        but = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.xxhash64(F.lit(rule), F.array_join(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words"))), "")))
+        keys = F.when(F.size("words") > 3, F.concat(but, F.array(F.xxhash64(F.lit(rule), whole))))
     return F.array_distinct(F.coalesce(keys, F.array().cast("array<bigint>")))
 
 
