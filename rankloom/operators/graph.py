@@ -20,8 +20,8 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = K, floor: float = FLOO
     """
     nq = max(1, -(-queries.count() // block))
     nb = max(1, -(-base.count() // block))
-    q = queries.select("id", "vec", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(nq)).alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"))
-    b = base.select("id", "vec", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).cast("long").alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bb"))
+    q = queries.select("id", "vec", F.lit(True).alias("asks"), F.pmod(F.xxhash64("id"), F.lit(nq)).cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(nb - 1))).alias("bb"))
+    b = base.select("id", "vec", F.lit(False).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(nq - 1))).alias("qb"), F.pmod(F.xxhash64("id"), F.lit(nb)).cast("int").alias("bb"))
 
     def match(t: pa.Table) -> pa.Table:
         asks = np.array(t["asks"].to_pylist(), dtype=bool)
@@ -46,7 +46,7 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = K, floor: float = FLOO
             sim.append(s[r, top[r, c]])
         return pa.table([np.concatenate(src), np.concatenate(dst), np.concatenate(sim)], schema=out)
 
-    hits = q.unionByName(b.withColumn("qb", F.col("qb").cast("long"))).groupBy("qb", "bb").applyInArrow(match, "src long, dst long, sim double")
+    hits = q.unionByName(b).groupBy("qb", "bb").applyInArrow(match, "src long, dst long, sim double")
     best = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return hits.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
 
