@@ -30,6 +30,8 @@ from .visual import fold, key
 
 #: Prior of a rule's precision: so many right and wrong labels are added.
 RIGHT, WRONG = 4.0, 1.0
+#: Distinct titles or author lists that a worker remembers.
+CACHE = 100_000
 # Small words, remarks on the version of a text, endings of titles that make another paper.
 SMALL = frozenset("a an the of for in on with using by via to and from is are at as under through".split())
 REMARKS = re.compile(
@@ -99,12 +101,23 @@ def features(df: DataFrame, id_col: str) -> DataFrame:
     """(id, words, cut, names, year, doi, arxiv, long): one row per record; long: its longest words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        titles: dict[str | None, tuple[list[str], bool, list[str]]] = {}
+        people: dict[tuple[str | None, ...], list[str]] = {}  # copies of a record repeat both
         for b in batches:
             rows = []
+            if len(titles) > CACHE or len(people) > CACHE:
+                titles.clear()
+                people.clear()
             for i, title, authors, year, doi, arxiv in zip(*(b.column(k).to_pylist() for k in range(6))):
-                words, cut = title_words(title)
-                long = sorted(set(words), key=lambda w: (-len(w), w))[:2]
-                rows.append((i, words, cut, surnames(authors), year, doi_of(doi), arxiv_of(arxiv, doi), long))
+                known = titles.get(title)
+                if known is None:
+                    words, cut = title_words(title)
+                    known = titles[title] = (words, cut, sorted(set(words), key=lambda w: (-len(w), w))[:2])
+                who = tuple(authors or ())
+                names = people.get(who)
+                if names is None:
+                    names = people[who] = surnames(authors)
+                rows.append((i, known[0], known[1], names, year, doi_of(doi), arxiv_of(arxiv, doi), known[2]))
             cols = list(zip(*rows)) or [()] * 8
             texts = pa.list_(pa.string())
             kinds = [pa.int64(), texts, pa.bool_(), texts, pa.int32(), pa.string(), pa.string(), texts]
@@ -215,27 +228,29 @@ def name_relation(a: list[str], b: list[str]) -> int:
     return 2 if met * 3 >= len(small) * 2 else 0
 
 
-def verdict(p: dict, w: dict) -> float:
-    """How well two records fit as one paper; 0 if they don't."""
-    same_id = bool(p["doi"] and p["doi"] == w["doi"] or p["arxiv"] and p["arxiv"] == w["arxiv"])
-    title = title_relation(p["words"], w["words"], p["cut"], w["cut"])
-    names = name_relation(p["names"], w["names"])
+def verdict(p: dict, w: dict) -> tuple[float, float]:
+    """How well two records fit as one paper (0 if they don't), and how their titles do."""
     known = p["year"] is not None and w["year"] is not None
     gap = abs(p["year"] - w["year"]) if known else 0
+    if gap > 2:
+        return 0.0, 0.0
+    names = name_relation(p["names"], w["names"])
     if names == 0:
-        return 0.0
+        return 0.0, 0.0
+    same_id = bool(p["doi"] and p["doi"] == w["doi"] or p["arxiv"] and p["arxiv"] == w["arxiv"])
     if not p["words"] or not w["words"]:
-        return 0.7 if same_id and names == 2 and gap <= 1 else 0.0
+        return (0.7 if same_id and names == 2 and gap <= 1 else 0.0), 0.0
+    title = title_relation(p["words"], w["words"], p["cut"], w["cut"])
     if title == 0.0 or gap > (2 if same_id and title >= 0.8 else 1):
-        return 0.0
+        return 0.0, title
     if title < 0.8:  # a cut title fits its sequels as well
         if names < 2 and not same_id:
-            return 0.0
+            return 0.0, title
         if title == 0.5 and not (known or same_id):
-            return 0.0
+            return 0.0, title
         if title < 0.5 and names < 2:
-            return 0.0
-    return title + 0.3 * (names == 2) + 0.1 * (known and gap == 0) + 0.05 * (known and gap == 1) + 0.3 * same_id
+            return 0.0, title
+    return title + 0.3 * (names == 2) + 0.1 * (known and gap == 0) + 0.05 * (known and gap == 1) + 0.3 * same_id, title
 
 
 def _verify(pairs: DataFrame, every: bool) -> DataFrame:
@@ -245,9 +260,9 @@ def _verify(pairs: DataFrame, every: bool) -> DataFrame:
         for b in batches:
             out: list[tuple] = []
             for work, entity, p, w in zip(*(b.column(k).to_pylist() for k in range(4))):
-                fit = verdict(p, w)
+                fit, title = verdict(p, w)
                 if fit or every:
-                    sure = bool(p["names"] and w["names"]) and (w["year"] is not None or title_relation(p["words"], w["words"], p["cut"], w["cut"]) >= 0.5)
+                    sure = bool(p["names"] and w["names"]) and (w["year"] is not None or title >= 0.5)
                     out.append((work, entity, fit, sure))
             cols = list(zip(*out)) or [()] * 4
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
