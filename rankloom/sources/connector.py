@@ -1,4 +1,4 @@
-"""A data source of saved or fetched answers: pages per partition, retries with backoff, filter pushdown."""
+"""A data source of saved or fetched answers: pages per partition, retries with backoff, bounds applied by the reader."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import time
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThanOrEqual, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 RETRY = (429, 500, 502, 503)
 
@@ -52,17 +52,13 @@ class _Page(InputPartition):
 
 
 class _Reader(DataSourceReader):
-    def __init__(self, options: dict) -> None:
-        self.root, self.min_year, self.field = options.get("path", ""), None, None
-        self.limit = int(options.get("limit", 0))
+    """Bounds come as options, not as pushed filters: this version of Spark keeps a reader, and with it the filters
+    of one query, for all later queries of the same frame."""
 
-    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
-        for f in filters:
-            if isinstance(f, GreaterThanOrEqual) and f.attribute == ("year",):
-                self.min_year = int(f.value)
-            elif isinstance(f, EqualTo) and f.attribute == ("field",):
-                self.field = str(f.value)
-            yield f  # checked again by the engine
+    def __init__(self, options: dict) -> None:
+        self.root, self.limit = options.get("path", ""), int(options.get("limit", 0))
+        self.min_year = int(options["min_year"]) if "min_year" in options else None
+        self.field = options.get("field")
 
     def partitions(self) -> list[InputPartition]:
         pages = sorted(Path(self.root).glob("*.json"))
@@ -86,7 +82,7 @@ class _Reader(DataSourceReader):
 
 
 class SavedAnswers(DataSource):
-    """format("saved_answers"): JSON pages <field>-<n>.json of records; year >= and field = reach the reader."""
+    """format("saved_answers"): JSON pages <field>-<n>.json of records; options min_year, field and limit (per page)."""
 
     @classmethod
     def name(cls) -> str:
