@@ -41,6 +41,7 @@ CUT = re.compile(r"(?:\.\.\.|…|\[\.\.\.\]|\(truncated\))\s*$")
 _WORD = re.compile(r"[^\W_]+")
 _LATEX = re.compile(r"\\[a-zA-Z]+\*?\s*(?=\{)|\\[a-zA-Z]+\s?|[{}$~^]")
 _TAG = re.compile(r"</?[a-zA-Z]{1,8}/?>")
+_MARK = re.compile("[\u0300-\u036f]")
 _LIST = re.compile(r"\s*[;|&]\s*|\s+and\s+")
 _NO_WORD = re.compile(r"\W")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-\s+(?=[^\W\d_])")
@@ -48,7 +49,7 @@ RULES = ("doi", "arxiv", "title_author", "title_year", "words_author", "title_bu
 
 
 def unaccented(s: str) -> str:
-    return s if s.isascii() else "".join(c for c in unicodedata.normalize("NFD", s) if not unicodedata.combining(c))
+    return s if s.isascii() else _MARK.sub("", unicodedata.normalize("NFD", s))
 
 
 def title_words(title: str | None) -> tuple[list[str], bool]:

@@ -29,10 +29,12 @@ GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικυτχ", "ABE
 LATIN_LIKE = CYRILLIC_AS_LATIN | GREEK_AS_LATIN
 #: Look-alikes so close that a whole word made of them, amid Latin text, is read as Latin.
 EXACT = set("АВЕЅІЈКМНОРСТХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΧο")
-HYPHENS = {"‐": "-", "‑": "-", "­": ""}
+HYPHENS = "‐‑"
 #: Decompositions that change the look: superscripts, fractions, circled signs. They are symbols in their place.
 SYMBOL_TAGS = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<small>")
 
+_HYPHEN = re.compile("[‐‑]")
+_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 # Default-ignorable code points: Cf and fillers, variation selectors, tags, Mongolian separators, combining grapheme joiner.
 _IGNORABLE = re.compile(
@@ -69,17 +71,20 @@ def fold(s: str) -> str:
     """The visible form of s; case and plain spacing stay."""
     if s.isascii():
         return s
-    t = _IGNORABLE.sub("", s)
-    t = _SPACES.sub(" ", t)
-    t = unicodedata.normalize("NFKC", "".join(HYPHENS.get(c, c) for c in t))
-    t = _IGNORABLE.sub("", _SPACES.sub(" ", t))
-    if not t.isascii():
-        latin = sum(1 for c in t if c.isalpha() and _script(c) == "latin")
-        letters = sum(1 for c in t if c.isalpha())
-        t = _WORD.sub(lambda m: _word(m, 2 * latin >= letters), t)
+    t = _HYPHEN.sub("-", _SPACES.sub(" ", _IGNORABLE.sub("", s)))
+    if not unicodedata.is_normalized("NFKC", t):
+        t = _IGNORABLE.sub("", _SPACES.sub(" ", unicodedata.normalize("NFKC", t)))
+    if _FOREIGN.search(t):
+        latin = _mostly_latin(t)
+        t = _WORD.sub(lambda m: _word(m, latin), t)
     return t
 
 
+def _mostly_latin(s: str) -> bool:
+    letters = [c for c in s if c.isalpha()]
+    return 2 * sum(1 for c in letters if _script(c) == "latin") >= len(letters)
+
+
 def key(s: str) -> str:
     """The form that compares equal: visible form, full case folding, collapsed spacing."""
     t = fold(s).casefold()
@@ -94,16 +99,15 @@ def is_case(s: str) -> bool:
         return False
     if _IGNORABLE.search(s) or _SPACES.search(s) or unicodedata.normalize("NFC", s) != s:
         return True
-    plain = []
-    for c in s:
+    for c in set(s):
         if ord(c) > 126:
             d = unicodedata.decomposition(c)
             if c in HYPHENS or (d.startswith("<") and not d.startswith(SYMBOL_TAGS) and not _looks_other(c, d)):
                 return True
-        plain.append(c)
-    latin = sum(1 for c in s if c.isalpha() and _script(c) == "latin")
-    letters = sum(1 for c in s if c.isalpha())
-    return _WORD.sub(lambda m: _word(m, 2 * latin >= letters), s) != s
+    if not _FOREIGN.search(s):
+        return False
+    latin = _mostly_latin(s)
+    return _WORD.sub(lambda m: _word(m, latin), s) != s
 
 
 def _looks_other(c: str, d: str) -> bool:
