@@ -70,7 +70,7 @@ def edits(a: str, b: str, most: int) -> int:
         s += 1
     a, b, la, lb = a[s:la], b[s:lb], la - s, lb - s
     if not la or not lb:
-        return la + lb
+        return min(la + lb, most + 1)
     before, row = None, list(range(lb + 1))
     for i in range(1, la + 1):
         cur, best = [i] + [0] * lb, i
@@ -84,7 +84,7 @@ def edits(a: str, b: str, most: int) -> int:
         if best > most:
             return most + 1
         before, row = row, cur
-    return row[lb]
+    return min(row[lb], most + 1)
 
 
 def allowed(n: int, more: int = 0) -> int:

@@ -34,6 +34,8 @@ HEAD_SHARE = 0.25
 LANGUAGES = 64
 #: A language needs this part of all pages to have a head of its own.
 LANGUAGE_SHARE = 0.005
+#: A language needs so many pages; a word that makes up a larger part of a page is that page's keyword, not its grammar.
+LANGUAGE_PAGES, KEYWORD_SHARE = 5, 0.15
 #: Deviations (in scaled median deviations) from which a curve is extreme.
 EXTREME = 2.5
 #: Words without a function word that a sentence may hold, and those of them counted to the sentences around.
@@ -142,11 +144,12 @@ def language_heads(pages: DataFrame) -> dict[str, list[str]]:
     """The words that head each language's rank list, by the part of its pages that hold them."""
     sizes = pages.where(F.col("lang") != "").groupBy("lang").agg(F.count("*").alias("pages"))
     total = sizes.agg(F.sum("pages")).first()[0] or 0
-    main = sizes.where(F.col("pages") >= F.lit(LANGUAGE_SHARE * total)).orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
+    main = sizes.where(F.col("pages") >= F.lit(max(LANGUAGE_PAGES, LANGUAGE_SHARE * total))).orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
     main = {r["lang"]: r["pages"] for r in main.collect()}  # at most LANGUAGES rows
     if not main:
         return {}
-    df = pages.where(F.col("lang").isin(list(main))).select("lang", F.explode("words").alias("word")).groupBy("lang", "word").count()
+    rows = pages.where(F.col("lang").isin(list(main))).select("lang", "n", F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
+    df = rows.where(F.col("c") <= F.greatest(F.lit(2), F.col("n") * KEYWORD_SHARE)).groupBy("lang", "word").count()
     top = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
     heads: dict[str, list[str]] = {}
     for r in df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= HEAD).orderBy("lang", "rank").collect():
