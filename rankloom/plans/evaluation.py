@@ -139,7 +139,7 @@ def cv_report(s: SparkSession, d: str) -> DataFrame:
 def prompt(s: SparkSession, d: str) -> DataFrame:
     """The ranking request of each search; a search's candidates are bounded by what its sources give."""
     p = P.pool(s, d)
-    rows = F.array_sort(F.collect_list(F.struct("pos", "title", "abstract", (F.col("code_url") != "").alias("has_code"))))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "title", "abstract", "year", "venue", "source", "citations", "code_url", "code_official", "code_framework", "stars")))
     g = p.groupBy("search_id").agg(rows.alias("rows"), F.count("*").alias("n"))
     none = F.array().cast("array<string>")
     body = ai.prompt(ai.listing(F.col("rows"), F.lit(120)), F.col("search_id"), F.lit("graphs"), none, none)
@@ -248,7 +248,7 @@ ORACLE = {
     "cache_evict": f"select id from (select *, sum(bytes) over (order by t desc, id rows between unbounded preceding and current row) run, row_number() over (order by t desc, id) rn from {_CF}) where run<=2097152 or rn=1",
     "structured_features": f"""{P.POOL} select score_id, round(coalesce(score/10,0),6) f0, round(coalesce(recruiter/10,0),6) f1, case when score is not null then 1.0 else 0.0 end f2, case when code_url<>'' then 1.0 else 0.0 end f3, round(ln(1+n_datasets),6) f4, round(ln(1+greatest(0,citations::bigint)),6) f5, case when needs_gpu then 1.0 else 0.0 end f6 from pool""",
     "answers_parsed": "select search_id, count(*) answers, round(sum(relevance),6) relevance from scores group by 1",
-    "prompt": f"""{P.POOL}, o as (select search_id, string_agg('['||pos||'] '||title||case when code_url<>'' then ' (code available)' else '' end||chr(10)||substr(abstract,1,120), chr(10)||chr(10) order by pos) l from pool group by 1),
+    "prompt": f"""{P.POOL}, o as (select search_id, string_agg('['||pos||'] '||title||' ('||coalesce(year::varchar,'None')||', '||case when venue<>'' then venue else source end||', '||citations||' citations, '||case when code_url='' then 'no public code' else concat_ws(', ', case when code_official then 'official code' else 'public code' end, case when code_framework<>'' then code_framework end, case when stars>0 then stars||' GitHub stars' end) end||')'||chr(10)||substr(abstract,1,120), chr(10)||chr(10) order by pos) l from pool group by 1),
       b as (select search_id, 'Interests:'||chr(10)||'graphs'||chr(10)||chr(10)||'Query: '||search_id||chr(10)||chr(10)||'Candidates:'||chr(10)||l t from o) select search_id, sha1(t) hash, floor(length(t)/3.5)::int tokens from b""",
     "windowed_stream": "select epoch_us(time_bucket(interval '5 minutes', ts)) start_us, event_type, count(*) n, round(sum(value),2) total from events group by 1,2",
     "blend_order": """with pool as (select *, field search_id, len(datasets) n_datasets from papers where coalesce(title,'')<>''), rg as (select *, coalesce(min(similarity) over (partition by field),0) lo, coalesce(max(similarity) over (partition by field),1) hi from pool), sg as (select *, 10*(similarity-lo)/greatest(1e-9,hi-lo) sim10, 10*preference pref10 from rg),

@@ -20,7 +20,7 @@ def pool(spark: SparkSession, d: str) -> DataFrame:
     s = cleaned_scores(table(spark, d, "scores")).withColumn("pos", F.row_number().over(order) - 1)
     s = s.select("search_id", "pos", "score_id", "rec_id", F.col("relevance").alias("score"), "recruiter", "datasets", "needs_gpu", "scored_at")
     p = table(spark, d, "papers").select(
-        "rec_id", text("title").alias("title"), text("abstract").alias("abstract"), "year", F.coalesce("citations", F.lit(0)).alias("citations"), "source", text("code_url").alias("code_url"), "similarity", "preference", key().alias("paper_key"),
+        "rec_id", text("title").alias("title"), text("abstract").alias("abstract"), "year", F.coalesce("citations", F.lit(0)).alias("citations"), F.coalesce("source", F.lit("")).alias("source"), text("venue").alias("venue"), F.coalesce("stars", F.lit(0)).alias("stars"), F.coalesce("code_official", F.lit(False)).alias("code_official"), text("code_framework").alias("code_framework"), text("code_url").alias("code_url"), "similarity", "preference", key().alias("paper_key"),
     )
     j = s.join(p, "rec_id")
     t = F.min(F.unix_micros(F.col("scored_at").cast("timestamp"))).over(Window.partitionBy("search_id"))
@@ -55,7 +55,7 @@ sc as (select *, row_number() over (partition by search_id order by idx nulls la
 sd as (select *, (list_filter(cl, lambda x, i: list_position(list_transform(cl, lambda y: lower(y)), lower(x)) = i))[1:12] ds from sc),
 pool as (select sd.search_id, pos, score_id, sd.rec_id, case when relevance is not null then least(10.0,greatest(0.0,relevance)) end score,
  case when sd.recruiter is not null then least(10.0,greatest(0.0,sd.recruiter)) end recruiter, ds datasets, len(ds) n_datasets, sd.needs_gpu, coalesce(title,'') title, coalesce(abstract,'') abstract,
- year, coalesce(citations,0) citations, source, coalesce(code_url,'') code_url, similarity, preference, paper_key, relevance is not null shortlisted,
+ year, coalesce(citations,0) citations, coalesce(source,'') source, coalesce(venue,'') venue, coalesce(stars,0) stars, coalesce(code_official,false) code_official, coalesce(code_framework,'') code_framework, coalesce(code_url,'') code_url, similarity, preference, paper_key, relevance is not null shortlisted,
  min(epoch_us(scored_at)) over (partition by sd.search_id) "time" from sd join pk on sd.rec_id=pk.rec_id)"""
 )
 LIB = """

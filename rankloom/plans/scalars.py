@@ -86,7 +86,7 @@ def signal_lights(s: SparkSession, d: str) -> DataFrame:
 
 
 def masked(s: SparkSession, d: str) -> DataFrame:
-    return text.mask_private(table(s, d, "papers")).select("rec_id", "preference", "recruiter", "reason", "score", "similarity")
+    return text.mask_private(table(s, d, "papers")).select("rec_id", "preference", "recruiter", "recruiter_reason", "needs_gpu", "score", "similarity")
 
 
 def trimmed(s: SparkSession, d: str) -> DataFrame:
@@ -146,10 +146,10 @@ ORACLE = {
     "clean_datasets": P.POOL.split("pool as (")[0].rstrip().rstrip(",") + " select score_id, array_to_string(ds,'|') \"names\", case when relevance is not null then least(10.0,greatest(0.0,relevance)) end relevance, case when recruiter is not null then least(10.0,greatest(0.0,recruiter)) end recruiter from sd",
     "inverted_index": r"select item_id, array_to_string(l,' ') text, len(list_distinct(l))::int words from (select item_id, list_filter(regexp_split_to_array(coalesce(text,''),'\s+'), lambda w: w<>'') l from eval_items)",
     "model_json": "select event_id, (json_extract(props,'$.k'))::bigint k from events",
-    "error_classes": """select event_id, c class, 'source '||case c when 'timeout' then 'took too long' when 'rate_limit' then 'asks to wait (429)' when 'http_error' then 'answered 503' when 'network' then 'can''t be reached' else 'sent an answer that can''t be read' end message
+    "error_classes": """select event_id, c class, 'source '||case c when 'timeout' then 'timed out' when 'rate_limit' then 'rate limited, try again in a minute' when 'http_error' then 'HTTP 503' when 'network' then 'couldn''t connect' else 'unexpected response' end message
       from (select event_id, case event_type when 'error' then 'timeout' when 'purchase' then 'rate_limit' when 'click' then 'http_error' when 'view' then 'network' else 'bad_response' end c from events)""",
     "signal_lights": P.POOL + " select score_id, n_datasets>=2 many_datasets, coalesce(recruiter>=7,false) recruiter_pick, coalesce(similarity>=0.8,false) very_similar, coalesce(preference>=0.5,false) likely_liked from pool",
-    "masked": "select rec_id, null::double preference, null::double recruiter, '' reason, null::double score, similarity from papers",
+    "masked": "select rec_id, null::double preference, null::double recruiter, '' recruiter_reason, null::boolean needs_gpu, score, null::double similarity from papers",
     "trimmed": "select rec_id, substr(coalesce(title,''),1,500) title, length(substr(coalesce(abstract,''),1,4000))::int size, year from papers",
     "prompt_budget": P.POOL + " select search_id, greatest(200, least(1200, trunc((8000-(150*n+1000)-base)*3.5/n)::int))::int chars from (select search_id, count(*) n, sum(floor(length(title)/3.5)) base from pool group by 1)",
     "rewrite_ok": r"""select rec_id, t<>'' and len(string_split(t,' ')) between 1 and 8 ok, array_to_string(list_transform(au[1:3], lambda x: x),', ')||case when len(au)>3 then ' et al.' else '' end line

@@ -12,14 +12,15 @@ from ..functions.ids import ARXIV_PAGE
 from ..functions.text import collapse, invert_index
 
 # Words that a query to the preprint source leaves out.
-STOPWORDS = frozenset("a an and are as at by for from in is of on or the to with".split())
+STOPWORDS = frozenset("a an and the of in on for to with by from via or is are".split())
+HUB_PAGE, PDF_PAGE = "https://huggingface.co/papers/", "https://arxiv.org/pdf/"
 ATOM = "id string, title string, summary string, published string, author array<struct<name:string>>"
 HUB = "paper struct<id:string, title:string, summary:string, authors:array<struct<name:string>>, publishedAt:string, githubRepo:string, githubStars:int, upvotes:int, ai_summary:string>"
 WORK = (
     "id string, title string, doi string, publication_year int, cited_by_count int, abstract_inverted_index map<string,array<int>>, authorships array<struct<author:struct<display_name:string>>>,"
-    " primary_location struct<source:struct<display_name:string>, landing_page_url:string, pdf_url:string>, ids struct<openalex:string>"
+    " primary_location struct<source:struct<display_name:string>>, best_oa_location struct<pdf_url:string>"
 )
-RECORD = ("title", "abstract", "authors", "year", "venue", "doi", "arxiv_id", "url", "pdf_url", "citations", "source", "code_url", "stars", "upvotes", "tldr")
+RECORD = ("title", "abstract", "authors", "year", "venue", "doi", "arxiv_id", "url", "pdf_url", "citations", "source", "field", "code_url", "stars", "upvotes", "tldr")
 
 
 def preprint_query(query: str, categories: list[str]) -> str:
@@ -27,7 +28,7 @@ def preprint_query(query: str, categories: list[str]) -> str:
     if not categories:
         return ""
     words = re.findall(r"[\w-]+", query.lower())
-    words = [w for w in words if w not in STOPWORDS] or [query.lower().strip()]
+    words = [w for w in words if w not in STOPWORDS] or [query]
     return " AND ".join(f"all:{w}" for w in words) + " AND (" + " OR ".join(f"cat:{c}" for c in categories) + ")"
 
 
@@ -52,38 +53,38 @@ def _names(people: Column, most: int | None = None) -> Column:
     return F.filter(F.transform(some, lambda a: a["name"]), lambda n: n.isNotNull() & (n != ""))
 
 
-def from_atom(entries: DataFrame) -> DataFrame:
+def from_atom(entries: DataFrame, field: str = "") -> DataFrame:
     ident = F.substring_index("id", "/abs/", -1)
     return _record(
         entries,
         {
             "title": collapse(F.col("title")), "abstract": collapse(F.col("summary")), "authors": _names(F.col("author")), "year": F.substring("published", 1, 4).try_cast("int"), "venue": F.lit("arXiv"),
-            "arxiv_id": ident, "url": F.concat(F.lit(ARXIV_PAGE), ident), "pdf_url": F.concat(F.lit(ARXIV_PAGE.replace("/abs/", "/pdf/")), ident), "source": F.lit("arXiv"),
+            "arxiv_id": ident, "url": F.concat(F.lit(ARXIV_PAGE), ident), "pdf_url": F.concat(F.lit(PDF_PAGE), ident), "source": F.lit("arXiv"), "field": F.lit(field),
         },
     )
 
 
-def from_hub(hits: DataFrame) -> DataFrame:
+def from_hub(hits: DataFrame, field: str = "") -> DataFrame:
     """Hits without an id are left out."""
     p = hits.where(F.coalesce(F.col("paper.id"), F.lit("")) != "").select("paper.*")
     return _record(
         p,
         {
             "title": collapse(F.col("title")), "abstract": collapse(F.col("summary")), "authors": _names(F.col("authors"), 12), "year": F.substring("publishedAt", 1, 4).try_cast("int"),
-            "arxiv_id": F.col("id"), "url": F.concat(F.lit(ARXIV_PAGE), F.col("id")), "pdf_url": F.concat(F.lit(ARXIV_PAGE.replace("/abs/", "/pdf/")), F.col("id")), "source": F.lit("Hugging Face"),
+            "arxiv_id": F.col("id"), "venue": F.lit("arXiv"), "url": F.concat(F.lit(HUB_PAGE), F.col("id")), "pdf_url": F.concat(F.lit(PDF_PAGE), F.col("id")), "source": F.lit("Hugging Face"), "field": F.lit(field),
             "code_url": F.col("githubRepo"), "stars": F.col("githubStars"), "upvotes": F.col("upvotes"), "tldr": collapse(F.col("ai_summary")),
         },
     )
 
 
-def from_works(works: DataFrame) -> DataFrame:
+def from_works(works: DataFrame, field: str = "") -> DataFrame:
     names = F.filter(F.transform(F.slice("authorships", 1, 12), lambda a: a["author"]["display_name"]), lambda n: n.isNotNull() & (n != ""))
     return _record(
         works,
         {
-            "title": collapse(F.col("title")), "abstract": F.when(F.col("abstract_inverted_index").isNotNull(), invert_index(F.col("abstract_inverted_index"))), "authors": names, "year": F.col("publication_year"),
-            "venue": F.col("primary_location.source.display_name"), "doi": F.regexp_replace("doi", "^https://doi.org/", ""), "url": F.coalesce("primary_location.landing_page_url", "id"),
-            "pdf_url": F.col("primary_location.pdf_url"), "citations": F.col("cited_by_count"), "source": F.lit("OpenAlex"),
+            "title": F.col("title"), "abstract": F.when(F.col("abstract_inverted_index").isNotNull(), invert_index(F.col("abstract_inverted_index"))), "authors": names, "year": F.col("publication_year"),
+            "venue": F.col("primary_location.source.display_name"), "doi": F.regexp_replace("doi", "^https://doi.org/", ""), "url": F.coalesce("doi", "id"),
+            "pdf_url": F.col("best_oa_location.pdf_url"), "citations": F.col("cited_by_count"), "source": F.lit("OpenAlex"), "field": F.lit(field),
         },
     )
 

@@ -11,6 +11,10 @@ from ..functions.ids import snapshot_id
 from ..schema import SNAPSHOT
 
 
+# Fixed value: what follows a text that was cut.
+CUT_NOTE = "[... truncated to fit the model's context ...]"
+
+
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
     """All saved searches; file order is the time order of their names."""
     raw = spark.read.schema(SNAPSHOT).option("recursiveFileLookup", True).json(path)
@@ -80,10 +84,13 @@ def migrate_cv_log(old: DataFrame, new: DataFrame) -> DataFrame:
 def pages_within(pages: DataFrame, most: int, doc: str = "doc_id") -> DataFrame:
     """Text of a document from its pages (doc, page, text) up to ``most`` characters, marked by page."""
     w = Window.partitionBy(doc).orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))
-    cut = pages.withColumn("left", F.lit(most) - before).where("left > 0").withColumn("part", F.concat(F.lit("[p. "), F.col("page").cast("string"), F.lit("]\n"), F.substring("text", F.lit(1), F.col("left").cast("int"))))
+    chunk = F.concat(F.lit("\n[p. "), F.col("page").cast("string"), F.lit("]\n"), F.trim(F.regexp_replace("text", r"\s+", " ")))
+    before = F.coalesce(F.sum(F.length("chunk")).over(w), F.lit(0))
+    left = pages.withColumn("chunk", chunk).withColumn("left", F.lit(most) - before).where("left >= 0")
+    cut = F.concat(F.substring("chunk", F.lit(1), F.col("left").cast("int")), F.lit("\n" + CUT_NOTE))
+    part = left.withColumn("part", F.when(F.length("chunk") > F.col("left"), cut).otherwise(F.col("chunk")))
     listed = F.array_sort(F.collect_list(F.struct("page", "part")))
-    return cut.groupBy(doc).agg(F.array_join(F.transform(listed, lambda x: x["part"]), "\n\n").alias("text"))
+    return part.groupBy(doc).agg(F.regexp_replace(F.array_join(F.transform(listed, lambda x: x["part"]), ""), r"^\s+|\s+$", "").alias("text"))
 
 
 def read_pdfs(spark: SparkSession, path: str, most_bytes: int = 25 * 1024 * 1024) -> DataFrame:

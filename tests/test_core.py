@@ -423,9 +423,9 @@ def test_parsers(spark, tmp_path):
     (tmp_path / "h.json").write_text('[{"paper":{"id":"1","title":"T","authors":[{"name":""},{"name":"B"}],"upvotes":3}},{"paper":{"title":"no id"}}]')
     (h,) = parsers.read_hub(spark, str(tmp_path / "h.json")).collect()
     assert h["authors"] == ["B"] and h["upvotes"] == 3 and h["abstract"] == ""
-    (tmp_path / "w.json").write_text('{"results":[{"id":"W1","title":"T","doi":"https://doi.org/10.1/x","abstract_inverted_index":{"world":[1],"hello":[0]},"primary_location":null}]}')
+    (tmp_path / "w.json").write_text('{"results":[{"id":"W1","title":"T","doi":"https://doi.org/10.1/x","abstract_inverted_index":{"world":[1],"hello":[0]},"primary_location":null,"best_oa_location":{"pdf_url":"p"}}]}')
     (w,) = parsers.read_works(spark, str(tmp_path / "w.json")).collect()
-    assert (w["abstract"], w["doi"], w["venue"]) == ("hello world", "10.1/x", "")
+    assert (w["abstract"], w["doi"], w["venue"], w["url"], w["pdf_url"]) == ("hello world", "10.1/x", "", "https://doi.org/10.1/x", "p")
 
 
 def test_connector(spark, tmp_path):
@@ -474,7 +474,8 @@ def test_store_round_trips(spark, tmp_path):
     new = store.migrate_cv_log(spark.createDataFrame([(0.6,)], "auc double"), spark.createDataFrame([(0.7, "structured")], "auc double, features string"))
     assert sorted(r["features"] for r in new.collect()) == ["embedding", "structured"]
     pages = spark.createDataFrame([(1, 1, "abc"), (1, 2, "defg")], "doc_id int, page int, text string")
-    assert store.pages_within(pages, 5).first()["text"] == "[p. 1]\nabc\n\n[p. 2]\nde"
+    assert store.pages_within(pages, 99).first()["text"] == "[p. 1]\nabc\n[p. 2]\ndefg"
+    assert store.pages_within(pages, 20).first()["text"] == f"[p. 1]\nabc\n[p. 2]\nd\n{store.CUT_NOTE}"
     lists = spark.createDataFrame([("a", 0.0), ("b", 100.0)], "k string, fetched_at double")
     assert store.trending(lists, 200.0)[1] == "" and store.trending(lists, 100.0 + 3 * 3600, failed=True)[1] == "3 h old"
 
