@@ -17,6 +17,15 @@ SIZE_SUFFIX = r"(\d+k|\d+m|full|small|large|v\d+)$"
 NON_WORD = r"[^\p{L}\p{N}_]+"
 
 
+#: White space of any kind, as a character class.
+SPACE = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+
+
+def strip(c: Column) -> Column:
+    """c without white space of any kind at its ends."""
+    return F.regexp_replace(c, f"^{SPACE}|{SPACE}$", "")
+
+
 def text(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
@@ -79,7 +88,7 @@ def has_code(code_url: Column | str = "code_url") -> Column:
 
 
 def paper_text(title: Column | str = "title", abstract: Column | str = "abstract") -> Column:
-    return F.trim(F.concat(text(title), F.lit(". "), text(abstract)))
+    return strip(F.concat(text(title), F.lit(". "), text(abstract)))
 
 
 def text_hash(t: Column) -> Column:

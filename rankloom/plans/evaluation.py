@@ -205,8 +205,8 @@ _B = "(case when {w} then 1.0 else 0.0 end)"
 def _pipe(name: str, w: dict[str, float], tiers: str, floor: float, rest: str, where: str = "true") -> str:
     parts = {"score": w["relevance"], "recruiter": w["recruiter"], "sim10": w["similarity"], "pref10": w["preference"]}
     used = {c: x for c, x in parts.items() if x > 0}
-    num = "+".join(f"coalesce({x}*{c},0)" for c, x in used.items())
-    den = "+".join(f"(case when {c} is not null then {x} else 0 end)" for c, x in used.items())
+    num = "+".join(f"coalesce({x}::double*{c},0)" for c, x in used.items())
+    den = "+".join(f"(case when {c} is not null then {x}::double else 0 end)" for c, x in used.items())
     return f"select search_id, pos, label, '{name}' strategy, case when score is not null then 1.0 else 0.0 end k1, case when score is not null then (case when coalesce(score>={floor},false) then 1000+100*({tiers}) else 0 end)+coalesce(({num})/nullif({den},0),0) else {rest} end k2 from js where {where}"
 
 
@@ -253,6 +253,6 @@ ORACLE = {
     "windowed_stream": "select epoch_us(time_bucket(interval '5 minutes', ts)) start_us, event_type, count(*) n, round(sum(value),2) total from events group by 1,2",
     "blend_order": """with pool as (select *, field search_id, len(datasets) n_datasets from papers where coalesce(title,'')<>''), rg as (select *, coalesce(min(similarity) over (partition by field),0) lo, coalesce(max(similarity) over (partition by field),1) hi from pool), sg as (select *, 10*(similarity-lo)/greatest(1e-9,hi-lo) sim10, 10*preference pref10 from rg),
       rr as (select *, case when coalesce(coalesce(score,sim10)>=5,false) then 1000+100*((case when coalesce(code_url,'')<>'' then 4 else 0 end)+(case when n_datasets>=1 then 2 else 0 end)+(case when needs_gpu=false then 1 else 0 end)) else 0 end
-      + coalesce((coalesce(0.3*score,0)+coalesce(0.6*recruiter,0)+coalesce(0.3*sim10,0)+coalesce(0.15*pref10,0))/nullif((case when score is not null then 0.3 else 0 end)+(case when recruiter is not null then 0.6 else 0 end)+(case when sim10 is not null then 0.3 else 0 end)+(case when pref10 is not null then 0.15 else 0 end),0),0) v from sg)
+      + coalesce((coalesce(0.3::double*score,0)+coalesce(0.6::double*recruiter,0)+coalesce(0.3::double*sim10,0)+coalesce(0.15::double*pref10,0))/nullif((case when score is not null then 0.3::double else 0 end)+(case when recruiter is not null then 0.6::double else 0 end)+(case when sim10 is not null then 0.3::double else 0 end)+(case when pref10 is not null then 0.15::double else 0 end),0),0) v from sg)
       select field, rec_id, place, round(v,4) rank_value from (select *, row_number() over (partition by field order by v desc, rec_id) place from rr) where place<=10""",
 }

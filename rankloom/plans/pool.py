@@ -39,6 +39,8 @@ def feedback(spark: SparkSession, d: str, candidates: DataFrame) -> DataFrame:
 
 # The same in SQL. NW strips all but letters, digits and the underscore.
 NW = r"[^\p{L}\p{N}_]+"
+SPACES = r"[\s\p{Z}\x{1c}-\x{1f}\x{85}]+"
+PAPER_TEXT = rf"regexp_replace(coalesce(title,'')||'. '||coalesce(abstract,''),'^{SPACES}|{SPACES}$','','g')"
 KEYED = r"""
 keyed as (select *, lower(coalesce(doi,'')) d, regexp_replace(coalesce(arxiv_id,''),'v\d+$','') a from papers),
 kp as (select *, case when starts_with(d,'10.48550/arxiv.') then (case when a='' then substr(d,16) else a end) else a end ax from keyed),

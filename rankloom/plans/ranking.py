@@ -153,8 +153,8 @@ QUERIES = {
 
 _RANGE = "rg as (select *, coalesce(min(similarity) over (partition by search_id),0) lo, coalesce(max(similarity) over (partition by search_id),1) hi from pool), sg as (select *, 10*(similarity-lo)/greatest(1e-9,hi-lo) sim10, 10*preference pref10 from rg)"
 _VALUE = """rv as (select *, coalesce(coalesce(score,sim10)>=5,false) relevant, (case when code_url<>'' then 4 else 0 end)+(case when n_datasets>=1 then 2 else 0 end)+(case when needs_gpu=false then 1 else 0 end) tier,
- case when score is not null or recruiter is not null or sim10 is not null or pref10 is not null then (coalesce(0.3*score,0)+coalesce(0.6*recruiter,0)+coalesce(0.3*sim10,0)+coalesce(0.15*pref10,0))/
- ((case when score is not null then 0.3 else 0 end)+(case when recruiter is not null then 0.6 else 0 end)+(case when sim10 is not null then 0.3 else 0 end)+(case when pref10 is not null then 0.15 else 0 end)) else 0.0 end blend from sg),
+ case when score is not null or recruiter is not null or sim10 is not null or pref10 is not null then (coalesce(0.3::double*score,0)+coalesce(0.6::double*recruiter,0)+coalesce(0.3::double*sim10,0)+coalesce(0.15::double*pref10,0))/
+ ((case when score is not null then 0.3::double else 0 end)+(case when recruiter is not null then 0.6::double else 0 end)+(case when sim10 is not null then 0.3::double else 0 end)+(case when pref10 is not null then 0.15::double else 0 end)) else 0.0 end blend from sg),
  rr as (select *, case when relevant then 1000+100*tier else 0 end + blend rank_value from rv)"""
 _SHORT = "sh as (select *, row_number() over (partition by search_id order by (code_url<>'' and relevant) desc, similarity desc nulls last, pos) sp from rv)"
 _BLANK = P.POOL.replace("case when relevance is not null then least(10.0,greatest(0.0,relevance)) end score", "null::double score").replace(
@@ -189,7 +189,7 @@ ORACLE = {
       select name, coalesce(h1.homepage,h2.homepage,'https://huggingface.co/datasets?search='||replace(replace(replace(url_encode(name),'%2F','/'),'%7E','~'),'*','%2A')) link from k2 left join h h1 on h1.key=k2.k left join h h2 on h2.key=k2.k2""",
     "apply_scores": f"""{P.POOL}, la as (select search_id, idx, max_by(score_id, score_id) sid from scores group by 1,2) select p.search_id, p.pos::int pos, case when s.relevance is not null then least(10.0,greatest(0.0,s.relevance)) end new_relevance,
       case when s.recruiter is not null then least(10.0,greatest(0.0,s.recruiter)) end new_recruiter, array_to_string(s.ds,'|') new_datasets from pool p left join la on la.search_id=p.search_id and la.idx=p.pos left join sd s on s.score_id=la.sid""",
-    "cache_misses": f"""with {P.KEYED.strip()}, w as (select distinct paper_key, substr(sha1(trim(coalesce(title,'')||'. '||coalesce(abstract,''))),1,16) h from pk),
+    "cache_misses": f"""with {P.KEYED.strip()}, w as (select distinct paper_key, substr(sha1({P.PAPER_TEXT}),1,16) h from pk),
       c as (select paper_key, max_by(text_hash,(computed_at,vec_id)) ch from vecs where vec is not null and model='mini-a-384' group by 1) select w.paper_key, h text_hash from w left join c using(paper_key) where ch is null or ch<>h""",
     "cache_rate": f"with {P.KEYED.strip()} select count(*) asked, count(c.paper_key) hits, round(count(c.paper_key)/count(*),6) rate from (select distinct paper_key from pk) w left join (select distinct paper_key from vecs where vec is not null and model='mini-a-384') c using(paper_key)",
     "union_precedence": f"""with {P.KEYED.strip()}, u as (select paper_key, rec_id, source, epoch_us(fetched_at) us, case when source='Hugging Face' then 1 else 0 end part from pk)

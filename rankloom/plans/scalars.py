@@ -140,8 +140,8 @@ ORACLE = {
       select rec_id, concat_ws(chr(10), '@article{'||lower(regexp_replace(f||coalesce(y,'')||string_split(ct,' ')[1],'[^\p{L}\p{N}_]','','g'))||',', '  title = {'||coalesce(title,'')||'},',
        case when len(au)>0 then '  author = {'||array_to_string(list_transform(au, lambda x: coalesce(x,'')),' and ')||'},' end, case when y is not null then '  year = {'||y||'},' end, case when coalesce(venue,'')<>'' then '  journal = {'||venue||'},' end,
        case when coalesce(doi,'')<>'' then '  doi = {'||doi||'},' end, case when coalesce(arxiv_id,'')<>'' then '  eprint = {'||arxiv_id||'}, archivePrefix = {arXiv},' end, '  url = {'||coalesce(url,'')||'}'||chr(10)||'}') entry from b""",
-    "text_hash": "select rec_id, substr(sha1(t),1,16) hash, floor(length(t)/3.5)::int tokens from (select rec_id, trim(coalesce(title,'')||'. '||coalesce(abstract,'')) t from papers)",
-    "evidence_words": rf"""with s as (select rec_id, string_split(regexp_replace(trim(coalesce(abstract,'')),'([.!?])\s+','\1'||chr(1),'g'),chr(1)) l from papers), t as (select rec_id, unnest(l) sentence, generate_subscripts(l,1)-1 pos from s)
+    "text_hash": f"select rec_id, substr(sha1(t),1,16) hash, floor(length(t)/3.5)::int tokens from (select rec_id, {P.PAPER_TEXT} t from papers)",
+    "evidence_words": rf"""with s as (select rec_id, string_split(regexp_replace(regexp_replace(coalesce(abstract,''),'^{P.SPACES}|{P.SPACES}$','','g'),'([.!?]){P.SPACES}','\1'||chr(1),'g'),chr(1)) l from papers), u as (select rec_id, unnest(l) sentence, generate_subscripts(l,1)-1 pos from s), t as (select rec_id, pos, regexp_replace(sentence,'[^\x00-\x7f\p{{Z}}\p{{P}}\p{{S}}\p{{C}}]','x','g') sentence from u)
       select rec_id, pos, len(regexp_extract_all(sentence,'(?i){_EV}'))::int n from t where len(regexp_extract_all(sentence,'(?i){_EV}'))>0""",
     "clean_datasets": P.POOL.split("pool as (")[0].rstrip().rstrip(",") + " select score_id, array_to_string(ds,'|') \"names\", case when relevance is not null then least(10.0,greatest(0.0,relevance)) end relevance, case when recruiter is not null then least(10.0,greatest(0.0,recruiter)) end recruiter from sd",
     "inverted_index": r"select item_id, array_to_string(l,' ') text, len(list_distinct(l))::int words from (select item_id, list_filter(regexp_split_to_array(coalesce(text,''),'\s+'), lambda w: w<>'') l from eval_items)",
