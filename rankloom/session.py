@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -21,12 +23,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share, as the session names it; a local one, removed at exit, only where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     if not _own_dir:
-        _own_dir.append("file://" + tempfile.mkdtemp(prefix="rankloom-"))
+        own = tempfile.mkdtemp(prefix="rankloom-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        _own_dir.append(f"file://{own}")
     return _own_dir[0]
 
 
