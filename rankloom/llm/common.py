@@ -2,41 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..session import materialize, table
 
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. A local one is made only where the cluster names none (tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        known = getattr(shared_dir, "_own", None)
-        if known is None:
-            known = tempfile.mkdtemp(prefix="rankloom-")
-            shared_dir._own = known
-        base = f"file://{known}"
-    return base.rstrip("/")
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts lineage, survives the loss of executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["cores", "materialize", "table"]
 
 
 def cores(spark: SparkSession) -> int:
+    """Tasks that the cluster runs at once."""
     return max(1, spark.sparkContext.defaultParallelism)
-
-
-def spread(df: DataFrame, *cols: str, per_core: int = 4) -> DataFrame:
-    """Repartition rows for CPU-heavy Python stages when the input has fewer splits than cores."""
-    spark = df.sparkSession
-    want = cores(spark) * per_core
-    return df.repartition(max(want, int(spark.conf.get("spark.sql.shuffle.partitions"))), *cols)

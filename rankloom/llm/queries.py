@@ -27,5 +27,24 @@ def queries() -> dict[str, Query]:
     }
 
 
+# What makes a field a case, as patterns: characters that can't be seen or are spaces of their own, forms of letters
+# and signs, and letters of two scripts in one word (or a whole word of look-alikes amid Latin text).
+_LIKE = "".join(sorted(visual.LATIN_LIKE))
+_EXACT = "".join(sorted(visual.EXACT))
+_HIDDEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e0fff}]"
+_SPACE = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_FORM = r"[\x{ff01}-\x{ff9f}\x{1d400}-\x{1d7ff}\x{fb00}-\x{fb06}\x{2010}\x{2011}\x{b5}\x{2026}]"
+_MIXED = rf"\p{{Latin}}[\p{{L}}\p{{M}}]*[{_LIKE}]|[{_LIKE}][\p{{L}}\p{{M}}]*\p{{Latin}}"
+_WHOLE = rf"(^|[^\p{{L}}\p{{M}}])[{_EXACT}]+($|[^\p{{L}}\p{{M}}])"
+_LATIN = r"2*length(regexp_replace({0},'\P{{Latin}}','','g'))>=length(regexp_replace({0},'\P{{L}}','','g'))"
+
+
+def _case_sql(c: str) -> str:
+    t = f"nfc_normalize(regexp_replace(regexp_replace({c},'{_HIDDEN}','','g'),'{_SPACE}',' ','g'))"
+    return f"(regexp_matches({c},'{_HIDDEN}|{_SPACE}|{_FORM}') or nfc_normalize({c})<>{c} or regexp_matches({t},'{_MIXED}') or (regexp_matches({t},'{_WHOLE}') and {_LATIN.format(t)}))"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p3_found": " union all ".join(f"select rec_id, '{c}' col from papers where {c} is not null and {_case_sql(c)}" for c in ("title", "abstract")),
+    }
