@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize, small
@@ -116,3 +119,25 @@ def related(adj: DataFrame, focus: DataFrame, exclude: DataFrame, n: int = 12) -
     best = out.groupBy(F.col("dst").alias("node")).agg(F.max("sim").alias("sim"), F.min_by("src", F.struct(-F.col("sim"), "ord")).alias("via"))
     return best.orderBy(F.desc("sim"), "node").limit(n)
 
+
+
+def with_papers(base: DataFrame, extra: DataFrame, most: int = 300) -> DataFrame:
+    """Vertices (id, vec) with those of extra that base lacks, the first ``most`` by id as one request may bring."""
+    return base.select("id", "vec").unionByName(extra.join(base.select("id"), "id", "left_anti").dropDuplicates(["id"]).orderBy("id").limit(most).select("id", "vec"))
+
+
+def current(spark: SparkSession, path: str, signature: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The stored edges of this signature, built and stored if there are none yet."""
+    at = f"{path}/sig={signature}"
+    try:
+        return spark.read.parquet(at)
+    except AnalysisException:
+        build().write.mode("overwrite").parquet(at)
+        return spark.read.parquet(at)
+
+
+def flags(nodes: DataFrame, ratings: DataFrame, shown: DataFrame) -> DataFrame:
+    """nodes (key) with their rating, 0 for none, and whether they are on screen."""
+    on = shown.select("key").distinct().withColumn("on_screen", F.lit(True))
+    out = nodes.join(ratings.select("key", "rating"), "key", "left").join(on, "key", "left")
+    return out.withColumns({"rating": F.coalesce("rating", F.lit(0)), "on_screen": F.coalesce("on_screen", F.lit(False))})

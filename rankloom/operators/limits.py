@@ -63,28 +63,38 @@ def two_level(events: DataFrame, limit: int, window: float, daily: int, day: flo
     return own.join(shared, "id", "left").select("key", "id", "t", F.when(~F.col("allowed"), "visitor").when(~F.coalesce("shared", F.lit(True)), "daily").otherwise("ok").alias("verdict"), F.when(~F.col("allowed"), F.ceil(F.col("retry_after") / 60)).otherwise(F.lit(0)).cast("int").alias("minutes"))
 
 
+def earliest(booked: list[tuple[float, int]], need: int, now: float, window: float, most: int) -> float:
+    """First start from now on whose window meets no stretch in which the load leaves less than ``need``.
+
+    The load is a step function: a booking adds its tokens at its start and returns them one window later. One sweep
+    over the steps pushes the start behind every stretch that is too full.
+    """
+    steps: dict[float, int] = {}
+    for when, n in booked:
+        steps[when] = steps.get(when, 0) + n
+        steps[when + window] = steps.get(when + window, 0) - n
+    times = sorted(steps)
+    start, load = now, 0
+    for at, until in zip(times, [*times[1:], float("inf")]):
+        load += steps[at]
+        if load + need > most and start < until and at < start + window:
+            start = until
+    return start
+
+
 def token_budget(requests: DataFrame, per_window: int, window: float = 60.0, max_wait: float = 120.0) -> DataFrame:
     """(key, id, t, tokens, start, wait): each request books the earliest start at which no window exceeds the budget.
 
     Requests above the budget count as the budget. One that would wait longer than max_wait books nothing (start NULL).
     """
 
-    def fold(booked: list | None, r):
-        live = [b for b in (booked or []) if r.t - b[0] < window]
+    def fold(booked: list[tuple[float, int]] | None, r):
+        live = [b for b in booked or () if b[0] + window > r.t]
         need = min(int(r.tokens), per_window)
-        start = None
-        for at in sorted({r.t, *(when + window for when, _ in live)}):
-            if at < r.t:
-                continue
-            ends = [at, *(when for when, _ in live if at <= when < at + window)]
-            if all(sum(n for when, n in live if end - window < when <= end) + need <= per_window for end in ends):
-                start = at
-                break
-        if start is None or start - r.t > max_wait:
+        start = earliest(live, need, r.t, window, per_window)
+        if start - r.t > max_wait:
             return live, (r.key, r.id, r.t, need, None, None)
-        live.append((start, need))
-        live.sort()
-        return live, (r.key, r.id, r.t, need, start, start - r.t)
+        return [*live, (start, need)], (r.key, r.id, r.t, need, start, start - r.t)
 
     kind = requests.schema["key"].dataType.simpleString()
     return _stream(requests.select("key", "id", "t", "tokens"), fold, f"key {kind}, id bigint, t double, tokens bigint, start double, wait double")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SHIPPED
 from ..functions import text
-from ..operators import ai, evalkit, filters, library, limits, prefmodel, rank
+from ..operators import ai, evalkit, filters, graph, library, limits, prefmodel, rank
 from ..session import materialize, shared_dir, table
 from . import pool as P
 
@@ -131,6 +131,21 @@ def pref_predict(s: SparkSession, d: str) -> DataFrame:
     return p.select("score_id", F.round(prob, 6).alias("preference"))
 
 
+def oof_preferences(s: SparkSession, d: str) -> DataFrame:
+    """P(like) of each judged candidate by a model that saw no label of its search."""
+    j = materialize(_judged(s, d).withColumn("features", prefmodel.structured(F.col("n_datasets"))).select("search_id", "pos", "paper_key", "features"), "judged")
+    p = prefmodel.out_of_fold_preferences(materialize(_training(s, d), "training"), j.groupBy("search_id", "paper_key").agg(F.min_by("features", "pos").alias("features")))
+    return p.select("search_id", "paper_key", F.round("preference", 6).alias("preference"))
+
+
+def map_flags(s: SparkSession, d: str) -> DataFrame:
+    """Every paper of the map with its rating and whether one of the searches shows it."""
+    from ..functions.ids import key
+
+    nodes = table(s, d, "papers").select(key().alias("key")).distinct()
+    return graph.flags(nodes, P.entries(s, d).select(F.col("paper_key").alias("key"), "rating"), P.pool(s, d).select(F.col("paper_key").alias("key")))
+
+
 def cv_report(s: SparkSession, d: str) -> DataFrame:
     r = prefmodel.cross_validate(materialize(_training(s, d), "training"), folds=2)
     return s.createDataFrame([("structured", r["auc"], r["auc_std"], r["accuracy"])], "features string, auc double, auc_std double, accuracy double")
@@ -194,7 +209,7 @@ QUERIES = {
     "judged": judged, "label_stats": label_stats, "metrics_by_strategy": metrics_by_strategy, "eval_summary": eval_summary, "random_expectation": random_expectation, "first_clean_signals": first_clean_signals,
     "out_of_fold": out_of_fold, "trainable": trainable, "library_fold": library_fold, "folder_counts": folder_counts, "library_view": library_view, "set_folder": set_folder, "rated_titles": rated_titles,
     "rate_limited": rate_limited, "quota_two_level": quota_two_level, "token_budget": token_budget, "sliding_counts": sliding_counts, "cache_evict": cache_evict, "structured_features": structured_features,
-    "pref_predict": pref_predict, "cv_report": cv_report, "prompt": prompt, "rank_stub": rank_stub, "answers_parsed": answers_parsed, "summaries_stub": summaries_stub, "embed_stub": embed_stub,
+    "pref_predict": pref_predict, "oof_preferences": oof_preferences, "map_flags": map_flags, "cv_report": cv_report, "prompt": prompt, "rank_stub": rank_stub, "answers_parsed": answers_parsed, "summaries_stub": summaries_stub, "embed_stub": embed_stub,
     "windowed_stream": windowed_stream, "blend_order": blend_order,
 }
 
@@ -237,6 +252,7 @@ ORACLE = {
       from label left join b using(paper_key) left join cp using(paper_key)""",
     "out_of_fold": f"""{_FB}, o as (select search_id, count(*) n0, sum(label) l0 from (select distinct search_id, paper_key, label from judged) group by 1), t as (select count(*) n, sum(label) l from label)
       select search_id, (n-n0)::bigint labels, (l-l0)::bigint likes, (n-n0)>=10 and least(l-l0,(n-n0)-(l-l0))>=3 trainable from o, t""",
+    "map_flags": f"{P.POOL}, {P.LIB.strip()} select n.paper_key \"key\", coalesce(rating,0) rating, o.k is not null on_screen from (select distinct paper_key from pk) n left join lib using(paper_key) left join (select distinct paper_key k from pool) o on o.k=n.paper_key",
     "trainable": f"with {P.LIB.strip()}, label as (select (rating>0)::int label from lib where rating<>0) select count(*) labels, coalesce(sum(label),0)::bigint likes, count(*)>=10 and least(coalesce(sum(label),0),count(*)-coalesce(sum(label),0))>=3 trainable from label",
     "library_fold": f"with {P.LIB.strip()} select paper_key, rating, saved, array_to_string(folders,'|') folders, summary, epoch_us(added) added_us, epoch_us(updated) updated_us, changes from lib",
     "folder_counts": f"with {P.LIB.strip()} select \"name\", count(*) \"count\" from (select unnest(folders) \"name\" from lib) group by 1",

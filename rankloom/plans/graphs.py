@@ -33,9 +33,8 @@ def normalized(s: SparkSession, d: str) -> DataFrame:
 def query_similarity(s: SparkSession, d: str) -> DataFrame:
     """Similarity of every vector to the query (vector 0) with interests (vector 1)."""
     v = table(s, d, "embeddings")
-    q = v.where("vec_id = 0").select(F.col("embedding").alias("a")).crossJoin(F.broadcast(v.where("vec_id = 1").select(F.col("embedding").alias("b"))))  # one row each
-    q = q.select(vectors.query_vector(F.col("a"), F.col("b")).alias("q"))
-    return v.crossJoin(F.broadcast(q)).select("vec_id", F.round(vectors.dot(vectors.normalize(F.col("embedding")), F.col("q")), 6).alias("similarity"))
+    got = {r["vec_id"]: F.array(*map(F.lit, r["embedding"])) for r in v.where("vec_id IN (0, 1)").collect()}  # two rows
+    return v.select("vec_id", F.round(vectors.dot(vectors.normalize(F.col("embedding")), vectors.query_vector(got[0], got[1])), 6).alias("similarity"))
 
 
 def nearest_queries(s: SparkSession, d: str) -> DataFrame:

@@ -104,6 +104,24 @@ def rewrite_ok(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "papers").select("rec_id", text.acceptable_rewrite(F.col("title")).alias("ok"), text.author_line(F.col("authors")).alias("line"))
 
 
+def headings(s: SparkSession, d: str) -> DataFrame:
+    """Titles as bold headings of a summary, brought to plain ones."""
+    md = F.concat(F.lit("**## "), ids.text("title"), F.lit("**\n"), F.lit("some **bold** text"))
+    return table(s, d, "papers").select("rec_id", text.plain_headings(md).alias("markdown"))
+
+
+def visitor_titles(s: SparkSession, d: str) -> DataFrame:
+    """What a visitor who rated a record's authors would send: blanks dropped, the last 15 kept."""
+    return table(s, d, "papers").select("rec_id", F.array_join(text.visitor_titles(F.concat(F.coalesce("authors", F.array().cast("array<string>")), F.array(F.lit(" "), F.col("title")))), "|").alias("titles"))
+
+
+def client_ips(s: SparkSession, d: str) -> DataFrame:
+    e = table(s, d, "events")
+    peer = F.concat(F.lit("10.0.0."), (F.col("user_id") % 256).cast("string"))
+    forwarded = F.when(F.col("event_id") % 3 != 0, F.concat(F.lit(" 172.16.0."), (F.col("event_id") % 256).cast("string"), F.lit(", 10.1.1.1")))
+    return e.select("event_id", text.client_ip(forwarded, peer).alias("ip"))
+
+
 FILTERS = Filters(min_year=2015, min_citations=1, exclude_keywords=("survey", "comment on"))
 
 
@@ -126,6 +144,7 @@ QUERIES = {
     "ids_keys": ids_keys, "norm_names": norm_names, "url_builders": url_builders, "bibtex": bibtex, "text_hash": text_hash, "evidence_words": evidence_words, "evidence_scores": evidence_scores,
     "excerpts": excerpts, "clean_datasets": clean_datasets, "inverted_index": inverted_index, "model_json": model_json, "error_classes": error_classes, "signal_lights": signal_lights, "masked": masked,
     "trimmed": trimmed, "prompt_budget": prompt_budget, "rewrite_ok": rewrite_ok, "hard_filters": hard_filters, "link_rows": link_rows, "rejects": rejects,
+    "headings": headings, "visitor_titles": visitor_titles, "client_ips": client_ips,
 }
 
 _EV = r"\b(data ?sets?|databases?|benchmarks?|corpus|corpora|evaluat\w*|experiments?|outperform\w*|state[- ]of[- ]the[- ]art|test(s|ed|ing)?|train(s|ed|ing)?|accuracy|performance|results?)\b"
@@ -154,6 +173,9 @@ ORACLE = {
     "prompt_budget": P.POOL + " select search_id, greatest(200, least(1200, trunc((8000-(150*n+1000)-base)*3.5/n)::int))::int chars from (select search_id, count(*) n, sum(floor(length(title)/3.5)) base from pool group by 1)",
     "rewrite_ok": r"""select rec_id, t<>'' and len(string_split(t,' ')) between 1 and 8 ok, array_to_string(list_transform(au[1:3], lambda x: x),', ')||case when len(au)>3 then ' et al.' else '' end line
       from (select rec_id, trim(regexp_replace(coalesce(title,''),'[\s\p{Z}]+',' ','g')) t, coalesce(authors,[]) au from papers)""",
+    "headings": "select rec_id, '## '||regexp_replace(coalesce(title,''),'\\s+$','')||chr(10)||'some **bold** text' markdown from papers",
+    "visitor_titles": "select rec_id, array_to_string(list_filter(list_transform(l[greatest(1,len(l)-14):], lambda t: substr(trim(coalesce(t,''),' '),1,300)), lambda t: t<>''),'|') titles from (select rec_id, list_concat(coalesce(authors,[]),[' ',title]) l from papers)",
+    "client_ips": "select event_id, case when event_id%3<>0 then '172.16.0.'||(event_id%256) else '10.0.0.'||(user_id%256) end ip from events",
     "hard_filters": """select rec_id from papers where coalesce(title,'')<>'' and (coalesce(year,0)=0 or year>=2015) and (source in ('arXiv','Hugging Face') or coalesce(citations,0)>=1)
       and not contains(lower(coalesce(title,'')||' '||coalesce(abstract,'')),'survey') and not contains(lower(coalesce(title,'')||' '||coalesce(abstract,'')),'comment on')""",
     "link_rows": "select arxiv_id, count(*) links, count(distinct repo_url) repos from code_links where coalesce(arxiv_id,'')<>'' and repo_url is not null group by 1",

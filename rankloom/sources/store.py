@@ -109,3 +109,17 @@ def trending(cache: DataFrame, now: float, ttl: float = 3600.0, failed: bool = F
     if age < ttl or not failed:
         return newest, "" if age < ttl else "stale"
     return newest, f"{max(1, round(age / 3600))} h old"
+
+
+def write_bibtex(entries: DataFrame, path: str) -> None:
+    """One citation (column entry) after another, separated by blank lines; in as many files as there are partitions."""
+    entries.select("entry").write.mode("overwrite").option("lineSep", "\n\n").text(path)
+
+
+def write_judged(judged: DataFrame, path: str) -> None:
+    """The evaluation set: one JSON row per judged candidate."""
+    judged.write.mode("overwrite").json(path)
+
+
+def read_judged(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("search_id string, pos bigint, paper_key string, label int").json(path)

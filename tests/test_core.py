@@ -349,6 +349,19 @@ def test_token_budget(spark):
     assert w == {1: 0.0, 2: 60.0, 3: 0.0, 4: None, 5: 0.0}
 
 
+def test_earliest_start_equals_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        booked = [(float(rng.integers(0, 90)), int(rng.integers(1, 6))) for _ in range(rng.integers(0, 7))]
+        need, now = int(rng.integers(1, 9)), 30.0
+
+        def load(end, booked=booked):
+            return sum(n for when, n in booked if end - 40 < when <= end)
+
+        free = next(s for s in np.arange(now, 400, 1.0) if all(load(e) + need <= 10 for e in np.arange(s, s + 40, 1.0)))
+        assert limits.earliest(booked, need, now, 40.0, 10) == free
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from rankloom.streaming.limits import OUT, rate_limited
 
@@ -390,6 +403,52 @@ def test_preference_model_matches_a_direct_solution(spark):
     assert prefmodel.train(df.where("label = 1")) is None
 
 
+def test_out_of_fold_models_equal_single_fits(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 2))
+    y = (x[:, 0] + 0.4 * rng.normal(size=60) > 0).astype(int)
+    t = spark.createDataFrame([(f"k{i}", x[i].tolist(), int(y[i])) for i in range(60)], "paper_key string, features array<double>, label int")
+    pools = [(f"s{n}", f"k{i}") for n in range(5) for i in range(n * 7, n * 7 + 9)]
+    p = spark.createDataFrame([(s, k, x[int(k[1:])].tolist()) for s, k in pools], "search_id string, paper_key string, features array<double>")
+    for batch in (2, 256):
+        got = {(r["search_id"], r["paper_key"]): r["preference"] for r in prefmodel.out_of_fold_preferences(t, p, 0.1, batch).collect()}
+        mean, scale = x.mean(0), x.std(0)
+        for s in {s for s, _ in pools}:
+            out = {int(k[1:]) for q, k in pools if q == s}
+            keep = np.array([i not in out for i in range(60)])
+            z, lab = np.c_[(x - mean) / scale, np.ones(60)], y
+            n, likes = keep.sum(), y[keep].sum()
+            w = np.where(lab == 1, n / (2 * likes), n / (2 * (n - likes))) * keep
+            beta, pen = np.zeros(3), np.array([10.0, 10.0, 0.0])
+            for _ in range(40):
+                q = 1 / (1 + np.exp(-z @ beta))
+                beta -= np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.diag(pen), z.T @ (w * (q - lab)) + pen * beta)
+            for i in out:
+                assert got[(s, f"k{i}")] == pytest.approx(1 / (1 + np.exp(-z[i] @ beta)), abs=1e-6)
+    few = prefmodel.out_of_fold_preferences(t.limit(8), p)
+    assert few.where("preference is not null").count() == 0
+    m = prefmodel.train(t)
+    prefmodel.save(m, str(tmp_path / "m"), spark)
+    assert prefmodel.load(str(tmp_path / "m"), spark) == ("structured", m) and prefmodel.load(str(tmp_path / "none"), spark) is None
+
+
+def test_stored_graph_requests_and_rewrites(spark, tmp_path, clusters):
+    _, df = clusters
+    built = []
+
+    def build():
+        built.append(1)
+        return graph.nearest(df, df, k=4)
+
+    n = [graph.current(spark, str(tmp_path / "g"), "1", build).count() for _ in range(2)]
+    assert n[0] == n[1] and len(built) == 1
+    assert graph.with_papers(df.where("id < 5"), df).count() == 13
+    assert ai.check_request(" ", ["ml"], {"ml"}) and ai.check_request("q", ["x"], {"ml"}) and ai.check_request("q", ["ml"], {"ml"}) is None
+    r = spark.createDataFrame([("GNN", "graph neural networks", "about graphs"), ("x", "one two three four five six seven eight nine", "long")], "query string, keywords string, intent string")
+    got = [tuple(q)[1:] for q in ai.rewritten(spark.createDataFrame([("gnn ",), ("x",)], "query string").orderBy("query"), r).orderBy("query").collect()]
+    assert got == [("graph neural networks", "about graphs"), ("x", None)]
+
+
 def test_ranker_failure_is_data(spark):
     class Broken:
         def rank(self, query, texts):
