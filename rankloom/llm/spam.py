@@ -204,7 +204,8 @@ def found(documents: DataFrame) -> DataFrame:
     docs = documents.select("doc_id", "text", "lang")
     pages = materialize(page_counts(docs), "pages")
     heads = language_heads(pages)
-    candidates = materialize(flagged(curves(pages, heads)), "flagged")
+    fitted = materialize(curves(pages, heads), "curves")  # read three times
+    candidates = materialize(flagged(fitted), "flagged")
     words = frozenset(w for ws in heads.values() for w in ws)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
