@@ -193,8 +193,9 @@ def fit_centroids(points: DataFrame, sizes: dict[str, int], target: int = TARGET
     for model, n in sorted(sizes.items()):
         if n <= SHARD:
             continue
-        rows = points.where((F.col("model") == model) & (F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * sample / n)))).select("vec").limit(sample)
-        x = _unit(_matrix(rows.toArrow()["vec"]))
+        rows = points.where((F.col("model") == model) & (F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * sample / n)))).select("point", "vec").limit(sample)
+        got = rows.toArrow().sort_by("point")  # at most ``sample`` rows, in an order of their own
+        x = _unit(_matrix(got["vec"]))
         k = min(-(-n // target), max(1, len(x) // 8))
         c = x[rng.choice(len(x), k, replace=False)]
         for _ in range(8):
@@ -250,7 +251,7 @@ def _search_part(table: pa.Table) -> pa.Table:
     ids = table["point"].to_numpy()
     raw = _matrix(table["vec"])
     schema = pa.schema([("query", pa.int64()), ("other", pa.int64()), ("cosine", pa.float64())])
-    order = np.argsort(~home, kind="stable")  # the indexed points come first
+    order = np.lexsort((ids, ~home))  # the indexed points come first, in an order that no shuffle changes
     ids, raw, ask, n = ids[order], raw[order], ask[order], int(home.sum())
     x = _unit(raw)
     if n == 0:
