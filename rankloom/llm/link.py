@@ -32,8 +32,11 @@ from .visual import fold, key
 RIGHT, WRONG = 4.0, 1.0
 #: Distinct titles or author lists that a worker remembers.
 CACHE = 100_000
-# Small words, remarks on the version of a text, endings of titles that make another paper.
+# Small words, first words that make another paper, remarks on the version of a text.
 SMALL = frozenset("a an the of for in on with using by via to and from is are at as under through".split())
+LEADS = frozenset(
+    "comment comments erratum errata corrigendum correction addendum reply response retraction note notes survey review rethinking revisiting revisited towards toward beyond reproducing reproducibility replication discussion supplement part introduction".split()
+)
 REMARKS = re.compile(
     r"(?:[\s\-–—:,(\[]+(?:oral(?: presentation)?|poster|spotlight|extended abstract|(?:author|accepted|camera[- ]ready|long|short|full|arxiv|published|online|conference|journal)(?:'s)? version|author accepted manuscript|e?-?preprint|draft|to appear|supplementary material)[)\]]*\s*[*.†‡]*)+\s*$"
 )
@@ -78,7 +81,9 @@ def surnames(authors: list[str | None] | None) -> list[str]:
             y = x.strip(" .,\t\r")
             if not y or y in ("et al", "others", "et alii", "anonymous", "unknown", "n/a"):
                 continue
-            last = y.split(",")[0] if "," in y else (y.split()[-1] if not y.endswith(" et al") else y.split()[0])
+            parts = (y.removesuffix(" et al") if y.endswith(" et al") else y).split()
+            # "Stone, Ann", "Stone A." and "Ann Stone"
+            last = y.split(",")[0] if "," in y else parts[0] if len(parts) > 1 and len(parts[-1].replace(".", "")) < 2 else parts[-1]
             if not last.isalnum():
                 last = _NO_WORD.sub("", last)
             if last:
@@ -208,9 +213,9 @@ def title_relation(a: list[str], b: list[str], cut_a: bool, cut_b: bool) -> floa
                 cost[i + 2][j + 1] = min(cost[i + 2][j + 1], c + 0.2)
             if i < na and j + 1 < nb and _alike(a[i], b[j] + b[j + 1]):
                 cost[i + 1][j + 2] = min(cost[i + 1][j + 2], c + 0.2)
-            if 0 < i < na - 1 and 0 < j < nb:
+            if (0 < i < na - 1 and 0 < j < nb) or (i == j == 0 and na > 4 and a[0] not in LEADS):
                 cost[i + 1][j] = min(cost[i + 1][j], c + 1)
-            if 0 < j < nb - 1 and 0 < i < na:
+            if (0 < j < nb - 1 and 0 < i < na) or (i == j == 0 and nb > 4 and b[0] not in LEADS):
                 cost[i][j + 1] = min(cost[i][j + 1], c + 1)
     c = cost[na][nb]
     if c <= 0.95:

@@ -56,9 +56,14 @@ def test_no_records(spark):
     assert link.found(spark.createDataFrame(p, P), none).count() == 0 and link.found(spark.createDataFrame([], P), spark.createDataFrame(p, W)).count() == 0
 
 
+def test_surnames():
+    assert link.surnames(["Stone, A. M.", "Lee-Hart B.", "Cid Novák", "et al.", None, "A. Poe; B. Ray", " "]) == ["stone", "leehart", "novak", "poe", "ray"]
+    assert link.surnames(None) == [] and link.surnames(["Plato"]) == ["plato"]
+
+
 @pytest.mark.parametrize(
     ("a", "b", "same"),
-    [("sheaf diffusion robots", "shelf diffusion robots", True), ("neural operators learning code", "operators learning code", False), ("a neural operators learning code", "a operators learning code", True), ("x yy zzz", "x yy", False), ("graph nets deep", "graphnets deep", True)],
+    [("sheaf diffusion robots", "shelf diffusion robots", True), ("neural operators learning code", "operators learning code", False), ("a neural operators learning code", "a operators learning code", True), ("sparse bayesian filters learning code", "bayyesian filters learning code", True), ("erratum bayesian filters learning code", "bayesian filters learning code", False), ("x yy zzz", "x yy", False), ("graph nets deep", "graphnets deep", True)],
 )
 def test_title_relation(a, b, same):
     assert (link.title_relation(a.split(), b.split(), False, False) >= 0.8) is same
