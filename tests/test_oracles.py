@@ -8,6 +8,8 @@ from rankloom.plans import registry
 
 from . import compare
 
+#: The smallest tables hold no search with enough judged candidates.
+NONE_HERE = {"oof_preferences"}
 ORACLES = registry.oracle_sql()
 
 
@@ -23,4 +25,4 @@ def test_oracle(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(ORACLES)))
 def test_runs(spark, sf, name):
-    assert registry.queries()[name](spark, sf).count() > 0
+    assert registry.queries()[name](spark, sf).count() > 0 or name in NONE_HERE
