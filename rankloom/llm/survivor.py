@@ -24,8 +24,9 @@ from .visual import normalize_columns
 
 HOT_ROWS = 2_000
 CHUNK = 500
-#: A sentence found under so many different titles is no paper's own text.
-SHARED_SENTENCE = 4
+#: A sentence found in so many different papers, or under so many titles, is no paper's own text; titles count only
+#: if they belong to SHARED_PAPERS papers, as one paper's title may be spelled in many ways.
+SHARED_SENTENCE, SHARED_PAPERS = 4, 3
 #: Largest set of shared sentences (hashes) that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 200_000
 POLICIES = {
@@ -76,19 +77,22 @@ def survivors(values: DataFrame, policies: dict[str, tuple[str, ...]], hot_rows:
 
 
 def own_text(records: DataFrame) -> DataFrame:
-    """(rec_id, own): the sentences of each abstract that are the paper's own, in order, without cut marks.
+    """(rec_id, own): the sentences of each grouped abstract that are the paper's own, in order, without cut marks.
 
-    Sentences shared by several titles (menus, notices) are found by counting over all records.
+    Sentences shared by several papers (menus, notices) are found by counting over all records (rec_id, group_id,
+    title_key, abstract_key). A group is one paper however its titles are spelled; records without a group (NULL)
+    are one paper per title.
     """
+    paper = F.when(F.col("group_id").isNotNull(), F.xxhash64(F.lit("group"), "group_id")).when(F.length("title_key") > 0, F.xxhash64(F.lit("title"), "title_key")).otherwise(F.xxhash64(F.lit("record"), "rec_id"))
     parts = records.select(
-        "rec_id", "title_key", F.posexplode(F.split(F.regexp_replace("abstract_key", CUT_MARK, "\u0001"), "(?<=[.!?])\\s+|\u0001")).alias("pos", "sentence")
+        "rec_id", "group_id", "title_key", paper.alias("paper"), F.posexplode(F.split(F.regexp_replace("abstract_key", CUT_MARK, "\u0001"), "(?<=[.!?])\\s+|\u0001")).alias("pos", "sentence")
     ).where(F.length("sentence") > 0).withColumn("h", F.xxhash64("sentence"))
-    shared = (
-        parts.groupBy("h", "title_key").agg(F.lit(1).alias("one")).groupBy("h").count().where(F.col("count") >= SHARED_SENTENCE).select("h")
-    )
+    counts = parts.groupBy("h").agg(F.count_distinct("paper").alias("papers"), F.count_distinct("title_key").alias("titles"))
+    shared = counts.where((F.col("papers") >= SHARED_SENTENCE) | (F.col("papers") >= SHARED_PAPERS) & (F.col("titles") >= SHARED_SENTENCE)).select("h")
     shared = materialize(shared, "shared")
     side = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
-    own = parts.join(side, "h", "left_anti").where(F.size(F.split("sentence", " ")) >= 2)
+    grouped = parts.where(F.col("group_id").isNotNull()).dropDuplicates(["rec_id", "pos"])
+    own = grouped.join(side, "h", "left_anti").where(F.size(F.split("sentence", " ")) >= 2)
     return own.groupBy("rec_id").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("own")
     )
@@ -108,8 +112,9 @@ def field_values(papers: DataFrame, groups: DataFrame) -> DataFrame:
     cols = ["rec_id", "title", "abstract", "venue", "citations", "code_url", "code_official", "fetched_at"]
     records = normalize_columns(papers.select(*cols), ["title", "abstract", "venue", "code_url"])
     records = records.drop("title_visible", "abstract_visible", "code_url_key", *(f"{c}_case" for c in ("title", "abstract", "venue", "code_url")))
-    records = materialize(records.join(member, "rec_id"), "records")
-    own = own_text(records.select("rec_id", "title_key", "abstract_key").dropDuplicates(["rec_id"]))
+    every = materialize(records.join(member, "rec_id", "left"), "records")
+    own = own_text(every.select("rec_id", "group_id", "title_key", "abstract_key"))
+    records = every.where(F.col("group_id").isNotNull())
     seen = F.coalesce(F.unix_micros(F.col("fetched_at").cast("timestamp")), F.lit(-1).cast("long"))
 
     has = own.join(records.select("rec_id", "group_id", "title_key", "fetched_at"), "rec_id")

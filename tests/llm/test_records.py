@@ -186,3 +186,12 @@ def test_fields_of_a_group(spark):
     got = {tuple(r) for r in survivor.found(p, g).collect()}
     assert got == {(1, "abstract", 2), (1, "citations", 3), (1, "code_url", 2), (1, "venue", 3), (3, "venue", 7), (4, "citations", 8), (4, "code_url", 8)}
     assert survivor.found(p.where("false"), g).count() == 0 and survivor.found(p, g.where("false")).count() == 0
+
+
+def test_a_group_of_many_title_spellings_keeps_its_abstract(spark):
+    full, notice = "We study the second graph. It has few nodes. The start is far.", "All rights are reserved by the publisher."
+    titles = ["Sheaf Robots", "Sheaf Rob...", "\\emph{Sheaf} Robots", "Shaef Robots", "Sheaf Robots [Preprint]"]
+    rows = [(10 + i, t, full, None, None, None, None, at(1), 0) for i, t in enumerate(titles)]
+    rows += [(20, "Lone Star", notice, None, None, None, None, at(1), 0)] + [(30 + i, f"Outside {i}", notice, None, None, None, None, at(1), 0) for i in range(3)]
+    g = spark.createDataFrame([(1, 10 + i) for i in range(5)] + [(2, 20)], "group_id long, rec_id long")
+    assert {tuple(r) for r in survivor.found(spark.createDataFrame(rows, FIELDS), g).collect()} == {(1, "abstract", 10)}
