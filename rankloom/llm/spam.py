@@ -4,13 +4,14 @@ Every page gives its word counts. SQL windows rank the words of a page, and a li
 rank; slope, residual and the share of the words that head the rank list of the page's language (the function
 words, found by document frequency, not given) are compared with the medians of pages of the same language and
 comparable length. Pages extreme in any of the three are flagged. A flagged page is then measured exactly: stretches
-without any function word, and the words of bare links, are no sentences; tables, code, references and a line of
-keywords don't count as such; the page is spam if more than half of its words remain.
+without any function word, the words of bare links, and, whatever function words they hold, phrases repeated again
+and again and rows of short separated entries are no sentences; tables, code, references and a line of keywords
+don't count as such; the page is spam if more than half of its words remain.
 
 Statistics are those of the whole corpus; only the heads of the rank lists (at most ``LANGUAGES * HEAD`` words) go
 to the driver. One page is one row until its distinct words are ranked, so a hot source or language is spread.
 
-Defined results: NULL, empty and blank texts, and texts of fewer than LEAST_WORDS words, are no spam; a page in a language of which
+Defined results: NULL, empty and blank texts are no spam; short ones are judged as all others; a page in a language of which
 there is too little is compared with all languages' heads; copies of a page are judged alike.
 """
 
@@ -40,8 +41,12 @@ LANGUAGE_PAGES, KEYWORD_SHARE = 5, 0.15
 EXTREME = 2.5
 #: Words without a function word that a sentence may hold, and those of them counted to the sentences around.
 GAP, EDGE = 8, 3
-#: Shorter pages hold too little to tell a list from a sentence.
+#: A shorter page that ends as a sentence may lack function words by chance.
 LEAST_WORDS = 15
+#: Most words of an entry of a menu or tag list, and so many entries in a row that are one; with commas more.
+ENTRY, ENTRIES, LISTED = 5, 5, 8
+#: A phrase of GRAM words is a repeated keyword from AGAIN times within NEAR words of each other, or OFTEN times on a page and once in EVERY words.
+GRAM, AGAIN, NEAR, OFTEN, EVERY = 3, 4, 10, 6, 40
 _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?|ftp)://[^\s\"'<>)\]]+|\bwww\.[^\s\"'<>)\]]+", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I | re.S)
@@ -53,6 +58,7 @@ _ROW = re.compile(r"^\s*\|.*\|\s*$")
 _REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\d+\.)\s.*\b(?:1[89]|20)\d\d\b.{0,12}$")
 _GLOSS = re.compile(r"^\s*(?:[-*]\s+)?[^:\n]{2,60}:\s+\S+(?:\s+\S+){3,}")
 _KEYWORDS = re.compile(r"^\s*(?:keywords?|key words|tags?|index terms|mots[- ]cl[ée]s|schl[üu]sselw[öo]rter|palabras clave)\s*[:\-–—]\s*(.*)$", re.I)
+_SEPARATOR = re.compile(r"([|·•»›▸→,;\t\n]|\s[-–—/>]\s)")
 LINK = "\u0002"
 _WORD_OR_LINK = re.compile(rf"[^\W_]+|{LINK}")
 
@@ -97,20 +103,69 @@ def stuffed_share(text: str, heads: frozenset[str]) -> float:
                 other += len(_WORD.findall(line))
                 continue
         kept.append(line)
-    words = _WORD_OR_LINK.findall(key("\n".join(kept)))
+    words, loose = [], []
+    for w, entry in entries_of("\n".join(kept)):
+        words += w
+        loose += [entry] * len(w)
     n = len(words)
-    if n < LEAST_WORDS:
+    if not n:
         return 0.0
+    for i in repeated(words):
+        loose[i] = True
+    sentence = n < LEAST_WORDS and "\n".join(kept).rstrip().endswith((".", "!", "?", "。"))
     at = [-1, *(i for i, w in enumerate(words) if w in heads), n]
-    loose = 0
     for a, b in zip(at, at[1:]):
-        gap = b - a - 1
-        if gap > GAP:
-            ends = (a >= 0) + (b < n)
-            loose += max(0, gap - ends * EDGE)
-        elif LINK in words[a + 1 : b]:
-            loose += words[a + 1 : b].count(LINK)
-    return loose / (n + other)
+        if b - a - 1 > GAP and not sentence:
+            for i in range(a + 1 + EDGE * (a >= 0), b - EDGE * (b < n)):
+                loose[i] = True
+    return sum(x or w == LINK for x, w in zip(loose, words)) / (n + other)
+
+
+def entries_of(text: str) -> list[tuple[list[str], bool]]:
+    """The words of each part between separators, and whether it is one of a row of short entries, not a sentence's."""
+    parts = _SEPARATOR.split(text)
+    out: list[tuple[list[str], bool]] = []
+    run: list[int] = []
+    strong = 0
+
+    def close() -> None:
+        if len(run) >= (ENTRIES if 2 * strong >= len(run) else LISTED):
+            for i in run:
+                out[i] = (out[i][0], True)
+
+    for k in range(0, len(parts), 2):
+        part, before = parts[k], parts[k - 1] if k else "\n"
+        words = _WORD_OR_LINK.findall(key(part))
+        if not words:
+            continue
+        wrapped = before == "\n" and part.lstrip()[:1].islower()  # goes on with the line before
+        short = len(words) <= ENTRY and ":" not in part and not part.rstrip().endswith((".", "!", "?", "。")) and not wrapped
+        if not short:
+            close()
+            run, strong = [], 0
+        else:
+            run.append(len(out))
+            strong += before.strip() not in (",", ";")
+        out.append((words, False))
+    close()
+    return out
+
+
+def repeated(words: list[str]) -> set[int]:
+    """Places of the words of phrases that come again and again: close together, or very often on the page."""
+    places: dict[tuple[str, ...], list[int]] = {}
+    for i in range(len(words) - GRAM + 1):
+        places.setdefault(tuple(words[i : i + GRAM]), []).append(i)
+    out: set[int] = set()
+    for at in places.values():
+        if len(at) >= max(OFTEN, len(words) / EVERY):
+            hit = at
+        elif len(at) >= AGAIN:
+            hit = [i for i, before, after in zip(at, [-NEAR - 1, *at], [*at[1:], 10**9]) if i - before <= NEAR or after - i <= NEAR]
+        else:
+            continue
+        out.update(i + d for i in hit for d in range(GRAM))
+    return out
 
 
 def page_counts(documents: DataFrame) -> DataFrame:

@@ -229,3 +229,14 @@ def test_spam_and_its_likenesses(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumn("n", F.lit(1))
     assert sorted(r["doc_id"] for r in spam.found(df).collect()) == [1, 1, 2, 3, 4, 5]
     assert spam.found(df.where("false")).count() == 0
+
+
+def test_lists_and_phrases_with_function_words(spark):
+    heads = frozenset("the of a to in for is and us".split())
+    menu = ["Terms of use", "About the team", "Contact us", "Jobs in Rome", "Press and news", "Return to the top", "Help for you", "The map of it"]
+    spam_pages = ["cheap flights to Paris " * 12, " | ".join(menu), "\n".join(menu), "Home | Login | Help | Cite | Next", " ".join(f"#tag{i}" for i in range(12)), ("hotels in Rome flights to Nice a car for hire in Lyon the best of a visit to Kiel and " * 8)]
+    good = [PROSE, PROSE * 5, "A short note of the kernel.", "Graph kernels", "Of 331 sheaf planner voxels, 23 reach market canopy season.", "", "The first line of\na wrapped note is\nhere to be read\nin a row of\nshort lines and\nit is a sentence.", PROSE + " | ".join(menu[:5])]
+    assert [spam.stuffed_share(t, heads) > 0.5 for t in spam_pages + good] == [True] * len(spam_pages) + [False] * len(good)
+    pages = {1: spam_pages[0], 2: "\n".join(["Home | Login | Help | Cite | Next"])}
+    rows = [(i, t, "en") for i, t in pages.items()] + [(100 + i, PROSE * (1 + i % 4) + f"Item{i} ends.", "en") for i in range(60)]
+    assert sorted(r["doc_id"] for r in spam.found(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()) == [1, 2]
