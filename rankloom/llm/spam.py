@@ -8,11 +8,11 @@ without any function word, the words of bare links, and, whatever function words
 and again and rows of short separated entries are no sentences; tables, code, references and a line of keywords
 don't count as such; the page is spam if more than half of its words remain.
 
-Statistics are those of the whole corpus; only the heads of the rank lists (at most ``LANGUAGES * HEAD`` words) go
+Statistics are those of the whole corpus; only the heads of the rank lists (``HEAD`` words of a language) go
 to the driver. One page is one row until its distinct words are ranked, so a hot source or language is spread.
 
 Defined results: NULL, empty and blank texts are no spam; short ones are judged as all others; a page in a language of which
-there is too little is compared with all languages' heads; copies of a page are judged alike.
+there is too little is never spam for missing function words; languages are inferred where labels are unusable; copies of a page are judged alike.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ from .visual import key
 HEAD = 28
 #: A head word stands in so large a part of the pages of its language.
 HEAD_SHARE = 0.25
-LANGUAGES = 64
-#: A language needs this part of all pages to have a head of its own.
-LANGUAGE_SHARE = 0.005
+#: A language needs so many pages, and so many heads in as many; with SPOKEN of its words among a language's heads a
+#: page is written in it.
+LEAST_HEADS, SPOKEN = 8, 0.1
 #: A language needs so many pages; a word that makes up a larger part of a page is that page's keyword, not its grammar.
 LANGUAGE_PAGES, KEYWORD_SHARE = 5, 0.15
 #: Deviations (in scaled median deviations) from which a curve is extreme.
@@ -86,7 +86,7 @@ def visible_lines(text: str) -> str:
 
 
 def stuffed_share(text: str, heads: frozenset[str]) -> float:
-    """The part of the words that stand in no sentence."""
+    """The part of the words that stand in no sentence; without heads, missing function words say nothing."""
     t = visible_lines(text)
     kept, other = [], 0
     plain = _MATH.sub(" ", t)
@@ -115,7 +115,7 @@ def stuffed_share(text: str, heads: frozenset[str]) -> float:
     sentence = n < LEAST_WORDS and "\n".join(kept).rstrip().endswith((".", "!", "?", "。"))
     at = [-1, *(i for i, w in enumerate(words) if w in heads), n]
     for a, b in zip(at, at[1:]):
-        if b - a - 1 > GAP and not sentence:
+        if heads and b - a - 1 > GAP and not sentence:
             for i in range(a + 1 + EDGE * (a >= 0), b - EDGE * (b < n)):
                 loose[i] = True
     return sum(x or w == LINK for x, w in zip(loose, words)) / (n + other)
@@ -195,79 +195,129 @@ def page_counts(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, lang string, n bigint, words array<string>, counts array<bigint>")
 
 
-def language_heads(pages: DataFrame) -> dict[str, list[str]]:
-    """The words that head each language's rank list, by the part of its pages that hold them."""
-    sizes = pages.where(F.col("lang") != "").groupBy("lang").agg(F.count("*").alias("pages"))
-    total = sizes.agg(F.sum("pages")).first()[0] or 0
-    main = sizes.where(F.col("pages") >= F.lit(max(LANGUAGE_PAGES, LANGUAGE_SHARE * total))).orderBy(F.desc("pages"), "lang").limit(LANGUAGES)
-    main = {r["lang"]: r["pages"] for r in main.collect()}  # at most LANGUAGES rows
-    if not main:
-        return {}
-    rows = pages.where(F.col("lang").isin(list(main))).select("lang", "n", F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
-    df = rows.where(F.col("c") <= F.greatest(F.lit(2), F.col("n") * KEYWORD_SHARE)).groupBy("lang", "word").count()
-    top = Window.partitionBy("lang").orderBy(F.desc("count"), "word")
+def top_words(rows: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
+    """The words that head the rank list of each label of (label, word, n, c), by the part of its pages that hold them."""
+    df = rows.where((F.col("c") <= F.greatest(F.lit(2), F.col("n") * KEYWORD_SHARE)) & (F.col("word") != LINK)).groupBy("label", "word").count()
+    top = Window.partitionBy("label").orderBy(F.desc("count"), "word")
     heads: dict[str, list[str]] = {}
-    for r in df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= HEAD).orderBy("lang", "rank").collect():
-        if r["count"] >= HEAD_SHARE * main[r["lang"]]:
-            heads.setdefault(r["lang"], []).append(r["word"])
-    return heads
+    for r in df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= HEAD).orderBy("label", "rank").collect():
+        if r["count"] >= max(LANGUAGE_PAGES, HEAD_SHARE * sizes[r["label"]]):
+            heads.setdefault(r["label"], []).append(r["word"])
+    return {label: words for label, words in heads.items() if len(words) >= LEAST_HEADS}
 
 
-def curves(pages: DataFrame, heads: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, language, bin, slope, residual, mass): the fitted rank-frequency curve of each page."""
-    rows = pages.select("doc_id", "lang", "n", F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "word")))
-    x, y = F.log(F.col("rank").cast("double")), F.log(F.col("c").cast("double"))
+def word_rows(pages: DataFrame, *cols: str) -> DataFrame:
+    return pages.select("doc_id", "n", *cols, F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
 
-    def mass(words: list[str]) -> Column:
-        return F.coalesce(F.sum(F.when(F.col("word").isin(words), F.col("c"))), F.lit(0)) / F.max("n")
 
-    any_head = sorted({w for ws in heads.values() for w in ws})
+def language_heads(pages: DataFrame) -> dict[str, list[str]]:
+    """The heads of every declared language of enough pages; a label has two letters, so there are few."""
+    sizes = {r["lang"]: r["count"] for r in pages.where(F.col("lang") != "").groupBy("lang").count().where(F.col("count") >= LANGUAGE_PAGES).collect()}
+    if not sizes:
+        return {}
+    return top_words(word_rows(pages.where(F.col("lang").isin(list(sizes))), F.col("lang").alias("label")), sizes)
+
+
+def masses(pages: DataFrame, heads: dict[str, list[str]]) -> DataFrame:
+    """(doc_id, language, near, mass): the language of each page, '' if unknown, all that it is written in, the part of
+    its words that head the language's list."""
+    base = pages.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max("n").alias("n"))
+    if not heads:
+        return base.select("doc_id", F.lit("").alias("language"), F.array().cast("array<string>").alias("near"), F.lit(0.0).alias("mass"))
+    table = pages.sparkSession.createDataFrame([(w, label) for label, ws in sorted(heads.items()) for w in ws], "word string, l string")
+    m = word_rows(pages).join(F.broadcast(table), "word").groupBy("doc_id", "l").agg(F.sum("c").alias("c"))
+    per = m.groupBy("doc_id").agg(F.collect_list(F.struct("c", "l")).alias("all"))
+    x = base.join(per, "doc_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<c:bigint,l:string>>")))
+    best = F.array_max("all")
+    # the declared language holds where the page has hardly any function words to judge by
+    language = F.when(best["c"] >= SPOKEN * F.col("n"), best["l"]).when(F.col("lang").isin(sorted(heads)), F.col("lang")).otherwise("")
+    near = F.transform(F.filter("all", lambda e: e["c"] >= SPOKEN * F.col("n")), lambda e: e["l"])
+    x = x.select("doc_id", "n", "all", near.alias("near"), language.alias("language"))
+    own = F.coalesce(F.array_max(F.transform(F.filter("all", lambda e: e["l"] == F.col("language")), lambda e: e["c"])), F.lit(0))
+    return x.select("doc_id", "language", "near", (own / F.col("n")).alias("mass"))
+
+
+def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, dict[str, list[str]]]:
+    """masses() and all heads, where the labels are unusable with languages inferred from the pages.
+
+    A page without function words and without a usable label is in the language whose other pages hold most of its
+    words, if that is half of them. Of the pages that are left, those that hold the most common word are taken for a
+    language of their own if enough words head their rank list, again and again; a page that is still left has none.
+    """
+    failed = 0
+    tried: list[str] = []
+    while True:
+        known = materialize(masses(pages, heads), "masses")
+        lost = known.where("language = ''").select("doc_id")
+        if not lost.count():
+            return known, heads
+        left = materialize(pages.join(lost, "doc_id", "left_semi"), "lost")
+        if heads:
+            mine = word_rows(left).where(F.col("word") != LINK)
+            common = word_rows(pages).join(mine.select("word").distinct(), "word", "left_semi").join(known.where("language <> ''").select("doc_id", "language"), "doc_id")
+            vocabulary = common.groupBy("language", "word").agg(F.count("*").alias("in")).where(F.col("in") >= LANGUAGE_PAGES)
+            part = mine.join(vocabulary, "word").groupBy("doc_id", "language").agg(F.sum("c").alias("c"))
+            total = mine.groupBy("doc_id").agg(F.sum("c").alias("of"))
+            guess = part.groupBy("doc_id").agg(F.max(F.struct("c", "language")).alias("g")).join(total, "doc_id").where(F.col("g.c") >= 0.5 * F.col("of")).select("doc_id", F.col("g.language").alias("guess"))
+            guess = materialize(guess, "guess")
+            known = known.join(guess, "doc_id", "left").select("doc_id", F.coalesce("guess", "language").alias("language"), "near", "mass")
+            left = left.join(guess, "doc_id", "left_anti")
+        words = word_rows(left).where((F.col("c") <= F.greatest(F.lit(2), F.col("n") * KEYWORD_SHARE)) & (F.col("word") != LINK) & ~F.col("word").isin(tried))
+        seed = words.groupBy("word").count().orderBy(F.desc("count"), "word").first()
+        if seed is None or seed["count"] < LANGUAGE_PAGES or failed >= 3:
+            return known, heads
+        tried.append(seed["word"])
+        members = left.where(F.array_contains("words", seed["word"]))
+        new = top_words(word_rows(members, F.lit(f"like {seed['word']}").alias("label")), {f"like {seed['word']}": seed["count"]})
+        failed = 0 if new else failed + 1
+        heads = heads | new
+
+
+def curves(pages: DataFrame, languages: DataFrame) -> DataFrame:
+    """(doc_id, language, near, bin, slope, residual, mass): the fitted rank-frequency curve of each page."""
+    rows = word_rows(pages)
+    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "word")))
+    x, y = F.log(F.col("rank").cast("double")), F.log(F.col("c").cast("double"))
     fit = ranked.groupBy("doc_id").agg(
-        F.max("lang").alias("lang"), F.max("n").alias("n"),
+        F.max("n").alias("n"),
         F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
         F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(1.0))), F.lit(0.0))) / F.count("*")).alias("residual"),
-        *(mass(ws).alias(f"m_{lang}") for lang, ws in sorted(heads.items())),
-        (mass(any_head) if any_head else F.lit(0.0)).alias("m_any"),
     )
-    best = F.greatest(*(F.struct(F.col(f"m_{lang}").alias("m"), F.lit(lang).alias("l")) for lang in sorted(heads))) if len(heads) > 1 else None
-    declared = F.col("lang").isin(sorted(heads)) if heads else F.lit(False)
-    guess = best["l"] if best is not None else F.lit(next(iter(heads), ""))
-    top = F.greatest(*(F.col(f"m_{lang}") for lang in sorted(heads))) if len(heads) > 1 else (F.col(f"m_{next(iter(heads))}") if heads else F.lit(0.0))
-    # the declared language holds where the page has hardly any function words to judge by
-    language = F.when(top >= 0.1, guess).when(declared, F.col("lang")).otherwise(guess)
-    return fit.select("doc_id", language.alias("language"), F.floor(F.log2(F.col("n").cast("double"))).alias("bin"), "slope", "residual", F.col("m_any").alias("mass"))
+    return fit.join(languages, "doc_id").select("doc_id", "language", "near", F.floor(F.log2(F.col("n").cast("double"))).alias("bin"), "slope", "residual", "mass")
 
 
 def flagged(fitted: DataFrame) -> DataFrame:
-    """doc_id of pages whose curve is extreme among pages of their language and length."""
+    """(doc_id, language, near) of pages whose curve is extreme among pages of their language and length."""
     feats = ("slope", "residual", "mass")
     keys = ["language", "bin"]
     mid = fitted.groupBy(*keys).agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"{f}_mid") for f in feats))
-    near = fitted.join(F.broadcast(mid), keys)  # languages (at most LANGUAGES) times bins (at most 64)
+    near = fitted.join(F.broadcast(mid), keys)  # languages times bins (at most 64)
     dev = near.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"{f}_mid")), 0.5, 2000).alias(f"{f}_dev") for f in feats))
     z = near.join(F.broadcast(dev), keys)
     score = {f: (F.col(f) - F.col(f"{f}_mid")) / (1.4826 * F.col(f"{f}_dev") + 1e-3) for f in feats}
     extreme = (
         (F.abs(score["slope"]) > EXTREME) | (F.abs(score["residual"]) > EXTREME) | (score["mass"] < -EXTREME) | (F.col("mass") < 0.62 * F.col("mass_mid")) | (F.col("mass") < 0.2)
     )
-    return z.where(extreme).select("doc_id")
+    return z.where(extreme).select("doc_id", "language", "near")
 
 
 def found(documents: DataFrame) -> DataFrame:
     """doc_id of the spam pages."""
     docs = documents.select("doc_id", "text", "lang")
     pages = materialize(page_counts(docs), "pages")
-    heads = language_heads(pages)
-    fitted = materialize(curves(pages, heads), "curves")  # read three times
+    languages, heads = spoken(pages, language_heads(pages))
+    fitted = materialize(curves(pages, languages), "curves")  # read three times
     candidates = materialize(flagged(fitted), "flagged")
-    words = frozenset(w for ws in heads.values() for w in ws)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spam = [d for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) if stuffed_share(t, words) > 0.5]
+            spam = []
+            for d, t, language, near in zip(*(b.column(i).to_pylist() for i in range(4))):
+                words = frozenset(w for l in {language, *near} for w in heads.get(l, ()))
+                if stuffed_share(t, words) > 0.5:
+                    spam.append(d)
             yield pa.RecordBatch.from_arrays([pa.array(spam, b.column(0).type)], names=["doc_id"])
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    suspects = docs.where(F.length("text") > 0).join(candidates, "doc_id", "left_semi").select("doc_id", "text")
+    suspects = docs.where(F.length("text") > 0).join(candidates, "doc_id").select("doc_id", "text", "language", "near")
     return suspects.mapInArrow(measure, f"doc_id {kind}")

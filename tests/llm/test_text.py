@@ -240,3 +240,15 @@ def test_lists_and_phrases_with_function_words(spark):
     pages = {1: spam_pages[0], 2: "\n".join(["Home | Login | Help | Cite | Next"])}
     rows = [(i, t, "en") for i, t in pages.items()] + [(100 + i, PROSE * (1 + i % 4) + f"Item{i} ends.", "en") for i in range(60)]
     assert sorted(r["doc_id"] for r in spam.found(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()) == [1, 2]
+
+
+def test_prose_of_small_and_unlabelled_languages_is_no_spam(spark):
+    rng = random.Random(3)
+    own = "wir das ein mit von nicht auch sich".split()
+    small = lambda i: " ".join(rng.choice(own) if j % 2 else f"q{rng.randrange(500)}z" for j in range(40)) + "."
+    lone = " ".join(f"x{i}y" for i in range(30)) + "."
+    rows = [(i, PROSE * (1 + i % 4) + f"Item{i} ends.", "en") for i in range(2000)] + [(5000 + i, small(i), ("pl", None, "polski")[i % 3]) for i in range(24)] + [(6000, lone, "fi"), (6001, lone + " so", None)]
+    schema = "doc_id long, text string, lang string"
+    assert spam.found(spark.createDataFrame(rows, schema)).count() == 0
+    none = [(i, t, "english" if i % 2 else None) for i, t, _ in rows] + [(7001, "home login next cite " * 20, "english")]
+    assert {r["doc_id"] for r in spam.found(spark.createDataFrame(none, schema)).collect()} == {7001}
