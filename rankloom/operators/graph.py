@@ -14,12 +14,15 @@ from ..session import materialize, small
 
 K, FLOOR, RESTART, ITERATIONS = 8, 0.6, 0.4, 30
 BLOCK = 4096
+#: Similarities are equal to so many digits; what a block's products may differ by for copies of one vector.
+DIGITS, TIE = 12, 1e-11
 
 
 def nearest(queries: DataFrame, base: DataFrame, k: int = K, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
     """(src, dst, sim): of each query (id, vec) the k most similar rows of base (id, vec), itself excluded.
 
-    Blocks of queries meet blocks of base one pair per task as matrix products; only each pair's k best leave it.
+    Blocks of queries meet blocks of base one pair per task as matrix products; only each pair's k best leave it. Ties
+    go to the smaller id in every block, whatever the number of copies.
     """
     nq = max(1, -(-queries.count() // block))
     nb = max(1, -(-base.count() // block))
@@ -41,12 +44,17 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = K, floor: float = FLOO
             s = qx @ bx.T
             s[qid[:, None] == bid[None, :]] = -2
             s[s < floor] = -2
-            m = min(k + 8, s.shape[1])  # room for ties at the edge
-            top = np.argpartition(-s, m - 1, axis=1)[:, :m]
-            r, c = np.nonzero(np.take_along_axis(s, top, 1) > -2)
-            src.append(qid[r])
-            dst.append(bid[top[r, c]])
-            sim.append(s[r, top[r, c]])
+            m = min(k, s.shape[1])
+            edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
+            # copies may differ in the last bits of their products: all near the edge are candidates, by value, then id
+            r, c = np.nonzero((s >= edge[:, None] - TIE) & (s > -2))
+            value = np.round(s[r, c], DIGITS)
+            order = np.lexsort((bid[c], -value, r))
+            r, c, value = r[order], c[order], value[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            src.append(qid[r[first]])
+            dst.append(bid[c[first]])
+            sim.append(value[first])
         return pa.table([np.concatenate(src), np.concatenate(dst), np.concatenate(sim)], schema=out)
 
     hits = q.unionByName(b).groupBy("qb", "bb").applyInArrow(match, "src long, dst long, sim double")

@@ -13,7 +13,8 @@ from ..operators import graph
 from ..session import materialize, table
 
 MIN_SIM = 0.2
-SEED = 0
+#: The searches: every vector whose id is divisible by it.
+EVERY = 50
 
 
 def vecs(s: SparkSession, d: str) -> DataFrame:
@@ -52,16 +53,17 @@ def degrees(s: SparkSession, d: str) -> DataFrame:
 
 
 def seed_sims(s: SparkSession, d: str) -> DataFrame:
-    return graph.nearest(vecs(s, d).where(F.col("id") == SEED), vecs(s, d), k=1_000_000, floor=MIN_SIM).select(F.col("src").alias("seed_id"), F.col("dst").alias("node"), "sim")
+    return graph.nearest(vecs(s, d).where(F.col("id") % EVERY == 0), vecs(s, d), k=1_000_000, floor=MIN_SIM).select(F.col("src").alias("seed_id"), F.col("dst").alias("node"), "sim")
 
 
 def pagerank(s: SparkSession, d: str) -> DataFrame:
-    seeds = vecs(s, d).where("id < 5").select(F.lit(0).cast("long").alias("seed_id"), F.col("id").alias("node"), F.lit(1.0).alias("weight"))
-    return graph.pagerank(adjacency(s, d), seeds).select("node", F.round("score", 6).alias("score"))
+    """The walk from every search's vector."""
+    seeds = vecs(s, d).where(F.col("id") % EVERY == 0).select(F.col("id").alias("seed_id"), F.col("id").alias("node"), F.lit(1.0).alias("weight"))
+    return graph.pagerank(adjacency(s, d), seeds).select("seed_id", "node", F.round("score", 6).alias("score"))
 
 
 def similar(s: SparkSession, d: str) -> DataFrame:
-    return graph.similar(adjacency(s, d), seed_sims(s, d), floor=MIN_SIM).select("node", "similarity", F.round("score", 6).alias("score"), "direct", "via")
+    return graph.similar(adjacency(s, d), seed_sims(s, d), floor=MIN_SIM).select("seed_id", "node", "similarity", F.round("score", 6).alias("score"), "direct", "via")
 
 
 def neighbourhood(s: SparkSession, d: str) -> DataFrame:

@@ -545,3 +545,24 @@ def test_preferences(tmp_path):
     p = config.priorities_of(prefs)
     assert p.weights["preference"] == 0.15 and p.weights["relevance"] == 0.35 and p.tier_order == ("code",)
     assert config.filters_of(prefs) == Filters(min_year=2020, exclude_keywords=("survey",), require_code=True)
+
+
+def test_ties_of_many_copies_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=16).tolist()
+    rows = [(int(i), v) for i in rng.permutation(300)] + [(1000 + i, rng.normal(size=16).tolist()) for i in range(100)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>")
+    for block in (40, 4096):
+        got = {}
+        for r in graph.nearest(df.where("id < 300"), df, k=4, block=block).collect():
+            got.setdefault(r["src"], set()).add(r["dst"])
+        assert got == {i: set([j for j in range(6) if j != i][:4]) for i in range(300)}
+
+
+def test_seeded_searches_take_every_fiftieth_vector(spark, sf):
+    from rankloom.plans import graphs
+
+    want = {r["id"] for r in graphs.vecs(spark, sf).where("id % 50 = 0").collect()}
+    assert len(want) > 1
+    for name in ("similar", "pagerank"):
+        assert {r["seed_id"] for r in graphs.QUERIES[name](spark, sf).select("seed_id").distinct().collect()} == want
