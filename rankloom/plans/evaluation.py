@@ -147,7 +147,7 @@ def map_flags(s: SparkSession, d: str) -> DataFrame:
 
 
 def cv_report(s: SparkSession, d: str) -> DataFrame:
-    r = prefmodel.cross_validate(materialize(_training(s, d), "training"), folds=2)
+    r = prefmodel.cross_validate(materialize(_training(s, d), "training"))
     return s.createDataFrame([("structured", r["auc"], r["auc_std"], r["accuracy"])], "features string, auc double, auc_std double, accuracy double")
 
 

@@ -566,3 +566,10 @@ def test_seeded_searches_take_every_fiftieth_vector(spark, sf):
     assert len(want) > 1
     for name in ("similar", "pagerank"):
         assert {r["seed_id"] for r in graphs.QUERIES[name](spark, sf).select("seed_id").distinct().collect()} == want
+
+
+def test_folds_hold_both_classes(spark):
+    df = spark.createDataFrame([(f"k{i}", int(i < 4)) for i in range(40)], "paper_key string, label int")
+    assert prefmodel.fold_count(df) == 4 and prefmodel.fold_count(df.where("label = 0")) == 2 and prefmodel.fold_count(df.unionByName(df)) == 5
+    got = prefmodel.fold_column(df, 4).groupBy("fold", "label").count().collect()
+    assert {(r["fold"], r["label"]): r["count"] for r in got} == {(f, lab): (1 if lab else 9) for f in range(4) for lab in (0, 1)}
