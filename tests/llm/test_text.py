@@ -186,6 +186,12 @@ def test_shared_wording_is_no_leak(spark):
     it = spark.createDataFrame([(1, " ".join(shared + a)), (2, " ".join(shared + b))], "item_id long, text string")
     df = spark.createDataFrame([(1, " ".join(shared)), (2, " ".join(shared + a)), (3, " ".join(b[:15]))], "doc_id long, text string")
     assert {tuple(r) for r in leaks.found(df, it).collect()} == {(2, 1)}
+    # items that do not travel together: what is shared is counted over all of them
+    closing = sentence(rng, 30)
+    it = spark.createDataFrame([(i, " ".join(sentence(rng, 30) + closing)) for i in range(4)] + [(9, " ".join(a)), (9, " ".join(b)), (9, " ".join(b))], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(closing)), (2, " ".join(b)), (2, " ".join(b)), (3, " ".join(a + b))], "doc_id long, text string")
+    assert [sorted(map(tuple, leaks.found(df, it, block=n).collect())) for n in (40, leaks.BLOCK)] == [[(2, 9), (3, 9)]] * 2
+
 
 
 def test_markup_and_odd_characters_do_not_matter(spark):
