@@ -7,6 +7,8 @@ import datetime
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from rankloom.llm import link, neighbours, survivor
 
 # ---- 2 ----
@@ -142,30 +144,50 @@ def test_graph_is_directed_pruned_and_reaches_all():
 # ---- 5 ----
 
 
-def brute(values):
-    """All layers, then the policy, for each group and field."""
-    out = {}
-    for g in {(v[0], v[1]) for v in values}:
-        own = {}
-        for _, _, value, rec, c, r, t in (v for v in values if (v[0], v[1]) == g):
-            o = own.setdefault(value, [rec, c, r, t])
-            own[value] = [min(o[0], rec), max(o[1], c), max(o[2], r), max(o[3], t)]
-        rows = list(own.values())
-        top = [a for a in rows if not any(all(b[k] >= a[k] for k in (1, 2, 3)) and any(b[k] > a[k] for k in (1, 2, 3)) for b in rows)]
-        at = {"completeness": 1, "recency": 2, "trust": 3}
-        out[g] = max(top, key=lambda a: (*(a[at[d]] for d in survivor.POLICIES[g[1]]), -a[0]))[0]
+def peeled(triples):
+    """Dominance layers by taking away what nothing dominates, again and again."""
+    left, out, n = set(triples), {}, 0
+    while left:
+        n += 1
+        top = {a for a in left if not any(b != a and all(y >= x for x, y in zip(a, b)) for b in left)}
+        out |= {a: n for a in top}
+        left -= top
     return out
 
 
-def test_skyline_equals_brute_force(spark):
+def test_layers_equal_peeling(spark):
     rng = np.random.default_rng(2)
-    values = [(int(rng.integers(12)) if rng.random() < 0.6 else 0, list(survivor.POLICIES)[rng.integers(4)], f"v{rng.integers(60)}", int(rng.integers(10_000)), *(int(x) for x in rng.integers(0, 6, 3))) for _ in range(1500)]
-    df = spark.createDataFrame(values, "group_id long, col string, value string, rec_id long, completeness long, recency long, trust long")
-    for hot in (10, 10_000):
-        assert {(r["group_id"], r["col"]): r["rec_id"] for r in survivor.survivors(df, survivor.POLICIES, hot).collect()} == brute(values)
+    rows = [(int(rng.integers(8)) if rng.random() < 0.6 else 0, *(int(x) for x in rng.integers(0, (5, 40, 3)))) for _ in range(1500)]
+    got = survivor.layers(spark.createDataFrame(rows, "group_id long, completeness int, recency int, trust int")).collect()
+    want = {(g, *t, n) for g in range(8) for t, n in peeled({r[1:] for r in rows if r[0] == g}).items()}
+    assert {tuple(r) for r in got} == want and len(got) == len(want) and max(r["layer"] for r in got) > 10
+
+
+def test_layers_decide_and_fill(spark):
+    """Two venues in full: the one of the undominated record survives, though the other is newer; without it the field
+    is filled from the layer behind."""
+    text = "We study the first graph. It has many nodes. The end is near."
+    rows = [
+        (1, "It", text, "Journal of Graphs", 5, "https://git.example.org/a/b", True, at(40), 0, "10.1/x", None), (2, "It", "", "Annals of Nodes", 0, "", False, at(41), 0, "", ""),
+        (3, "It", text, "", 7, "https://git.example.org/a/b", True, at(200), 0, "10.1/x", None),
+    ]
+    p, g = spark.createDataFrame(rows, FIELDS), spark.createDataFrame([(1, 1), (1, 2), (1, 3)], "group_id long, rec_id long")
+    venue = lambda papers: [r["rec_id"] for r in survivor.found(papers, g).where("col = 'venue'").collect()]
+    assert venue(p) == [1] and venue(p.where("rec_id <> 1")) == [2]
+    values = [(1, "venue", "a", 1, 3, 0, 40, 1), (1, "venue", "b", 2, 3, 0, 41, 2), (1, "citations", "5", 1, 9, 5, 9, 3), (1, "citations", "7", 2, 9, 7, 9, 2)]
+    df = spark.createDataFrame(values, "group_id long, col string, value string, rec_id long, fit long, size long, seen long, layer int")
+    best = lambda d: {r["col"]: r["rec_id"] for r in survivor.survivors(d).collect()}
+    assert best(df) == {"venue": 1, "citations": 2} and best(df.withColumn("layer", F.lit(1))) == {"venue": 2, "citations": 2}
+
+
+def test_a_hot_group_is_aggregated(spark):
+    rows = spark.range(30_000).selectExpr("id rec_id", "'It' title", "concat('We study graph ', id % 7, ' in full.') abstract", "'Journal of Graphs' venue", "cast(id % 900 + 1 as int) citations", "'https://git.example.org/a/b' code_url", "id % 5 = 0 code_official", "timestamp_seconds(1600000000 + id * 7) fetched_at", "'' doi", "'' arxiv_id")
+    got = survivor.found(rows, rows.selectExpr("rec_id % 2 * rec_id % 50 group_id", "rec_id"))
+    best = {r["col"]: r["rec_id"] for r in got.where("group_id = 0").collect()}
+    assert (best["venue"], best["code_url"], best["citations"]) == (0, 0, 29_998 % 900)
 
 
-FIELDS = "rec_id long, title string, abstract string, venue string, citations int, code_url string, code_official boolean, fetched_at timestamp, extra int"
+FIELDS = "rec_id long, title string, abstract string, venue string, citations int, code_url string, code_official boolean, fetched_at timestamp, extra int, doi string, arxiv_id string"
 
 
 def at(n):
@@ -176,10 +198,10 @@ def test_fields_of_a_group(spark):
     notice = "This page uses cookies to remember your settings. Export citation now please."
     full = "We study the first graph. It has many nodes. The end is near."
     rows = [
-        (1, "Title of It", full[:40] + " (truncated)", "Int. Foo Wksp. Graphs 2019", 5, "https://git.example.org/", True, at(1), 0), (2, "Title of It", full + "  " + notice, "arXiv", 2147483647, "http://www.git.example.org/a/b.git", False, at(9), 0),
-        (3, "Title of It", full, "International Foo Workshop on Graphs", 7, "coming soon", False, at(5), 0), (4, "Title​ of It", "Title of It", "International  Foo Workshop on Graphs", 0, "https://git.example.org/a/b/tree/main", False, at(20), 0),
-        (5, "Lone", None, None, None, None, None, None, 0), (6, "Lone", "No abstract.", "preprint", -1, "https://code.example.org/404", True, at(1), 0), (7, "Third", "N/A. " + notice, "Foo...", 99999, None, None, at(1), 0), (8, "Fourth one", notice + " xyz", "CoRR", 3, "https://c.example.org/own/er", True, at(2), 0),
-        (9, "Fifth", notice, "", 3, "https://c.example.org/oth/er", False, at(3), 0),
+        (1, "Title of It", full[:40] + " (truncated)", "Int. Foo Wksp. Graphs 2019", 5, "https://git.example.org/", True, at(1), 0, None, ""), (2, "Title of It", full + "  " + notice, "arXiv", 2147483647, "http://www.git.example.org/a/b.git", False, at(9), 0, None, ""),
+        (3, "Title of It", full, "International Foo Workshop on Graphs", 7, "coming soon", False, at(5), 0, None, ""), (4, "Title​ of It", "Title of It", "International  Foo Workshop on Graphs", 0, "https://git.example.org/a/b/tree/main", False, at(20), 0, None, ""),
+        (5, "Lone", None, None, None, None, None, None, 0, None, ""), (6, "Lone", "No abstract.", "preprint", -1, "https://code.example.org/404", True, at(1), 0, None, ""), (7, "Third", "N/A. " + notice, "Foo...", 99999, None, None, at(1), 0, None, ""), (8, "Fourth one", notice + " xyz", "CoRR", 3, "https://c.example.org/own/er", True, at(2), 0, None, ""),
+        (9, "Fifth", notice, "", 3, "https://c.example.org/oth/er", False, at(3), 0, None, ""),
     ]
     p = spark.createDataFrame(rows, FIELDS)
     g = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (1, 4), (1, 4), (2, 5), (2, 6), (3, 7), (4, 8), (4, 9), (9, 999), (None, 1)], "group_id long, rec_id long")
@@ -191,7 +213,7 @@ def test_fields_of_a_group(spark):
 def test_a_group_of_many_title_spellings_keeps_its_abstract(spark):
     full, notice = "We study the second graph. It has few nodes. The start is far.", "All rights are reserved by the publisher."
     titles = ["Sheaf Robots", "Sheaf Rob...", "\\emph{Sheaf} Robots", "Shaef Robots", "Sheaf Robots [Preprint]"]
-    rows = [(10 + i, t, full, None, None, None, None, at(1), 0) for i, t in enumerate(titles)]
-    rows += [(20, "Lone Star", notice, None, None, None, None, at(1), 0)] + [(30 + i, f"Outside {i}", notice, None, None, None, None, at(1), 0) for i in range(3)]
+    rows = [(10 + i, t, full, None, None, None, None, at(1), 0, None, "") for i, t in enumerate(titles)]
+    rows += [(20, "Lone Star", notice, None, None, None, None, at(1), 0, None, "")] + [(30 + i, f"Outside {i}", notice, None, None, None, None, at(1), 0, None, "") for i in range(3)]
     g = spark.createDataFrame([(1, 10 + i) for i in range(5)] + [(2, 20)], "group_id long, rec_id long")
     assert {tuple(r) for r in survivor.found(spark.createDataFrame(rows, FIELDS), g).collect()} == {(1, "abstract", 10)}
