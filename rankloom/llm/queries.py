@@ -28,13 +28,22 @@ def queries() -> dict[str, Query]:
 
 
 # What makes a field a case, as patterns: characters that can't be seen or are spaces of their own, forms of letters
-# and signs, and letters of two scripts in one word (or a whole word of look-alikes amid Latin text).
-_LIKE = "".join(sorted(visual.LATIN_LIKE))
-_EXACT = "".join(sorted(visual.EXACT))
+# and signs, letters of two scripts in one word (or a whole word of look-alikes amid Latin text), a small Greek letter
+# amid small Latin ones. Code points of look-alikes (all, without the Greek symbols; those that are exact).
+_LIKE = (
+    r"\x{405}\x{406}\x{408}\x{410}\x{412}\x{415}\x{41a}\x{41c}-\x{41e}\x{420}-\x{423}\x{425}\x{42c}\x{430}\x{435}\x{43e}\x{440}\x{441}\x{443}\x{445}\x{455}\x{456}\x{458}\x{4bb}\x{4cf}\x{501}\x{51b}\x{51d}"
+    r"\x{391}\x{392}\x{395}-\x{397}\x{399}\x{39a}\x{39c}\x{39d}\x{39f}\x{3a1}\x{3a4}\x{3a5}\x{3a7}\x{3bf}\x{3f2}\x{3f3}"
+    r"\x{555}\x{54d}\x{570}\x{578}\x{57d}\x{581}\x{585}\x{13a0}-\x{13a2}\x{13aa}-\x{13ac}\x{13b3}\x{13b7}\x{13bb}\x{13c0}\x{13c3}\x{13d9}\x{13da}\x{13de}\x{13df}\x{13e2}\x{13e6}\x{13f4}"
+)
+_EXACT = (
+    r"\x{405}\x{406}\x{408}\x{410}\x{412}\x{415}\x{41a}\x{41c}-\x{41e}\x{420}-\x{422}\x{425}\x{430}\x{435}\x{43e}\x{440}\x{441}\x{443}\x{445}\x{455}\x{456}\x{458}"
+    r"\x{391}\x{392}\x{395}-\x{397}\x{399}\x{39a}\x{39c}\x{39d}\x{39f}\x{3a1}\x{3a4}\x{3a7}\x{3bf}"
+)
+_SYMBOL = r"\x{3b1}\x{3b9}\x{3ba}\x{3bd}\x{3c1}\x{3c4}\x{3c5}\x{3c7}"
 _HIDDEN = r"[\x{ad}\x{34f}\x{61c}\x{115f}\x{1160}\x{17b4}\x{17b5}\x{180b}-\x{180f}\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{206f}\x{3164}\x{fe00}-\x{fe0f}\x{feff}\x{ffa0}\x{e0000}-\x{e0fff}]"
 _SPACE = r"[\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_FORM = r"[\x{ff01}-\x{ff9f}\x{1d400}-\x{1d7ff}\x{fb00}-\x{fb06}\x{2010}\x{2011}\x{b5}\x{2026}]"
-_MIXED = rf"\p{{Latin}}[\p{{L}}\p{{M}}]*[{_LIKE}]|[{_LIKE}][\p{{L}}\p{{M}}]*\p{{Latin}}"
+_FORM = r"[\x{ff01}-\x{ff9f}\x{1d400}-\x{1d7ff}\x{fb00}-\x{fb06}\x{2010}\x{2011}\x{2026}]"
+_MIXED = rf"\p{{Latin}}[\p{{L}}\p{{M}}]*[{_LIKE}]|[{_LIKE}][\p{{L}}\p{{M}}]*\p{{Latin}}|[a-z{_LIKE}][{_SYMBOL}][a-z{_LIKE}]|(?:^|[^\p{{L}}\p{{M}}])[{_SYMBOL}][a-z{_LIKE}]{{3}}"
 _WHOLE = rf"(^|[^\p{{L}}\p{{M}}])[{_EXACT}]+($|[^\p{{L}}\p{{M}}])"
 _LATIN = r"2*length(regexp_replace({0},'\P{{Latin}}','','g'))>=length(regexp_replace({0},'\P{{L}}','','g'))"
 

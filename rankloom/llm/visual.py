@@ -2,7 +2,7 @@
 
 ``fold`` brings a string to its visible form: compatibility normalisation (NFKC, composed), every space
 mapped to the plain one, default-ignorable characters removed, and look-alike letters inside words of
-another script replaced by the letters they imitate. ``key`` adds full case folding and collapsed spacing,
+another script replaced by the letters they imitate (not symbols in their place, as in TNFα). ``key`` adds full case folding and collapsed spacing,
 so that two strings that read alike compare equal.
 
 Work is vectorised per distinct value: an Arrow batch is dictionary-encoded, pure-ASCII values skip Python
@@ -23,10 +23,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Letters of two scripts that look like Latin ones.
+# Letters of other scripts that look like Latin ones.
 CYRILLIC_AS_LATIN = dict(zip("АВЕЅІЈКМНОРСТУХЬаеѕіјорсухԁһԛԝӏ", "ABESIJKMHOPCTYXbaesijopcyxdhqwl", strict=True))
 GREEK_AS_LATIN = dict(zip("ΑΒΕΖΗΙΚΜΝΟΡΤΥΧανορικυτχ", "ABEZHIKMNOPTYXavopikutx", strict=True)) | {"ϲ": "c", "ϳ": "j"}
-LATIN_LIKE = CYRILLIC_AS_LATIN | GREEK_AS_LATIN
+ARMENIAN_AS_LATIN = dict(zip("օոսհցՕՍ", "onuhgOU", strict=True))
+CHEROKEE_AS_LATIN = dict(zip("ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏙᏚᏞᏟᏢᏦᏴ", "DRTAJEWMHGZVSLCPKB", strict=True))
+LATIN_LIKE = CYRILLIC_AS_LATIN | GREEK_AS_LATIN | ARMENIAN_AS_LATIN | CHEROKEE_AS_LATIN
+#: Greek letters that are symbols of their own inside Latin words (NFκB, TNFα): an imitation only amid small letters.
+SYMBOLS = set("ανρικυτχ")
+#: What stands for a Latin letter inside a word of another script.
+AS_CYRILLIC = {v: k for k, v in CYRILLIC_AS_LATIN.items()}
+AS_GREEK = {v: k for k, v in GREEK_AS_LATIN.items()}
 #: Look-alikes so close that a whole word made of them, amid Latin text, is read as Latin.
 EXACT = set("АВЕЅІЈКМНОРСТХаеѕіјорсухΑΒΕΖΗΙΚΜΝΟΡΤΧο")
 HYPHENS = "‐‑"
@@ -34,7 +41,7 @@ HYPHENS = "‐‑"
 SYMBOL_TAGS = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<vertical>", "<small>")
 
 _HYPHEN = re.compile("[‐‑]")
-_FOREIGN = re.compile("[Ͱ-ϿЀ-ԯἀ-῿]")
+_FOREIGN = re.compile("[Ͱ-ϿЀ-֏Ꭰ-Ᏼἀ-῿]")
 _WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 # Default-ignorable code points: Cf and fillers, variation selectors, tags, Mongolian separators, combining grapheme joiner.
 _IGNORABLE = re.compile(
@@ -52,15 +59,35 @@ def _script(ch: str) -> str:
         return "greek"
     if 0x400 <= o < 0x530:
         return "cyrillic"
-    return "other"
+    if 0x530 <= o < 0x590:
+        return "armenian"
+    return "cherokee" if 0x13A0 <= o < 0x13F5 else "other"
+
+
+def _imitates(w: str, i: int) -> bool:
+    """Whether letter i of a Latin word, which looks like a Latin one, stands for it and isn't a symbol in its place."""
+    small = lambda c: "a" <= c <= "z"
+    if w[i] not in SYMBOLS:
+        return True
+    if i and i + 1 < len(w):
+        return small(w[i - 1]) and small(w[i + 1])
+    return i == 0 and len(w) > 3 and all(map(small, w[1:4]))
 
 
 def _word(m: re.Match[str], latin_text: bool) -> str:
     w = m.group()
-    scripts = {_script(c) for c in w if not unicodedata.combining(c)}
+    letters = [c for c in w if not unicodedata.combining(c)]
+    scripts = {_script(c) for c in letters}
     if scripts <= {"latin", "other"}:
         return w
-    if "latin" in scripts or len(scripts & {"greek", "cyrillic"}) == 2:
+    if "latin" in scripts:
+        own = [c for c in letters if _script(c) != "latin"]
+        if len(scripts) == 2 and len(own) > len(letters) - len(own) and any(c not in LATIN_LIKE for c in own):
+            back = AS_CYRILLIC if "cyrillic" in scripts else AS_GREEK if "greek" in scripts else {}
+            return "".join(back.get(c, c) if _script(c) == "latin" else c for c in w)
+        w = "".join(c if c in SYMBOLS else LATIN_LIKE.get(c, c) for c in w)
+        return "".join(LATIN_LIKE[c] if c in LATIN_LIKE and _imitates(w, i) else c for i, c in enumerate(w))
+    if len(scripts - {"other"}) > 1:
         return "".join(LATIN_LIKE.get(c, c) for c in w)
     if latin_text and all(c in EXACT for c in w):
         return "".join(LATIN_LIKE[c] for c in w)
@@ -112,7 +139,7 @@ def is_case(s: str) -> bool:
 
 def _looks_other(c: str, d: str) -> bool:
     """<compat> characters that do not look like their expansion (ellipsis and ligatures do; signs like the trade mark don't)."""
-    return d.startswith("<compat>") and not (0xFB00 <= ord(c) <= 0xFB4F or c in "µſ…ĳĲŉǆǇǈǉǊǋǌǅǄ" or 0x2160 <= ord(c) <= 0x217F)
+    return d.startswith("<compat>") and not (0xFB00 <= ord(c) <= 0xFB4F or c in "ſ…ĳĲŉǆǇǈǉǊǋǌǅǄ" or 0x2160 <= ord(c) <= 0x217F)
 
 
 def _vectorised(column: pa.ChunkedArray | pa.Array, fn, kind: pa.DataType, ascii_fn) -> pa.Array:

@@ -19,6 +19,7 @@ WORDS = "graph kernel sheaf diffusion tensor robot glacier archive signal planne
 CASES = {
     "plain title": False, "Hölder café ß": False, "α-Stable (обзор) 学習 →": False, "": False, "With ν = 0.3": False, "tabs\tand\nlines": False, "x² and ½ of ™": False,
     "zero​width": True, "no break": True, "ｆｕｌｌ": True, "mоlecule": True, "Бе́zier": True, "classiﬁer": True, "fine‑tuning": True, "𝐊𝐑𝐔": True, "soft­hyphen": True, "étude": True, "Α Note on Graphs": True,
+    "TNFα and NFκB": False, "β-sheet of 5 µm": False, "Δt and Kα": False, "cosα": False, "a Waνelet": True, "νector": True, "hοuse": True, "обзoр": True, "օbject": True, "Ꭺ Note Ꭺbc": True,
 }
 
 
@@ -32,6 +33,10 @@ def test_look_alikes_compare_equal():
     assert visual.key("Ｆｕｌｌ　ЅНАРЕ  mоlecule​ ﬁt é") == "full shape molecule fit é" and visual.key("GROSSE") == visual.key("große")
 
 
+def test_words_of_another_script_and_symbols_stay():
+    assert visual.fold("обзoр TNFα NFκB") == "обзор TNFα NFκB" and visual.fold("Surνey hοuse") == "Survey house"
+
+
 def test_normalize_columns(spark):
     rows = [(1, "A b", None, 7), (1, "A b", None, 7), (2, None, "", 8), (3, "x" * 200_000 + "​", "plain", 9)]
     df = spark.createDataFrame(rows, "rec_id long, title string, abstract string, extra int")
