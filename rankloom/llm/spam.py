@@ -1,15 +1,18 @@
 """Problem 8: keyword-stuffed pages, link lists, menus and tag lists.
 
-Every page gives its word counts. SQL windows rank the words of a page, and a line is fitted to log count over log
-rank; slope, residual and the share of the words that head the rank list of the page's language (the function
-words, found by document frequency, not given) are compared with the medians of pages of the same language and
-comparable length. Pages extreme in any of the three are flagged. A flagged page is then measured exactly: stretches
-without any function word, the words of bare links, and, whatever function words they hold, phrases repeated again
-and again and rows of short separated entries are no sentences; tables, code, references and a line of keywords
-don't count as such; the page is spam if more than half of its words remain.
+Every page gives its word counts, tables, code, references and a line of keywords set apart. SQL windows rank the
+words of a page by frequency (words of one count make one step of the curve), and a line is fitted to log count over
+log rank. Its slope, its residual and the divergence of the page from prose of its language (how many of its words are
+the function words that head the language's rank list, found by document frequency, not given) are measured in
+deviations from the medians of prose of the same language and comparable length. The three together make a page's
+distance from prose. A page nearer than ``EXTREME`` is no spam. One beyond it whose divergence tells that clearly more
+than half of its words stand in no sentence (``CLEAR``) is spam. The others, borderline cases and pages of a few
+words or of a language or length too rare to compare, are measured: stretches without any function word, the words of
+bare links, phrases repeated again and again and rows of short separated entries are no sentences; the page is spam
+if they make up more than half of its words.
 
 Statistics are those of the whole corpus; only the heads of the rank lists (``HEAD`` words of a language) go
-to the driver. One page is one row until its distinct words are ranked, so a hot source or language is spread.
+to the driver. One page is one row, then one row per step of its curve, so a hot source or language is spread.
 
 Defined results: NULL, empty and blank texts are no spam; short ones are judged as all others; a page in a language of which
 there is too little is never spam for missing function words; languages are inferred where labels are unusable; copies of a page are judged alike.
@@ -22,11 +25,13 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cores, materialize
+from .common import materialize, small, spread
 from .visual import key
 
 HEAD = 28
@@ -37,8 +42,14 @@ HEAD_SHARE = 0.25
 LEAST_HEADS, SPOKEN = 8, 0.1
 #: A language needs so many pages; a word that makes up a larger part of a page is that page's keyword, not its grammar.
 LANGUAGE_PAGES, KEYWORD_SHARE = 5, 0.15
-#: Deviations (in scaled median deviations) from which a curve is extreme.
-EXTREME = 2.5
+#: Distance from prose (in scaled median deviations) from which a curve is extreme, and the smallest deviation of each part.
+EXTREME, STEP = 3.0, 0.02
+#: Part of the words in no sentence, as the divergence tells it, from which a page that is extreme is spam.
+CLEAR = 0.6
+#: Part of the function words that three quarters of a language's pages stay below, from which a page is taken for prose.
+PROSE = 0.5
+#: Words below which a page has no curve to speak of, and pages of a language and length needed to compare with.
+CURVE_WORDS, CURVE_PAGES = 24, 20
 #: Words without a function word that a sentence may hold, and those of them counted to the sentences around.
 GAP, EDGE = 8, 3
 #: A shorter page that ends as a sentence may lack function words by chance.
@@ -50,14 +61,16 @@ GRAM, AGAIN, NEAR, OFTEN, EVERY = 3, 4, 10, 6, 40
 _WORD = re.compile(r"[^\W_]+")
 _URL = re.compile(r"(?:https?|ftp)://[^\s\"'<>)\]]+|\bwww\.[^\s\"'<>)\]]+", re.I)
 _ANCHOR = re.compile(r"<a\b[^>]*>(.*?)</a>", re.I | re.S)
-_MARKDOWN = re.compile(r"!?\[([^\]\n]{1,300})\]\([^)\s]*\)")
-_TAG = re.compile(r"<[^<>]{1,300}>")
+_MARKDOWN = re.compile(r"!?\[([^\[\]\n]+)\]\([^)\s]*\)")
+_TAG = re.compile(r"<(?:/?[a-zA-Z]|!)[^<>]*>")
 _CODE = re.compile(r"```.*?(?:```|\Z)|~~~.*?(?:~~~|\Z)", re.S)
 _MATH = re.compile(r"\$\$.*?\$\$", re.S)
 _ROW = re.compile(r"^\s*\|.*\|\s*$")
 _REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\d+\.)\s.*\b(?:1[89]|20)\d\d\b.{0,12}$")
-_GLOSS = re.compile(r"^\s*(?:[-*]\s+)?[^:\n]{2,60}:\s+\S+(?:\s+\S+){3,}")
-_KEYWORDS = re.compile(r"^\s*(?:keywords?|key words|tags?|index terms|mots[- ]cl[ée]s|schl[üu]sselw[öo]rter|palabras clave)\s*[:\-–—]\s*(.*)$", re.I)
+#: A line of at most KEYWORD_LINES on a page: a short label and up to 15 different entries.
+KEYWORD_LINES = 2
+_LABELLED = re.compile(r"^\s*(?:[^\W\d_][\w-]*[ ]?){1,3}\s*[:\-–—]\s*(.*)$")
+_BETWEEN = re.compile(r"\s*[,;·|]\s*")
 _SEPARATOR = re.compile(r"([|·•»›▸→,;\t\n]|\s[-–—/>]\s)")
 LINK = "\u0002"
 _WORD_OR_LINK = re.compile(rf"[^\W_]+|{LINK}")
@@ -85,26 +98,31 @@ def visible_lines(text: str) -> str:
     return "\n".join(lines)
 
 
-def stuffed_share(text: str, heads: frozenset[str]) -> float:
-    """The part of the words that stand in no sentence; without heads, missing function words say nothing."""
-    t = visible_lines(text)
-    kept, other = [], 0
-    plain = _MATH.sub(" ", t)
-    bare = _CODE.sub(" ", plain)
-    other += len(_WORD.findall(plain)) - len(_WORD.findall(bare))
+def body(text: str) -> tuple[str, int]:
+    """Text without tables, code, formulas, references and lines of keywords, and how many words those have."""
+    plain = _MATH.sub(" ", visible_lines(text)) if "$$" in text else visible_lines(text)
+    bare = _CODE.sub(" ", plain) if "```" in plain or "~~~" in plain else plain
+    other = len(_WORD.findall(plain)) - len(_WORD.findall(bare)) if bare is not plain else 0
+    kept, labelled = [], 0
     for line in bare.split("\n"):
-        if _ROW.match(line) and any(c.isdigit() or c == "-" for c in line) or _REFERENCE.match(line):
+        if "|" in line and _ROW.match(line) and any(c.isdigit() or c == "-" for c in line) or _REFERENCE.match(line):
             other += len(_WORD.findall(line))
             continue
-        k = _KEYWORDS.match(line)
-        if k:
-            entries = [key(e) for e in re.split(r"\s*[,;·|]\s*", k.group(1)) if e.strip()]
-            if 2 <= len(entries) <= 15 and len(set(entries)) == len(entries):
+        if labelled < KEYWORD_LINES and (k := _LABELLED.match(line)):
+            entries = [key(e) for e in _BETWEEN.split(k.group(1)) if e.strip()]
+            if 2 <= len(entries) <= 15 and len(set(entries)) == len(entries) and all(len(_WORD.findall(e)) <= ENTRY for e in entries):
+                labelled += 1
                 other += len(_WORD.findall(line))
                 continue
         kept.append(line)
+    return "\n".join(kept), other
+
+
+def stuffed_share(text: str, heads: frozenset[str]) -> float:
+    """The part of the words that stand in no sentence; without heads, missing function words say nothing."""
+    kept, other = body(text)
     words, loose = [], []
-    for w, entry in entries_of("\n".join(kept)):
+    for w, entry in entries_of(kept):
         words += w
         loose += [entry] * len(w)
     n = len(words)
@@ -112,7 +130,7 @@ def stuffed_share(text: str, heads: frozenset[str]) -> float:
         return 0.0
     for i in repeated(words):
         loose[i] = True
-    sentence = n < LEAST_WORDS and "\n".join(kept).rstrip().endswith((".", "!", "?", "。"))
+    sentence = n < LEAST_WORDS and kept.rstrip().endswith((".", "!", "?", "。"))
     at = [-1, *(i for i, w in enumerate(words) if w in heads), n]
     for a, b in zip(at, at[1:]):
         if heads and b - a - 1 > GAP and not sentence:
@@ -169,30 +187,26 @@ def repeated(words: list[str]) -> set[int]:
 
 
 def page_counts(documents: DataFrame) -> DataFrame:
-    """(doc_id, lang, n, words, counts) of every page with words."""
-    kind = documents.schema["doc_id"].dataType.simpleString()
+    """(page, lang, n, other, words, counts, steps) of every page with words; page: hash of its id and text; steps: (count,
+    words of that count) of its rank-frequency curve."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = pa.struct([("c", pa.int64()), ("m", pa.int64())])
+        kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(step)]
         for b in batches:
-            ids, langs, ns, ws, cs = [], [], [], [], []
-            for d, text, lang in zip(*(b.column(i).to_pylist() for i in range(3))):
-                c = Counter(_WORD_OR_LINK.findall(key(visible_lines(text)))) if text else None
+            rows = []
+            for page, text, lang in zip(*(b.column(i).to_pylist() for i in range(3))):
+                kept, other = body(text)
+                c = Counter(_WORD_OR_LINK.findall(key(kept)))
                 if c:
-                    ids.append(d)
-                    langs.append(lang)
-                    ns.append(sum(c.values()))
-                    ws.append(list(c))
-                    cs.append(list(c.values()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, b.column(0).type), pa.array(langs, pa.string()), pa.array(ns, pa.int64()), pa.array(ws, pa.list_(pa.string())), pa.array(cs, pa.list_(pa.int64()))],
-                names=["doc_id", "lang", "n", "words", "counts"],
-            )
+                    sizes = Counter(c.values())
+                    rows.append((page, lang, c.total(), other, list(c), list(c.values()), [{"c": k, "m": m} for k, m in sizes.items()]))
+            cols = list(zip(*rows)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["page", "lang", "n", "other", "words", "counts", "steps"])
 
     lang = F.regexp_extract(F.lower(F.coalesce("lang", F.lit(""))), "^([a-z]{2})(?:[-_].*)?$", 1)
-    rows = documents.where(F.length("text") > 0).select("doc_id", "text", lang.alias("lang"))
-    if rows.rdd.getNumPartitions() < cores(documents.sparkSession):
-        rows = rows.repartition(2 * cores(documents.sparkSession))
-    return rows.mapInArrow(run, f"doc_id {kind}, lang string, n bigint, words array<string>, counts array<bigint>")
+    rows = spread(documents.where(F.length("text") > 0).select(F.xxhash64("doc_id", "text").alias("page"), "text", lang.alias("lang")))
+    return rows.mapInArrow(run, "page bigint, lang string, n bigint, other bigint, words array<string>, counts array<bigint>, steps array<struct<c:bigint,m:bigint>>")
 
 
 def top_words(rows: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
@@ -207,7 +221,7 @@ def top_words(rows: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
 
 
 def word_rows(pages: DataFrame, *cols: str) -> DataFrame:
-    return pages.select("doc_id", "n", *cols, F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
+    return pages.select("page", "n", *cols, F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
 
 
 def language_heads(pages: DataFrame) -> dict[str, list[str]]:
@@ -219,22 +233,32 @@ def language_heads(pages: DataFrame) -> dict[str, list[str]]:
 
 
 def masses(pages: DataFrame, heads: dict[str, list[str]]) -> DataFrame:
-    """(doc_id, language, near, mass): the language of each page, '' if unknown, all that it is written in, the part of
+    """(page, language, near, mass): the language of each page, '' if unknown, all that it is written in, the part of
     its words that head the language's list."""
-    base = pages.groupBy("doc_id").agg(F.max("lang").alias("lang"), F.max("n").alias("n"))
-    if not heads:
-        return base.select("doc_id", F.lit("").alias("language"), F.array().cast("array<string>").alias("near"), F.lit(0.0).alias("mass"))
-    table = pages.sparkSession.createDataFrame([(w, label) for label, ws in sorted(heads.items()) for w in ws], "word string, l string")
-    m = word_rows(pages).join(F.broadcast(table), "word").groupBy("doc_id", "l").agg(F.sum("c").alias("c"))
-    per = m.groupBy("doc_id").agg(F.collect_list(F.struct("c", "l")).alias("all"))
-    x = base.join(per, "doc_id", "left").withColumn("all", F.coalesce("all", F.array().cast("array<struct<c:bigint,l:string>>")))
-    best = F.array_max("all")
-    # the declared language holds where the page has hardly any function words to judge by
-    language = F.when(best["c"] >= SPOKEN * F.col("n"), best["l"]).when(F.col("lang").isin(sorted(heads)), F.col("lang")).otherwise("")
-    near = F.transform(F.filter("all", lambda e: e["c"] >= SPOKEN * F.col("n")), lambda e: e["l"])
-    x = x.select("doc_id", "n", "all", near.alias("near"), language.alias("language"))
-    own = F.coalesce(F.array_max(F.transform(F.filter("all", lambda e: e["l"] == F.col("language")), lambda e: e["c"])), F.lit(0))
-    return x.select("doc_id", "language", "near", (own / F.col("n")).alias("mass"))
+    names = sorted(heads)
+    lists = [pa.array(heads[l], pa.string()) for l in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, n = b.column("words"), b.column("n").to_numpy(zero_copy_only=False)
+            counts, ends = b.column("counts").flatten().to_numpy(zero_copy_only=False), np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))
+            flat, held = words.flatten(), np.zeros((len(names), len(n)), dtype=np.int64)
+            for k, own in enumerate(lists):
+                run_of = np.concatenate([[0], np.cumsum(np.where(pc.is_in(flat, own).to_numpy(zero_copy_only=False), counts, 0))])
+                held[k] = run_of[ends] - run_of[ends - np.diff(ends, prepend=0)]
+            language, near, mass = [], [], []
+            for i, (lang, size) in enumerate(zip(b.column("lang").to_pylist(), n.tolist())):
+                h = held[:, i]
+                best = max(range(len(names)), key=lambda k: (h[k], names[k]), default=None)
+                # the declared language holds where the page has hardly any function words to judge by
+                own = best if best is not None and h[best] >= SPOKEN * size else names.index(lang) if lang in heads else None
+                language.append("" if own is None else names[own])
+                near.append([names[k] for k in range(len(names)) if h[k] >= SPOKEN * size])
+                mass.append(0.0 if own is None else float(h[own]) / size)
+            yield pa.RecordBatch.from_arrays([b.column("page"), pa.array(language, pa.string()), pa.array(near, pa.list_(pa.string())), pa.array(mass, pa.float64())], names=["page", "language", "near", "mass"])
+
+    each = pages.select("page", "lang", "n", "words", "counts").mapInArrow(run, "page bigint, language string, near array<string>, mass double")
+    return each.groupBy("page").agg(F.max(F.struct("language", "near", "mass")).alias("m")).select("page", "m.*")
 
 
 def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, dict[str, list[str]]]:
@@ -248,20 +272,20 @@ def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, di
     tried: list[str] = []
     while True:
         known = materialize(masses(pages, heads), "masses")
-        lost = known.where("language = ''").select("doc_id")
+        lost = known.where("language = ''").select("page")
         if not lost.count():
             return known, heads
-        left = materialize(pages.join(lost, "doc_id", "left_semi"), "lost")
+        left = materialize(pages.join(lost, "page", "left_semi"), "lost")
         if heads:
             mine = word_rows(left).where(F.col("word") != LINK)
-            common = word_rows(pages).join(mine.select("word").distinct(), "word", "left_semi").join(known.where("language <> ''").select("doc_id", "language"), "doc_id")
+            common = word_rows(pages).join(mine.select("word").distinct(), "word", "left_semi").join(known.where("language <> ''").select("page", "language"), "page")
             vocabulary = common.groupBy("language", "word").agg(F.count("*").alias("in")).where(F.col("in") >= LANGUAGE_PAGES)
-            part = mine.join(vocabulary, "word").groupBy("doc_id", "language").agg(F.sum("c").alias("c"))
-            total = mine.groupBy("doc_id").agg(F.sum("c").alias("of"))
-            guess = part.groupBy("doc_id").agg(F.max(F.struct("c", "language")).alias("g")).join(total, "doc_id").where(F.col("g.c") >= 0.5 * F.col("of")).select("doc_id", F.col("g.language").alias("guess"))
+            part = mine.join(vocabulary, "word").groupBy("page", "language").agg(F.sum("c").alias("c"))
+            total = mine.groupBy("page").agg(F.sum("c").alias("of"))
+            guess = part.groupBy("page").agg(F.max(F.struct("c", "language")).alias("g")).join(total, "page").where(F.col("g.c") >= 0.5 * F.col("of")).select("page", F.col("g.language").alias("guess"))
             guess = materialize(guess, "guess")
-            known = known.join(guess, "doc_id", "left").select("doc_id", F.coalesce("guess", "language").alias("language"), "near", "mass")
-            left = left.join(guess, "doc_id", "left_anti")
+            known = known.join(guess, "page", "left").select("page", F.coalesce("guess", "language").alias("language"), "near", "mass")
+            left = left.join(guess, "page", "left_anti")
         words = word_rows(left).where((F.col("c") <= F.greatest(F.lit(2), F.col("n") * KEYWORD_SHARE)) & (F.col("word") != LINK) & ~F.col("word").isin(tried))
         seed = words.groupBy("word").count().orderBy(F.desc("count"), "word").first()
         if seed is None or seed["count"] < LANGUAGE_PAGES or failed >= 3:
@@ -274,31 +298,37 @@ def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, di
 
 
 def curves(pages: DataFrame, languages: DataFrame) -> DataFrame:
-    """(doc_id, language, near, bin, slope, residual, mass): the fitted rank-frequency curve of each page."""
-    rows = word_rows(pages)
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("c"), "word")))
+    """(page, language, near, bin, n, other, slope, residual, mass): the fitted rank-frequency curve of each page."""
+    once = pages.groupBy("page").agg(F.first("n").alias("n"), F.first("other").alias("other"), F.first("steps").alias("steps"))
+    rows = once.select("page", "n", "other", F.inline("steps"))
+    # words of one count hold the ranks up to the number of words at least as frequent; their step stands at the middle
+    last = F.sum("m").over(Window.partitionBy("page").orderBy(F.desc("c")))
+    ranked = rows.withColumn("rank", last - (F.col("m") - 1) / 2)
     x, y = F.log(F.col("rank").cast("double")), F.log(F.col("c").cast("double"))
-    fit = ranked.groupBy("doc_id").agg(
-        F.max("n").alias("n"),
+    fit = ranked.groupBy("page").agg(
+        F.max("n").alias("n"), F.max("other").alias("other"),
         F.coalesce(F.regr_slope(y, x), F.lit(0.0)).alias("slope"),
         F.sqrt(F.greatest(F.lit(0.0), F.coalesce(F.regr_syy(y, x) * (1 - F.coalesce(F.regr_r2(y, x), F.lit(1.0))), F.lit(0.0))) / F.count("*")).alias("residual"),
     )
-    return fit.join(languages, "doc_id").select("doc_id", "language", "near", F.floor(F.log2(F.col("n").cast("double"))).alias("bin"), "slope", "residual", "mass")
-
-
-def flagged(fitted: DataFrame) -> DataFrame:
-    """(doc_id, language, near) of pages whose curve is extreme among pages of their language and length."""
-    feats = ("slope", "residual", "mass")
-    keys = ["language", "bin"]
-    mid = fitted.groupBy(*keys).agg(*(F.percentile_approx(f, 0.5, 2000).alias(f"{f}_mid") for f in feats))
-    near = fitted.join(F.broadcast(mid), keys)  # languages times bins (at most 64)
-    dev = near.groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"{f}_mid")), 0.5, 2000).alias(f"{f}_dev") for f in feats))
-    z = near.join(F.broadcast(dev), keys)
-    score = {f: (F.col(f) - F.col(f"{f}_mid")) / (1.4826 * F.col(f"{f}_dev") + 1e-3) for f in feats}
-    extreme = (
-        (F.abs(score["slope"]) > EXTREME) | (F.abs(score["residual"]) > EXTREME) | (score["mass"] < -EXTREME) | (F.col("mass") < 0.62 * F.col("mass_mid")) | (F.col("mass") < 0.2)
-    )
-    return z.where(extreme).select("doc_id", "language", "near")
+    return fit.join(languages, "page").select("page", "language", "near", F.floor(F.log2(F.col("n").cast("double"))).alias("bin"), "n", "other", "slope", "residual", "mass")
+
+
+def judged(fitted: DataFrame) -> DataFrame:
+    """(page, language, near, spam) of pages whose curve is extreme among pages of their language and length: spam where it is
+    clear, else NULL; NULL too for pages that can't be compared."""
+    feats, keys = ("slope", "residual", "mass"), ["language", "bin"]
+    usual = fitted.groupBy("language").agg(F.percentile_approx("mass", 0.75, 2000).alias("usual"))
+    prose = fitted.join(F.broadcast(usual), "language").where(F.col("mass") >= PROSE * F.col("usual"))  # a length may be mostly spam
+    mid = prose.groupBy(*keys).agg(F.count("*").alias("pages"), *(F.percentile_approx(f, 0.5, 2000).alias(f"{f}_mid") for f in feats))
+    dev = prose.join(F.broadcast(mid), keys).groupBy(*keys).agg(*(F.percentile_approx(F.abs(F.col(f) - F.col(f"{f}_mid")), 0.5, 2000).alias(f"{f}_dev") for f in feats))
+    z = fitted.join(F.broadcast(mid.join(dev, keys)), keys, "left")  # languages times bins (at most 64)
+    slope, residual, mass = ((F.col(f) - F.col(f"{f}_mid")) / (1.4826 * F.col(f"{f}_dev") + STEP) for f in feats)
+    divergence = F.least(mass, F.lit(0.0))
+    far = slope * slope + residual * residual + divergence * divergence > EXTREME * EXTREME
+    sentences = F.least(F.lit(1.0), F.coalesce(F.try_divide(F.col("mass"), F.col("mass_mid")), F.lit(1.0)))
+    loose = (1 - sentences) * F.col("n") / (F.col("n") + F.col("other"))
+    alike = (F.col("language") != "") & (F.col("n") >= CURVE_WORDS) & (F.coalesce("pages", F.lit(0)) >= CURVE_PAGES)
+    return z.where(far | ~alike).select("page", "language", "near", F.when(alike & (loose > CLEAR), F.lit(True)).alias("spam"))
 
 
 def found(documents: DataFrame) -> DataFrame:
@@ -307,17 +337,18 @@ def found(documents: DataFrame) -> DataFrame:
     pages = materialize(page_counts(docs), "pages")
     languages, heads = spoken(pages, language_heads(pages))
     fitted = materialize(curves(pages, languages), "curves")  # read three times
-    candidates = materialize(flagged(fitted), "flagged")
+    candidates = small(materialize(judged(fitted), "judged"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spam = []
-            for d, t, language, near in zip(*(b.column(i).to_pylist() for i in range(4))):
+            keep = []
+            for t, language, near in zip(*(b.column(i).to_pylist() for i in range(1, 4))):
                 words = frozenset(w for l in {language, *near} for w in heads.get(l, ()))
-                if stuffed_share(t, words) > 0.5:
-                    spam.append(d)
-            yield pa.RecordBatch.from_arrays([pa.array(spam, b.column(0).type)], names=["doc_id"])
+                keep.append(stuffed_share(t, words) > 0.5)
+            yield b.select(["doc_id"]).filter(pa.array(keep, pa.bool_()))
 
     kind = documents.schema["doc_id"].dataType.simpleString()
-    suspects = docs.where(F.length("text") > 0).join(candidates, "doc_id").select("doc_id", "text", "language", "near")
-    return suspects.mapInArrow(measure, f"doc_id {kind}")
+    texts = docs.where(F.length("text") > 0).withColumn("page", F.xxhash64("doc_id", "text"))
+    clear = texts.select("doc_id", "page").join(candidates.where("spam"), "page", "left_semi").select("doc_id")
+    unclear = texts.join(candidates.where("spam IS NULL"), "page").select("doc_id", "text", "language", "near")
+    return clear.unionByName(unclear.mapInArrow(measure, f"doc_id {kind}"))

@@ -263,3 +263,19 @@ def test_prose_of_small_and_unlabelled_languages_is_no_spam(spark):
     assert spam.found(spark.createDataFrame(rows, schema)).count() == 0
     none = [(i, t, "english" if i % 2 else None) for i, t, _ in rows] + [(7001, "home login next cite " * 20, "english")]
     assert {r["doc_id"] for r in spam.found(spark.createDataFrame(none, schema)).collect()} == {7001}
+
+
+def test_the_three_parts_of_a_curve_decide_together(spark):
+    rng = random.Random(9)
+    schema = "page long, language string, near array<string>, bin long, n long, other long, slope double, residual double, mass double"
+    row = lambda i, slope, residual, mass, n=64, other=0, b=6: (i, "en", ["en"], b, n, other, slope, residual, mass)
+    prose = [row(100 + i, rng.gauss(-0.4, 0.06), rng.gauss(0.2, 0.03), rng.gauss(0.4, 0.06)) for i in range(300)]
+    odd = [row(1, -0.4, 0.2, 0.0), row(2, -0.56, 0.28, 0.25), row(3, -1.5, 0.2, 0.4), row(4, -0.4, 0.2, 0.3), row(5, -0.4, 0.2, 0.0, other=60), row(6, -0.4, 0.2, 0.4, n=5), row(7, -0.4, 0.2, 0.0, b=12), row(8, -0.55, 0.28, 0.14)]
+    mostly_spam = [row(1000 + i, rng.gauss(-2, 0.5), 0.6, 0.0, n=300, b=8) for i in range(90)] + [row(2000 + i, rng.gauss(-0.5, 0.06), 0.2, rng.gauss(0.4, 0.06), n=300, b=8) for i in range(60)]
+    judge = lambda rows: {r["page"]: r["spam"] for r in spam.judged(spark.createDataFrame(rows, schema)).collect()}
+    got = judge(prose + odd + mostly_spam)
+    assert {i: got.get(i, "no") for i in range(1, 9)} == {1: True, 2: None, 3: None, 4: "no", 5: None, 6: None, 7: None, 8: True}
+    assert all(got.get(i) is True for i in range(1000, 1090)) and sum(i >= 2000 for i in got) < 6
+    # without slope and residual the distance of page 2 is too small
+    flat = judge([(*r[:6], -0.4, 0.2, r[8]) for r in prose + odd])
+    assert 2 not in flat and 3 not in flat and flat[1]
