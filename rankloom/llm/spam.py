@@ -209,19 +209,32 @@ def page_counts(documents: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "page bigint, lang string, n bigint, other bigint, words array<string>, counts array<bigint>, steps array<struct<c:bigint,m:bigint>>")
 
 
-def top_words(rows: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
-    """The words that head the rank list of each label of (label, word, n, c), by the part of its pages that hold them."""
-    df = rows.where((F.col("c") <= F.greatest(F.lit(2), F.col("n") * KEYWORD_SHARE)) & (F.col("word") != LINK)).groupBy("label", "word").count()
+def top_words(pages: DataFrame, sizes: dict[str, int]) -> dict[str, list[str]]:
+    """The words that head the rank list of each label of (label, n, words, counts), by the part of its pages that hold them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words, labels = b.column("words"), b.column("label")
+            held = pc.list_value_length(words).to_numpy(zero_copy_only=False)
+            n, c = np.repeat(b.column("n").to_numpy(zero_copy_only=False), held), b.column("counts").flatten().to_numpy(zero_copy_only=False)
+            flat, grammar = words.flatten(), c <= np.maximum(2, n * KEYWORD_SHARE)
+            for label in pc.unique(labels).to_pylist():
+                mine = np.repeat(pc.equal(labels, label).to_numpy(zero_copy_only=False), held)
+                got = pc.value_counts(flat.filter(pa.array(mine & grammar)))  # summed up within the batch
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(got), pa.string()), got.field("values"), got.field("counts")], names=["label", "word", "count"])
+
+    df = pages.select("label", "n", "words", "counts").mapInArrow(run, "label string, word string, count bigint").groupBy("label", "word").agg(F.sum("count").alias("count"))
+    least = F.create_map(*(F.lit(x) for label, n in sizes.items() for x in (label, float(max(LANGUAGE_PAGES, HEAD_SHARE * n)))))
+    df = df.where((F.col("count") >= least[F.col("label")]) & (F.col("word") != LINK))
     top = Window.partitionBy("label").orderBy(F.desc("count"), "word")
     heads: dict[str, list[str]] = {}
     for r in df.withColumn("rank", F.row_number().over(top)).where(F.col("rank") <= HEAD).orderBy("label", "rank").collect():
-        if r["count"] >= max(LANGUAGE_PAGES, HEAD_SHARE * sizes[r["label"]]):
-            heads.setdefault(r["label"], []).append(r["word"])
+        heads.setdefault(r["label"], []).append(r["word"])
     return {label: words for label, words in heads.items() if len(words) >= LEAST_HEADS}
 
 
-def word_rows(pages: DataFrame, *cols: str) -> DataFrame:
-    return pages.select("page", "n", *cols, F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
+def word_rows(pages: DataFrame) -> DataFrame:
+    return pages.select("page", "n", F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
 
 
 def language_heads(pages: DataFrame) -> dict[str, list[str]]:
@@ -229,7 +242,7 @@ def language_heads(pages: DataFrame) -> dict[str, list[str]]:
     sizes = {r["lang"]: r["count"] for r in pages.where(F.col("lang") != "").groupBy("lang").count().where(F.col("count") >= LANGUAGE_PAGES).collect()}
     if not sizes:
         return {}
-    return top_words(word_rows(pages.where(F.col("lang").isin(list(sizes))), F.col("lang").alias("label")), sizes)
+    return top_words(pages.where(F.col("lang").isin(list(sizes))).withColumn("label", F.col("lang")), sizes)
 
 
 def masses(pages: DataFrame, heads: dict[str, list[str]]) -> DataFrame:
@@ -270,8 +283,11 @@ def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, di
     """
     failed = 0
     tried: list[str] = []
+    all_known = None
     while True:
-        known = materialize(masses(pages, heads), "masses")
+        if not failed or all_known is None:  # else the heads are as they were
+            all_known = materialize(masses(pages, heads), "masses")
+        known = all_known
         lost = known.where("language = ''").select("page")
         if not lost.count():
             return known, heads
@@ -292,7 +308,8 @@ def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, di
             return known, heads
         tried.append(seed["word"])
         members = left.where(F.array_contains("words", seed["word"]))
-        new = top_words(word_rows(members, F.lit(f"like {seed['word']}").alias("label")), {f"like {seed['word']}": seed["count"]})
+        label = f"like {seed['word']}"
+        new = top_words(members.withColumn("label", F.lit(label)), {label: seed["count"]})
         failed = 0 if new else failed + 1
         heads = heads | new
 

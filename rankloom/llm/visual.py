@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,7 +43,8 @@ SYMBOL_TAGS = ("<super>", "<sub>", "<fraction>", "<circle>", "<square>", "<verti
 
 _HYPHEN = re.compile("[‐‑]")
 _FOREIGN = re.compile("[Ͱ-ϿЀ-֏Ꭰ-Ᏼἀ-῿]")
-_WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
+#: A word that holds a letter of another script.
+_WORD = re.compile(r"(?<![^\W\d_])(?:(?![Ͱ-ϿЀ-֏Ꭰ-Ᏼἀ-῿])[^\W\d_][̀-ͯ]*)*[Ͱ-ϿЀ-֏Ꭰ-Ᏼἀ-῿][^\W\d_]*(?:[̀-ͯ]+[^\W\d_]*)*")
 # Default-ignorable code points: Cf and fillers, variation selectors, tags, Mongolian separators, combining grapheme joiner.
 _IGNORABLE = re.compile(
     "[­͏؜ᅟᅠ឴឵᠋-᠏​-‏‪-‮⁠-⁯ㅤ︀-️﻿ﾠ"
@@ -74,7 +76,7 @@ def _imitates(w: str, i: int) -> bool:
     return i == 0 and len(w) > 3 and all(map(small, w[1:4]))
 
 
-def _word(m: re.Match[str], latin_text: bool) -> str:
+def _word(m: re.Match[str], text: str) -> str:
     w = m.group()
     letters = [c for c in w if not unicodedata.combining(c)]
     scripts = {_script(c) for c in letters}
@@ -89,7 +91,7 @@ def _word(m: re.Match[str], latin_text: bool) -> str:
         return "".join(LATIN_LIKE[c] if c in LATIN_LIKE and _imitates(w, i) else c for i, c in enumerate(w))
     if len(scripts - {"other"}) > 1:
         return "".join(LATIN_LIKE.get(c, c) for c in w)
-    if latin_text and all(c in EXACT for c in w):
+    if all(c in EXACT for c in w) and _mostly_latin(text):
         return "".join(LATIN_LIKE[c] for c in w)
     return w
 
@@ -102,14 +104,14 @@ def fold(s: str) -> str:
     if not unicodedata.is_normalized("NFKC", t):
         t = _IGNORABLE.sub("", _SPACES.sub(" ", unicodedata.normalize("NFKC", t)))
     if _FOREIGN.search(t):
-        latin = _mostly_latin(t)
-        t = _WORD.sub(lambda m: _word(m, latin), t)
+        whole = t
+        t = _WORD.sub(lambda m: _word(m, whole), t)
     return t
 
 
 def _mostly_latin(s: str) -> bool:
-    letters = [c for c in s if c.isalpha()]
-    return 2 * sum(1 for c in letters if _script(c) == "latin") >= len(letters)
+    letters = Counter(c for c in s if c.isalpha())
+    return 2 * sum(n for c, n in letters.items() if _script(c) == "latin") >= letters.total()
 
 
 def key(s: str) -> str:
@@ -133,8 +135,7 @@ def is_case(s: str) -> bool:
                 return True
     if not _FOREIGN.search(s):
         return False
-    latin = _mostly_latin(s)
-    return _WORD.sub(lambda m: _word(m, latin), s) != s
+    return _WORD.sub(lambda m: _word(m, s), s) != s
 
 
 def _looks_other(c: str, d: str) -> bool:
