@@ -2,9 +2,11 @@
 
 A deterministic cascade of rules. Each rule is an exact join on a weaker combination of attributes than the one
 before (identifier with author or title word, title with author, title with year, title words with author, title
-without any one of its words). Joined pairs are verified by comparing title words (spelling slips, line-break
-hyphens, cut titles, version remarks), authors' surnames and years; the works a rule resolves leave the cascade
-before the next. Each rule's confidence is the precision on its own pairs that identifiers can judge, smoothed.
+without any one of its words). A pair that a rule resolves is not asked again by a weaker one; as the joins are exact,
+all of them are one join on keys that carry their rule, and the first rule that reaches a pair is its own. Each pair
+is verified once by comparing title words (spelling slips, line-break hyphens, cut titles, version remarks), authors'
+surnames and years. A work goes to the paper that fits best, and to all others that agree in everything. Each rule's
+confidence is the precision on its own pairs that identifiers can judge, smoothed.
 
 Keys are always combinations, so that an identifier or a name shared by a third of all rows does not pair them;
 records of one paper (a duplicate group) are reduced to their different spellings before they are joined, and are
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .canon import edits
-from .common import cores, materialize
+from .common import materialize, small, spread
 from .visual import fold, key
 
 #: Prior of a rule's precision: so many right and wrong labels are added.
@@ -130,22 +132,18 @@ def features(df: DataFrame, id_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["id", "words", "cut", "names", "year", "doi", "arxiv", "long"])
 
     src = df.select(F.col(id_col).cast("long"), "title", "authors", F.col("year").cast("int"), "doi", "arxiv_id")
-    if src.rdd.getNumPartitions() < cores(df.sparkSession):
-        src = src.repartition(2 * cores(df.sparkSession))
-    return src.mapInArrow(run, "id long, words array<string>, cut boolean, names array<string>, year int, doi string, arxiv string, long array<string>")
+    return spread(src).mapInArrow(run, "id long, words array<string>, cut boolean, names array<string>, year int, doi string, arxiv string, long array<string>")
 
 
-def rule_keys(rule: str, spread: bool) -> Column:
-    """The (hashed) join keys of a record by one rule. spread: the side whose keys cover the years beside its own.
+def rule_keys(rule: str, spread_years: bool) -> Column:
+    """The (hashed) join keys of a record by one rule. spread_years: the side whose keys cover the years beside its own.
 
     The other side also has a key for any year, which records without a year use, and both have one for no year.
     """
-    first = F.slice("names", 1, 1)
-    some = F.array_distinct(F.slice("names", 1, 3))
     told = F.array_distinct(F.concat("long", F.slice("words", 1, 1)))
     whole = F.array_join("words", "")
     y = F.col("year")
-    if spread:
+    if spread_years:
         years = F.when(y.isNull(), F.array(F.lit("any"), F.lit("none"))).otherwise(F.array(*((y + d).cast("string") for d in (-1, 0, 1)), F.lit("none")))
     else:
         years = F.when(y.isNull(), F.array(F.lit("none"), F.lit("any"))).otherwise(F.array(y.cast("string"), F.lit("any")))
@@ -154,20 +152,30 @@ def rule_keys(rule: str, spread: bool) -> Column:
         return F.flatten(F.transform(a, lambda x: F.transform(b, lambda z: F.xxhash64(F.lit(rule), x, z))))
 
     if rule in ("doi", "arxiv"):
-        marks = F.concat(F.transform(first, lambda n: F.concat(F.lit("@"), n)), F.col("long"))
+        marks = F.concat(F.transform(F.slice("names", 1, 1), lambda n: F.concat(F.lit("@"), n)), F.col("long"))
         keys = F.when(F.col(rule) != "", both(F.array(F.col(rule)), marks))
     elif rule == "title_author":
-        keys = F.when(whole != "", both(F.array(whole), F.array_distinct(F.slice("names", 1, 2))))
+        keys = F.when(whole != "", both(F.array(whole), F.array_distinct(F.col("names"))))
     elif rule == "title_year":
         keys = F.when(F.size("words") > 1, both(F.array(whole), years))
     elif rule == "words_author":
-        keys = both(both(told, some), years)
+        keys = both(both(told, F.array_distinct(F.slice("names", 1, 3))), years)
     else:  # titles that differ in one word: both without it
         but = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.xxhash64(F.lit(rule), F.array_join(F.concat(F.slice("words", F.lit(1), i - 1), F.slice("words", i + 1, F.size("words"))), "")))
         keys = F.when(F.size("words") > 3, F.concat(but, F.array(F.xxhash64(F.lit(rule), whole))))
     return F.array_distinct(F.coalesce(keys, F.array().cast("array<bigint>")))
 
 
+def all_keys(df: DataFrame, id_col: str, spread_years: bool) -> DataFrame:
+    """(id, key, rule): the keys of every rule, rule as its bit."""
+
+    def of_rule(n: int, rule: str) -> Column:
+        return F.transform(rule_keys(rule, spread_years), lambda k: F.struct(k.alias("key"), F.lit(1 << n).alias("rule")))
+
+    each = F.concat(*(of_rule(n, r) for n, r in enumerate(RULES)))
+    return df.select(id_col, F.inline(each))
+
+
 def _alike(a: str, b: str) -> bool:
     if a == b:
         return True
@@ -234,47 +242,54 @@ def name_relation(a: list[str], b: list[str]) -> int:
     return 2 if met * 3 >= len(small) * 2 else 0
 
 
-def verdict(p: dict, w: dict) -> tuple[float, float]:
-    """How well two records fit as one paper (0 if they don't), and how their titles do."""
-    known = p["year"] is not None and w["year"] is not None
-    gap = abs(p["year"] - w["year"]) if known else 0
+def verdict(p: tuple, w: tuple) -> tuple[float, bool, bool]:
+    """How well two records (words, cut, names, year, doi, arxiv) fit as one paper (0 if they don't), whether both tell
+    authors and a year or enough of a title, and whether nothing differs."""
+    p_words, p_cut, p_names, p_year, p_doi, p_arxiv = p
+    w_words, w_cut, w_names, w_year, w_doi, w_arxiv = w
+    none = (0.0, False, False)
+    known = p_year is not None and w_year is not None
+    gap = abs(p_year - w_year) if known else 0
     if gap > 2:
-        return 0.0, 0.0
-    names = name_relation(p["names"], w["names"])
+        return none
+    names = name_relation(p_names, w_names)
     if names == 0:
-        return 0.0, 0.0
-    same_id = bool(p["doi"] and p["doi"] == w["doi"] or p["arxiv"] and p["arxiv"] == w["arxiv"])
-    if not p["words"] or not w["words"]:
-        return (0.7 if same_id and names == 2 and gap <= 1 else 0.0), 0.0
-    title = title_relation(p["words"], w["words"], p["cut"], w["cut"])
+        return none
+    same_id = bool(p_doi and p_doi == w_doi or p_arxiv and p_arxiv == w_arxiv)
+    told = bool(p_names and w_names)
+    if not p_words or not w_words:
+        return (0.7, told and w_year is not None, False) if same_id and names == 2 and gap <= 1 else none
+    title = title_relation(p_words, w_words, p_cut, w_cut)
     if title == 0.0 or gap > (2 if same_id and title >= 0.8 else 1):
-        return 0.0, title
+        return none
     if title < 0.8:  # a cut title fits its sequels as well
         if names < 2 and not same_id:
-            return 0.0, title
+            return none
         if title == 0.5 and not (known or same_id):
-            return 0.0, title
+            return none
         if title < 0.5 and names < 2:
-            return 0.0, title
-    return title + 0.3 * (names == 2) + 0.1 * (known and gap == 0) + 0.05 * (known and gap == 1) + 0.3 * same_id, title
+            return none
+    fit = title + 0.3 * (names == 2) + 0.1 * (known and gap == 0) + 0.05 * (known and gap == 1) + 0.3 * same_id
+    return fit, told and (w_year is not None or title >= 0.5), title == 1.0 and names == 2
+
+
+FIELDS = ("words", "cut", "names", "year", "doi", "arxiv")
 
 
-def _verify(pairs: DataFrame, every: bool) -> DataFrame:
-    """(work, entity, fit, sure) of the joined pairs that fit, or of every one."""
+def _verify(pairs: DataFrame) -> DataFrame:
+    """(work, entity, rules, fit, sure, same) of pairs (work, entity, rules, p_..., w_...) that fit or that identifiers join."""
+    ids = sum(1 << n for n, r in enumerate(RULES) if r in ("doi", "arxiv"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[tuple] = []
-            for work, entity, p, w in zip(*(b.column(k).to_pylist() for k in range(4))):
-                fit, title = verdict(p, w)
-                if fit or every:
-                    sure = bool(p["names"] and w["names"]) and (w["year"] is not None or title >= 0.5)
-                    out.append((work, entity, fit, sure))
-            cols = list(zip(*out)) or [()] * 4
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(cols, kinds)], names=["work", "entity", "fit", "sure"])
+            p, w = (list(zip(*(b.column(f"{side}_{f}").to_pylist() for f in FIELDS))) for side in "pw")
+            got = [verdict(x, y) for x, y in zip(p, w)]
+            out = b.select(["work", "entity", "rules"])
+            for n, (name, kind) in enumerate((("fit", pa.float64()), ("sure", pa.bool_()), ("same", pa.bool_()))):
+                out = out.append_column(name, pa.array([g[n] for g in got], kind))
+            yield out.filter(pa.array([g[0] > 0 or bool(r & ids) for g, r in zip(got, b.column("rules").to_pylist())], pa.bool_()))
 
-    return pairs.mapInArrow(run, "work long, entity long, fit double, sure boolean")
+    return pairs.mapInArrow(run, "work long, entity long, rules int, fit double, sure boolean, same boolean")
 
 
 def entities(papers: DataFrame, groups: DataFrame | None) -> DataFrame:
@@ -288,47 +303,34 @@ def entities(papers: DataFrame, groups: DataFrame | None) -> DataFrame:
 
 def link(papers: DataFrame, works: DataFrame, groups: DataFrame | None = None) -> DataFrame:
     """(rec_id, work_id, rule, confidence): all pairs of a papers record and a works record of one paper."""
-    fields: list[str] = ["words", "cut", "names", "year", "doi", "arxiv"]
     member = materialize(entities(papers, groups), "entities")
     left = features(papers, "rec_id").join(member, F.col("id") == F.col("rec_id"))
     # different spellings of one paper; copies fall together here
-    left = materialize(left.groupBy("entity", *fields).agg(F.min("id").alias("sig"), F.first("long").alias("long")), "papers")
-    right = materialize(features(works, "work_id").dropDuplicates(["id"]), "works")
-    resolved: DataFrame | None = None
-    truth: DataFrame | None = None
-    counts: list[DataFrame] = []
-    for n, rule in enumerate(RULES):
-        by_id = rule in ("doi", "arxiv")
-        done = None if resolved is None else resolved.select(F.col("work").alias("id")).distinct()
-        candidates = right if done is None else right.join(done, "id", "left_anti")
-        if not by_id:  # works that identifiers have resolved stay in as labels
-            truth = truth if truth is not None else materialize(resolved.select("work", F.col("entity").alias("true")), "labels")
-            known = right.join(truth.select(F.col("work").alias("id")).distinct(), "id", "left_semi")
-            candidates = candidates.unionByName(known)
-        a = left.select("sig", F.explode(rule_keys(rule, False)).alias("key"))
-        b = candidates.select("id", F.explode(rule_keys(rule, True)).alias("key"))
-        pairs = b.join(a, "key").select("sig", "id").distinct()
-        pairs = pairs.join(left.select("sig", "entity", F.struct(*fields).alias("p")), "sig")
-        pairs = pairs.join(right.select("id", F.struct(*fields).alias("w")), "id").select(F.col("id").alias("work"), "entity", "p", "w")
-        fits = _verify(pairs, by_id).groupBy("work", "entity").agg(F.max("fit").alias("fit"), F.max("sure").alias("sure"))
-        own = Window.partitionBy("work")
-        # where authors or years are silent, two papers that fit equally well decide nothing
-        best = fits.withColumn("best", F.max("fit").over(own)).withColumn("ties", F.count_if(F.col("fit") >= F.col("best") - 1e-9).over(own))
-        wins = (F.col("fit") > 0) & (F.col("fit") >= F.col("best") - 1e-9) & (F.col("sure") | (F.col("ties") == 1))
-        judged = materialize(best.select("work", "entity", F.lit(rule).alias("rule"), wins.alias("wins")), f"rule-{rule}")
-        top = judged.where("wins").select("work", "entity", "rule")
-        if by_id:  # titles and authors judge identifiers
-            counts.append(judged.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("wins").alias("right")))
-            fresh = top
-        else:
-            told = top.join(truth, "work").groupBy("rule", "work", "entity").agg(F.max(F.col("entity") == F.col("true")).alias("right"))
-            counts.append(told.groupBy("rule").agg(F.count("*").alias("n"), F.count_if("right").alias("right")))
-            fresh = materialize(top.join(done.withColumnRenamed("id", "work"), "work", "left_anti"), f"fresh-{rule}")
-        resolved = fresh if resolved is None else resolved.unionByName(fresh)
-    rates = {r["rule"]: (r["right"] + RIGHT) / (r["n"] + RIGHT + WRONG) for c in counts for r in c.collect()}  # one row per rule
-    rate = F.coalesce(*(F.when(F.col("rule") == r, F.lit(float(rates.get(r, RIGHT / (RIGHT + WRONG))))) for r in RULES))
-    scored = resolved.withColumn("confidence", rate)
-    return scored.join(member, "entity").groupBy("rec_id", F.col("work").alias("work_id")).agg(
+    left = materialize(left.groupBy("entity", *FIELDS).agg(F.min("id").alias("sig"), F.first("long").alias("long")), "papers")
+    right = materialize(features(works, "work_id").dropDuplicates(["id"]).withColumnRenamed("id", "work"), "works")
+    a, b = all_keys(left, "sig", False), all_keys(right, "work", True).drop("rule")
+    # the rules that reach a pair; the first of them resolves it, which is what anti-joining resolved pairs comes to
+    pairs = a.join(b, "key").groupBy("work", "sig").agg(F.bit_or("rule").alias("rules"))
+    pairs = pairs.join(left.select("sig", "entity", *(F.col(f).alias(f"p_{f}") for f in FIELDS)), "sig").drop("sig")
+    pairs = pairs.join(small(right.select("work", *(F.col(f).alias(f"w_{f}") for f in FIELDS))), "work")
+    fits = _verify(pairs).groupBy("work", "entity").agg(F.max("fit").alias("fit"), F.max("sure").alias("sure"), F.max("same").alias("same"), F.bit_or("rules").alias("rules"))
+    # where authors or years are silent, two papers that fit equally well decide nothing
+    own = Window.partitionBy("work")
+    best = fits.withColumn("best", F.max("fit").over(own)).withColumn("ties", F.count_if(F.col("fit") >= F.col("best") - 1e-9).over(own))
+    top = (F.col("fit") > 0) & (F.col("fit") >= F.col("best") - 1e-9)
+    wins = F.col("same") | top & (F.col("sure") | (F.col("ties") == 1))
+    judged = materialize(best.select("work", "entity", "rules", top.alias("top"), wins.alias("wins")), "judged")
+    bits = {r: F.col("rules").bitwiseAND(1 << n) > 0 for n, r in enumerate(RULES)}
+    by_id = bits["doi"] | bits["arxiv"]
+    # titles and authors judge identifiers; what identifiers resolve judges the other rules
+    told = judged.withColumn("true", F.max(by_id & F.col("wins")).over(own))
+    counts = told.select(*(
+        F.struct(F.count_if(bits[r] & (F.lit(True) if r in ("doi", "arxiv") else F.col("true") & F.col("top"))).alias("n"), F.count_if(bits[r] & F.col("wins") & (F.lit(True) if r in ("doi", "arxiv") else F.col("true") & by_id)).alias("right")).alias(r) for r in RULES
+    )).first()
+    rate = F.coalesce(*(F.when(bits[r], F.lit((counts[r]["right"] + RIGHT) / (max(counts[r]["n"], counts[r]["right"]) + RIGHT + WRONG))) for r in RULES))
+    rule = F.coalesce(*(F.when(bits[r], F.lit(r)) for r in RULES))
+    resolved = judged.where("wins").select("work", "entity", rule.alias("rule"), rate.alias("confidence"))
+    return resolved.join(member, "entity").groupBy("rec_id", F.col("work").alias("work_id")).agg(
         F.max_by("rule", "confidence").alias("rule"), F.max("confidence").alias("confidence")
     )
 

@@ -217,3 +217,10 @@ def test_a_group_of_many_title_spellings_keeps_its_abstract(spark):
     rows += [(20, "Lone Star", notice, None, None, None, None, at(1), 0, None, "")] + [(30 + i, f"Outside {i}", notice, None, None, None, None, at(1), 0, None, "") for i in range(3)]
     g = spark.createDataFrame([(1, 10 + i) for i in range(5)] + [(2, 20)], "group_id long, rec_id long")
     assert {tuple(r) for r in survivor.found(spark.createDataFrame(rows, FIELDS), g).collect()} == {(1, "abstract", 10)}
+
+
+def test_copies_without_groups_are_all_paired(spark):
+    """A work goes to every record that agrees in everything, though one of them shares its identifier and fits better."""
+    papers = [(1, T, A, 2022, "", "10.5555/abc.2022.1", ""), (2, T, A, 2022, "", "", ""), (3, T.upper(), A[:2], 2021, "", "", ""), (4, T + " II", A, 2022, "", "", "")]
+    works = [(11, T, A, 2022, "", "10.5555/abc.2022.1", "")]
+    assert pairs(spark, papers, works) == {(1, 11), (2, 11), (3, 11)}
