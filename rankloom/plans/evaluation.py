@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import SHIPPED
 from ..functions import text
+from ..functions.ids import key
 from ..operators import ai, evalkit, filters, graph, library, limits, prefmodel, rank
 from ..session import materialize, shared_dir, table
 from . import pool as P
@@ -31,25 +32,33 @@ def label_stats(s: SparkSession, d: str) -> DataFrame:
     return evalkit.label_stats(*_parts(s, d))
 
 
+#: A given model over the stored preference and the seven signals; it stands for the enriched kind where SQL checks the rest.
+GIVEN = prefmodel.Model([0.0] * 8, [1.0] * 8, [2.0, 0.8, 0.6, 0.1, 0.5, 0.2, 0.05, -0.3], -1.5, 1.0)
+
+
+def _preferred(pool: DataFrame) -> DataFrame:
+    """pool with the stored preference as that of embeddings alone, and the given model's as the enriched one."""
+    x = F.concat(F.array("preference"), prefmodel.structured(F.col("n_datasets")))
+    return pool.withColumns({"preference_embedding": F.col("preference"), "preference_enriched": F.when(F.col("preference").isNotNull(), GIVEN.probability(x))})
+
+
 def metrics_by_strategy(s: SparkSession, d: str) -> DataFrame:
-    m = evalkit.metrics(evalkit.ordered(_judged(s, d)))
+    m = evalkit.compared(_preferred(_judged(s, d)))
     return m.select("search_id", "strategy", *(F.round(c, 6).alias(c) for c in ("p_5", "p_10", "ndcg_10", "mrr")))
 
 
 def eval_summary(s: SparkSession, d: str) -> DataFrame:
-    t = evalkit.summary(evalkit.metrics(evalkit.ordered(_judged(s, d))))
+    t = evalkit.summary(evalkit.compared(_preferred(_judged(s, d))))
     return t.select("strategy", "searches", *(F.round(c, 6).alias(c) for c in t.columns if c not in ("strategy", "searches")))
 
 
 def random_expectation(s: SparkSession, d: str) -> DataFrame:
     r = evalkit.random_expectation(_judged(s, d))
-    return r.select("search_id", *(F.round(c, 6).alias(c) for c in ("p_5", "p_10", "mrr")))
+    return r.select("search_id", *(F.round(c, 6).alias(c) for c in ("p_5", "p_10", "ndcg_10", "mrr")))
 
 
 def first_clean_signals(s: SparkSession, d: str) -> DataFrame:
     p, l, f = _parts(s, d)
-    from ..functions.ids import key
-
     copy = table(s, d, "papers").groupBy(key().alias("paper_key")).agg(F.min_by(F.coalesce("code_url", F.lit("")), "rec_id").alias("code_url"), F.min_by(F.coalesce("citations", F.lit(0)), "rec_id").alias("citations"))
     return evalkit.first_clean(p, l, f, copy)
 
@@ -82,8 +91,6 @@ def set_folder(s: SparkSession, d: str) -> DataFrame:
 
 
 def rated_titles(s: SparkSession, d: str) -> DataFrame:
-    from ..functions.ids import key
-
     titles = table(s, d, "papers").groupBy(key().alias("paper_key")).agg(F.min_by("title", "rec_id").alias("title"))
     return library.rated_titles(P.entries(s, d).join(titles, "paper_key")).select("rating", F.array_join("titles", "|").alias("titles"))
 
@@ -119,46 +126,90 @@ def structured_features(s: SparkSession, d: str) -> DataFrame:
     return P.pool(s, d).select("score_id", *(F.round(F.get(f, F.lit(i)), 6).alias(f"f{i}") for i in range(7)))
 
 
+#: Length of the embeddings, as the usual small sentence encoders give.
+DIM = 384
+
+
+def _embeddings(s: SparkSession, d: str, keys: DataFrame) -> DataFrame:
+    """(paper_key, vec) of the papers of keys, by the stand-in for a sentence encoder."""
+    told = table(s, d, "papers").select(key().alias("paper_key"), "rec_id", F.concat_ws(". ", "title", "abstract").alias("text"))
+    texts = told.join(keys.select("paper_key").distinct(), "paper_key", "left_semi").groupBy("paper_key").agg(F.min_by("text", "rec_id").alias("text"))
+    return ai.embed(texts, "text", ai.HashingEmbedder(DIM)).select("paper_key", F.col("vec").cast("array<double>").alias("vec"))
+
+
+def _featured(rows: DataFrame, vecs: DataFrame) -> DataFrame:
+    """rows with the three kinds of features."""
+    both = rows.join(vecs, "paper_key", "left").withColumn("signals", prefmodel.structured(F.col("n_datasets")))
+    return both.withColumns({kind: prefmodel.features(kind, F.col("vec"), F.col("signals")) for kind in prefmodel.KINDS}).drop("vec", "signals")
+
+
 def _training(s: SparkSession, d: str) -> DataFrame:
-    return first_clean_signals(s, d).withColumn("features", prefmodel.structured(F.col("n_datasets")))
+    t = materialize(first_clean_signals(s, d), "labelled")
+    return materialize(_featured(t, _embeddings(s, d, t)), "training")
 
 
 def pref_predict(s: SparkSession, d: str) -> DataFrame:
-    """P(like) of every scored candidate from the model of all labels."""
-    model = prefmodel.train(materialize(_training(s, d), "training"))
-    p = P.pool(s, d)
-    prob = F.lit(None).cast("double") if model is None else model.probability(prefmodel.structured(F.col("n_datasets")))
-    return p.select("score_id", F.round(prob, 6).alias("preference"))
+    """P(like) of every scored candidate from the model of all labels, embeddings and signals."""
+    model = prefmodel.train(_training(s, d), "enriched")
+    p = materialize(P.pool(s, d).select("score_id", "paper_key", "score", "recruiter", "code_url", "n_datasets", "citations", "needs_gpu"), "pool")
+    prob = F.lit(None).cast("double") if model is None else model.probability(F.col("enriched"))
+    return _featured(p, _embeddings(s, d, p)).select("score_id", F.round(prob, 6).alias("preference"))
+
+
+def _out_of_fold(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The judged candidates, and (search_id, paper_key, preference_embedding, preference_enriched) of them."""
+    j = materialize(_judged(s, d), "judged")
+    one = j.groupBy("search_id", "paper_key").agg(*(F.min_by(c, "pos").alias(c) for c in ("score", "recruiter", "code_url", "n_datasets", "citations", "needs_gpu")))
+    pools, training = materialize(_featured(one, _embeddings(s, d, j)), "pools"), _training(s, d)
+    kinds = [prefmodel.out_of_fold_preferences(training, pools, kind).withColumnRenamed("preference", f"preference_{kind}") for kind in ("embedding", "enriched")]
+    return j, materialize(kinds[0].join(kinds[1], ["search_id", "paper_key"]), "preferences")
 
 
 def oof_preferences(s: SparkSession, d: str) -> DataFrame:
-    """P(like) of each judged candidate by a model that saw no label of its search."""
-    j = materialize(_judged(s, d).withColumn("features", prefmodel.structured(F.col("n_datasets"))).select("search_id", "pos", "paper_key", "features"), "judged")
-    p = prefmodel.out_of_fold_preferences(materialize(_training(s, d), "training"), j.groupBy("search_id", "paper_key").agg(F.min_by("features", "pos").alias("features")))
-    return p.select("search_id", "paper_key", F.round("preference", 6).alias("preference"))
+    """P(like) of each judged candidate, of both kinds, by models that saw no label of its search."""
+    return _out_of_fold(s, d)[1].select("search_id", "paper_key", *(F.round(c, 6).alias(c) for c in ("preference_embedding", "preference_enriched")))
+
+
+def oof_summary(s: SparkSession, d: str) -> DataFrame:
+    """The summary of all strategies with out-of-fold preferences; the pipeline uses the enriched one."""
+    j, told = _out_of_fold(s, d)
+    full = j.drop("preference").join(told, ["search_id", "paper_key"], "left").withColumn("preference", F.col("preference_enriched"))
+    t = evalkit.summary(evalkit.compared(full))
+    return t.select("strategy", "searches", *(F.round(c, 6).alias(c) for c in t.columns if c not in ("strategy", "searches")))
 
 
 def map_flags(s: SparkSession, d: str) -> DataFrame:
     """Every paper of the map with its rating and whether one of the searches shows it."""
-    from ..functions.ids import key
-
     nodes = table(s, d, "papers").select(key().alias("key")).distinct()
     return graph.flags(nodes, P.entries(s, d).select(F.col("paper_key").alias("key"), "rating"), P.pool(s, d).select(F.col("paper_key").alias("key")))
 
 
 def cv_report(s: SparkSession, d: str) -> DataFrame:
-    r = prefmodel.cross_validate(materialize(_training(s, d), "training"))
-    return s.createDataFrame([("structured", r["auc"], r["auc_std"], r["accuracy"])], "features string, auc double, auc_std double, accuracy double")
+    """AUC and accuracy of each kind of features over the same folds."""
+    t = _training(s, d)
+    rows = [(kind, r["auc"], r["auc_std"], r["accuracy"]) for kind in prefmodel.KINDS for r in [prefmodel.cross_validate(t, kind)]]
+    return s.createDataFrame(rows, "features string, auc double, auc_std double, accuracy double")
+
+
+#: Tokens of a ranking request: a usual limit, and one so small that most abstracts are shortened.
+REQUEST_TOKENS, TIGHT_TOKENS = 32_000, 2_600
+
+
+def _requests(s: SparkSession, d: str, limit: int) -> DataFrame:
+    titles = table(s, d, "papers").groupBy(key().alias("paper_key")).agg(F.min_by("title", "rec_id").alias("title"))
+    rated = library.rated_titles(P.entries(s, d).join(titles, "paper_key"))
+    body = ai.requests(P.pool(s, d).withColumn("query", F.col("search_id")), rated, "graphs", limit)
+    return body.select("search_id", F.sha1(F.col("prompt").cast("binary")).alias("hash"), text.tokens_of(F.col("prompt")).alias("tokens"))
 
 
 def prompt(s: SparkSession, d: str) -> DataFrame:
-    """The ranking request of each search; a search's candidates are bounded by what its sources give."""
-    p = P.pool(s, d)
-    rows = F.array_sort(F.collect_list(F.struct("pos", "title", "abstract", "year", "venue", "source", "citations", "code_url", "code_official", "code_framework", "stars")))
-    g = p.groupBy("search_id").agg(rows.alias("rows"), F.count("*").alias("n"))
-    none = F.array().cast("array<string>")
-    body = ai.prompt(ai.listing(F.col("rows"), F.lit(120)), F.col("search_id"), F.lit("graphs"), none, none)
-    return g.select("search_id", F.sha1(body.cast("binary")).alias("hash"), text.tokens_of(body).alias("tokens"))
+    """The ranking request of each search, with the newest rated titles."""
+    return _requests(s, d, REQUEST_TOKENS)
+
+
+def prompt_tight(s: SparkSession, d: str) -> DataFrame:
+    """The same within few tokens, so that abstracts are cut to excerpts."""
+    return _requests(s, d, TIGHT_TOKENS)
 
 
 def rank_stub(s: SparkSession, d: str) -> DataFrame:
@@ -209,7 +260,7 @@ QUERIES = {
     "judged": judged, "label_stats": label_stats, "metrics_by_strategy": metrics_by_strategy, "eval_summary": eval_summary, "random_expectation": random_expectation, "first_clean_signals": first_clean_signals,
     "out_of_fold": out_of_fold, "trainable": trainable, "library_fold": library_fold, "folder_counts": folder_counts, "library_view": library_view, "set_folder": set_folder, "rated_titles": rated_titles,
     "rate_limited": rate_limited, "quota_two_level": quota_two_level, "token_budget": token_budget, "sliding_counts": sliding_counts, "cache_evict": cache_evict, "structured_features": structured_features,
-    "pref_predict": pref_predict, "oof_preferences": oof_preferences, "map_flags": map_flags, "cv_report": cv_report, "prompt": prompt, "rank_stub": rank_stub, "answers_parsed": answers_parsed, "summaries_stub": summaries_stub, "embed_stub": embed_stub,
+    "pref_predict": pref_predict, "oof_preferences": oof_preferences, "oof_summary": oof_summary, "map_flags": map_flags, "cv_report": cv_report, "prompt": prompt, "prompt_tight": prompt_tight, "rank_stub": rank_stub, "answers_parsed": answers_parsed, "summaries_stub": summaries_stub, "embed_stub": embed_stub,
     "windowed_stream": windowed_stream, "blend_order": blend_order,
 }
 
@@ -226,27 +277,32 @@ def _pipe(name: str, w: dict[str, float], tiers: str, floor: float, rest: str, w
 
 
 _T = "(case when code_url<>'' then 4 else 0 end)+(case when n_datasets>=1 then 2 else 0 end)+(case when needs_gpu=false then 1 else 0 end)"
+_GIVEN = "1/(1+exp(-(-1.5+2.0*preference+0.8*coalesce(score/10,0)+0.6*coalesce(recruiter/10,0)+(case when score is not null then 0.1 else 0 end)+(case when code_url<>'' then 0.5 else 0 end)+0.2*ln(1+n_datasets)+0.05*ln(1+greatest(0,citations::bigint))-(case when needs_gpu then 0.3 else 0 end))))"
+_RANDOM = """rg0 as (select search_id, count(*) n, sum(label)::bigint l from judged group by 1), re as (select search_id, n, l, unnest(range(1,n-l+2)) r from rg0),
+ rf as (select search_id, n, l, r, exp(list_sum(list_transform(range(1,r), lambda i: ln((n-l-(i-1))::double/(n-(i-1)))))) miss from re),
+ rx as (select search_id, max(l)/max(n)*least(5,max(n))/5 p_5, max(l)/max(n)*least(10,max(n))/10 p_10,
+  max(l)/max(n)*list_sum(list_transform(range(1,least(10,max(n))+1), lambda i: 1/log2(i+1)))/list_sum(list_transform(range(1,least(10,max(l))+1), lambda i: 1/log2(i+1))) ndcg_10,
+  sum((case when r=1 then 1 else miss end)*l/(n-(r-1))/r) mrr from rf group by 1)"""
 _STRAT = f"""js as (select *, 10*(similarity-lo)/greatest(1e-9,hi-lo) sim10, 10*preference pref10 from (select *, coalesce(min(similarity) filter (score is not null) over (partition by search_id),0) lo,
  coalesce(max(similarity) filter (score is not null) over (partition by search_id),1) hi, count(*) filter (preference is null) over (partition by search_id)=0 allp from judged)),
  st as (select search_id, pos, label, 'source order' strategy, 0.0 k1, case when code_url<>'' then 1.0 else 0.0 end k2 from js union all select search_id, pos, label, 'recency', 0.0, coalesce(year::double,-1e18) from js
  union all select search_id, pos, label, 'citations', 0.0, citations::double from js union all select search_id, pos, label, 'similarity', 0.0, coalesce(similarity,-1e18) from js union all select search_id, pos, label, 'relevance', 0.0, coalesce(score,-1e18) from js
+ union all select search_id, pos, label, 'preference alone (embeddings)', 0.0, preference from js where allp union all select search_id, pos, label, 'preference alone (embeddings and signals)', 0.0, {_GIVEN} from js where allp
  union all {_pipe('original pipeline', dict(relevance=.5, recruiter=.5, similarity=0, preference=0), _T, 0.0, '0.0')} union all {_pipe('current pipeline', dict(relevance=.3, recruiter=.6, similarity=.3, preference=0), _T, 5.0, 'coalesce(similarity,-1e18)')}
  union all {_pipe('pipeline with preference', dict(relevance=.3, recruiter=.6, similarity=.3, preference=.15), _T, 5.0, 'coalesce(similarity,-1e18)', 'allp')}),
  od as (select *, row_number() over (partition by search_id, strategy order by k1 desc, k2 desc, pos) rn from st), oe as (select *, row_number() over (partition by search_id, strategy order by label desc, rn) b from od),
  mt as (select search_id, strategy, sum(case when rn<=5 then label else 0 end)/5 p_5, sum(case when rn<=10 then label else 0 end)/10 p_10,
- coalesce(sum(case when rn<=10 then label/log2(rn+1) else 0 end)/nullif(sum(case when b<=10 then label/log2(b+1) else 0 end),0),0) ndcg_10, coalesce(1.0/min(case when label=1 then rn end),0) mrr from oe group by 1,2)"""
+ coalesce(sum(case when rn<=10 then label/log2(rn+1) else 0 end)/nullif(sum(case when b<=10 then label/log2(b+1) else 0 end),0),0) ndcg_10, coalesce(1.0/min(case when label=1 then rn end),0) mrr from oe group by 1,2), {_RANDOM}, ms as (select search_id, strategy, p_5, p_10, ndcg_10, mrr from mt union all select search_id, 'random', p_5, p_10, ndcg_10, mrr from rx)"""
 _CF = r"(select *, floor(t/3600) b from (select event_id id, epoch_us(ts)/1e6 t, (value*1000)::bigint bytes from events))"
 
 ORACLE = {
     "judged": f"{_FB} select search_id, pos, paper_key, label from judged",
     "label_stats": f"""{_FB}, per as (select s.search_id, coalesce(n,0) n, coalesce(lk,0) lk, coalesce(lkd,0) lkd from (select distinct search_id from pool) s left join (select search_id, count(*) filter (not seen) n, max(label) filter (not seen) lk, count(*) filter (seen) lkd from cand group by 1) c using(search_id))
       select (select count(*) from label) labels, (select coalesce(sum(label),0)::bigint from label) likes, count(*) searches_total, count(*) filter (n>=2 and lk=1) searches_used, count(*) filter (not (n>=2 and lk=1)) searches_too_small, sum(lkd)::bigint leaked_dropped from per""",
-    "metrics_by_strategy": f"{_FB}, {_STRAT} select search_id, strategy, round(p_5,6) p_5, round(p_10,6) p_10, round(ndcg_10,6) ndcg_10, round(mrr,6) mrr from mt",
+    "metrics_by_strategy": f"{_FB}, {_STRAT} select search_id, strategy, round(p_5,6) p_5, round(p_10,6) p_10, round(ndcg_10,6) ndcg_10, round(mrr,6) mrr from ms",
     "eval_summary": f"{_FB}, {_STRAT} select strategy, count(*) searches, round(avg(p_5),6) p_5, round(avg(p_10),6) p_10, round(avg(ndcg_10),6) ndcg_10, round(avg(mrr),6) mrr, "
-    + ", ".join(f"round(case when count(*)>1 then stddev_samp({c})/sqrt(count(*)) else 0 end,6) {c}_se" for c in ("p_5", "p_10", "ndcg_10", "mrr")) + " from mt group by 1",
-    "random_expectation": f"""{_FB}, g as (select search_id, count(*) n, sum(label)::bigint l from judged group by 1), e as (select search_id, n, l, unnest(range(1,n-l+2)) r from g),
-      f as (select search_id, n, l, r, exp(list_sum(list_transform(range(1,r), lambda i: ln((n-l-(i-1))::double/(n-(i-1)))))) miss from e)
-      select search_id, round(max(l)/max(n)*least(5,max(n))/5,6) p_5, round(max(l)/max(n)*least(10,max(n))/10,6) p_10, round(sum((case when r=1 then 1 else miss end)*l/(n-(r-1))/r),6) mrr from f group by 1""",
+    + ", ".join(f"round(case when count(*)>1 then stddev_samp({c})/sqrt(count(*)) else 0 end,6) {c}_se" for c in ("p_5", "p_10", "ndcg_10", "mrr")) + " from ms group by 1",
+    "random_expectation": f"{_FB}, {_RANDOM} select search_id, round(p_5,6) p_5, round(p_10,6) p_10, round(ndcg_10,6) ndcg_10, round(mrr,6) mrr from rx",
     "first_clean_signals": f"""{_FB}, b as (select * from (select *, row_number() over (partition by paper_key order by score is null, "time", search_id, pos) rn from cand where not seen) where rn=1), cp as (select paper_key, min_by(coalesce(code_url,''),rec_id) cu, min_by(coalesce(citations,0),rec_id) ci from pk group by 1)
       select label.paper_key, label.label, b.search_id, b.score, b.recruiter, case when b.paper_key is null then cu else b.code_url end code_url, coalesce(b.n_datasets,0) n_datasets, case when b.paper_key is null then ci else b.citations end citations, b.needs_gpu
       from label left join b using(paper_key) left join cp using(paper_key)""",
@@ -264,8 +320,13 @@ ORACLE = {
     "cache_evict": f"select id from (select *, sum(bytes) over (order by t desc, id rows between unbounded preceding and current row) run, row_number() over (order by t desc, id) rn from {_CF}) where run<=2097152 or rn=1",
     "structured_features": f"""{P.POOL} select score_id, round(coalesce(score/10,0),6) f0, round(coalesce(recruiter/10,0),6) f1, case when score is not null then 1.0 else 0.0 end f2, case when code_url<>'' then 1.0 else 0.0 end f3, round(ln(1+n_datasets),6) f4, round(ln(1+greatest(0,citations::bigint)),6) f5, case when needs_gpu then 1.0 else 0.0 end f6 from pool""",
     "answers_parsed": "select search_id, count(*) answers, round(sum(relevance),6) relevance from scores group by 1",
-    "prompt": f"""{P.POOL}, o as (select search_id, string_agg('['||pos||'] '||title||' ('||coalesce(year::varchar,'None')||', '||case when venue<>'' then venue else source end||', '||citations||' citations, '||case when code_url='' then 'no public code' else concat_ws(', ', case when code_official then 'official code' else 'public code' end, case when code_framework<>'' then code_framework end, case when stars>0 then stars||' GitHub stars' end) end||')'||chr(10)||substr(abstract,1,120), chr(10)||chr(10) order by pos) l from pool group by 1),
-      b as (select search_id, 'Interests:'||chr(10)||'graphs'||chr(10)||chr(10)||'Query: '||search_id||chr(10)||chr(10)||'Candidates:'||chr(10)||l t from o) select search_id, sha1(t) hash, floor(length(t)/3.5)::int tokens from b""",
+    # abstracts are whole up to the most characters that one may take
+    "prompt": f"""{P.POOL}, {P.LIB.strip()}, tt as (select paper_key, min_by(title,rec_id) title from pk group by 1), rt as (select rating>0 liked, coalesce(title,'') title, row_number() over (partition by rating>0 order by updated desc, paper_key desc) rn from lib join tt using(paper_key) where rating<>0),
+      tl as (select coalesce(chr(10)||'Liked before:'||chr(10)||'- '||string_agg(title,chr(10)||'- ' order by rn desc) filter (liked),'')||coalesce(chr(10)||'Disliked before:'||chr(10)||'- '||string_agg(title,chr(10)||'- ' order by rn desc) filter (not liked),'') t from rt where rn<=15),
+      o as (select search_id, string_agg('['||pos||'] '||title||' ('||coalesce(year::varchar,'None')||', '||case when venue<>'' then venue else source end||', '||citations||' citations, '
+       ||case when code_url='' then 'no public code' else concat_ws(', ', case when code_official then 'official code' else 'public code' end, case when code_framework<>'' then code_framework end, case when stars>0 then stars||' GitHub stars' end) end
+       ||')'||chr(10)||(case when length(abstract)<=1200 then abstract end), chr(10)||chr(10) order by pos) l from pool group by 1),
+      b as (select search_id, 'Interests:'||chr(10)||'graphs'||(select t from tl)||chr(10)||chr(10)||'Query: '||search_id||chr(10)||chr(10)||'Candidates:'||chr(10)||l t from o) select search_id, sha1(t) hash, floor(length(t)/3.5)::int tokens from b""",
     "windowed_stream": "select epoch_us(time_bucket(interval '5 minutes', ts)) start_us, event_type, count(*) n, round(sum(value),2) total from events group by 1,2",
     "blend_order": """with pool as (select *, field search_id, len(datasets) n_datasets from papers where coalesce(title,'')<>''), rg as (select *, coalesce(min(similarity) over (partition by field),0) lo, coalesce(max(similarity) over (partition by field),1) hi from pool), sg as (select *, 10*(similarity-lo)/greatest(1e-9,hi-lo) sim10, 10*preference pref10 from rg),
       rr as (select *, case when coalesce(coalesce(score,sim10)>=5,false) then 1000+100*((case when coalesce(code_url,'')<>'' then 4 else 0 end)+(case when n_datasets>=1 then 2 else 0 end)+(case when needs_gpu=false then 1 else 0 end)) else 0 end

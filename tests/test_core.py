@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from rankloom import config, schema
 from rankloom.config import Filters, Priorities
 from rankloom.functions import ids, text, vectors
-from rankloom.operators import ai, dedupe, enrich, evalkit, filters, graph, library, limits, prefmodel, rank, sets
+from rankloom.operators import ai, dedupe, enrich, evalkit, filters, graph, library, limits, logit, prefmodel, rank, sets
 from rankloom.sources import connector, parsers, store
 
 PAPER = "rec_id long, pos long, title string, abstract string, doi string, arxiv_id string, venue string, citations int, stars int, code_url string, code_official boolean, code_framework string, pdf_url string, source string, year int"
@@ -322,6 +322,8 @@ def test_random_expectation_equals_shuffles(spark):
     r = evalkit.random_expectation(spark.createDataFrame([("s", x) for x in labels], "search_id string, label int")).first()
     rng = np.random.default_rng(0)
     runs = [rng.permutation(labels) for _ in range(20000)]
+    gain = [(q[:10] / np.log2(np.arange(2, len(q[:10]) + 2))).sum() / (1 + 1 / np.log2(3)) for q in runs]
+    assert r["ndcg_10"] == pytest.approx(np.mean(gain), abs=5e-3)
     assert r["p_5"] == pytest.approx(np.mean([q[:5].sum() / 5 for q in runs]), abs=5e-3) and r["mrr"] == pytest.approx(np.mean([1 / (np.argmax(q) + 1) for q in runs]), abs=5e-3)
 
 
@@ -453,30 +455,51 @@ def test_preference_model_matches_a_direct_solution(spark):
     assert prefmodel.train(df.where("label = 1")) is None
 
 
+@pytest.mark.parametrize("width", [4, 100])
+def test_all_ways_of_fitting_agree(spark, width):
+    """One process, distributed Newton steps and MLlib choose the same strength and give the same model."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, width)) * rng.uniform(0.5, 3, width)
+    x[:, -1] = 2.0
+    y = (x[:, 0] - x[:, 1] + 0.5 * rng.normal(size=90) > 0).astype(int)
+    df = spark.createDataFrame([(f"k{i}", x[i].tolist(), int(y[i])) for i in range(90)] + [("none", None, 1)], "paper_key string, features array<double>, label int")
+    a, b = prefmodel.train(df), prefmodel.train(df, local=0)
+    assert a.strength == b.strength and np.allclose([*a.weights, a.bias], [*b.weights, b.bias], atol=1e-4)
+    p = df.where("features is not null").select(a.probability(F.col("features")).alias("a"), b.probability(F.col("features")).alias("b")).collect()
+    assert max(abs(r["a"] - r["b"]) for r in p) < 1e-4
+
+
+def test_borrowed_curvature_changes_nothing():
+    rng = np.random.default_rng(6)
+    for n, d in ((200, 30), (40, 60)):
+        x = rng.normal(size=(n, d))
+        y, fold, kept = (x[:, 0] + rng.normal(size=n) > 0).astype(float), np.arange(n) % 3, {}
+        logit.fit(x, y, fold, keep=kept)
+        a, b = logit.fit(x[7:], y[7:], fold[7:]), logit.fit(x[7:], y[7:], fold[7:], kept)
+        z, w, pen = np.c_[(x[7:] - a.mean) / a.scale, np.ones(n - 7)], logit.balance(y[7:]), np.append(np.full(d, 1 / a.strength), 0)
+        slope = z.T @ (w * (logit.probability(z, a.beta) - y[7:])) + pen * a.beta
+        assert a.strength == b.strength and np.allclose(a.beta, b.beta, atol=1e-6) and np.abs(slope).max() < 1e-5
+
+
 def test_out_of_fold_models_equal_single_fits(spark, tmp_path):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 2))
     y = (x[:, 0] + 0.4 * rng.normal(size=60) > 0).astype(int)
     t = spark.createDataFrame([(f"k{i}", x[i].tolist(), int(y[i])) for i in range(60)], "paper_key string, features array<double>, label int")
-    pools = [(f"s{n}", f"k{i}") for n in range(5) for i in range(n * 7, n * 7 + 9)]
-    p = spark.createDataFrame([(s, k, x[int(k[1:])].tolist()) for s, k in pools], "search_id string, paper_key string, features array<double>")
-    for batch in (2, 256):
-        got = {(r["search_id"], r["paper_key"]): r["preference"] for r in prefmodel.out_of_fold_preferences(t, p, 0.1, batch).collect()}
-        mean, scale = x.mean(0), x.std(0)
-        for s in {s for s, _ in pools}:
-            out = {int(k[1:]) for q, k in pools if q == s}
-            keep = np.array([i not in out for i in range(60)])
-            z, lab = np.c_[(x - mean) / scale, np.ones(60)], y
-            n, likes = keep.sum(), y[keep].sum()
-            w = np.where(lab == 1, n / (2 * likes), n / (2 * (n - likes))) * keep
-            beta, pen = np.zeros(3), np.array([10.0, 10.0, 0.0])
-            for _ in range(40):
-                q = 1 / (1 + np.exp(-z @ beta))
-                beta -= np.linalg.solve((z * (w * q * (1 - q))[:, None]).T @ z + np.diag(pen), z.T @ (w * (q - lab)) + pen * beta)
-            for i in out:
-                assert got[(s, f"k{i}")] == pytest.approx(1 / (1 + np.exp(-z[i] @ beta)), abs=1e-6)
+    pools = [(f"s{n}", f"k{i}") for n in range(3) for i in range(n * 7, n * 7 + 9)]
+    p = spark.createDataFrame([(s, k, x[int(k[1:])].tolist()) for s, k in pools] + [("s0", "new", None), ("s0", "other", [0.1, 0.2])], "search_id string, paper_key string, features array<double>")
+    got = {(r["search_id"], r["paper_key"]): r["preference"] for r in prefmodel.out_of_fold_preferences(t, p).collect()}
+    far = {(r["search_id"], r["paper_key"]): r["preference"] for r in prefmodel.out_of_fold_preferences(t, p, local=0).collect()}
+    assert got.keys() == far.keys() and got["s0", "new"] is None and got["s0", "other"] is not None
+    for s in {s for s, _ in pools}:
+        out = [k for q, k in pools if q == s]
+        fold = {r["paper_key"]: r["fold"] for r in prefmodel.fold_column(t, 3).collect()}
+        keep = np.array([f"k{i}" not in out for i in range(60)])
+        m = logit.fit(x[keep], y[keep].astype(float), np.array([fold[f"k{i}"] for i in range(60)])[keep])
+        for k in out:
+            assert got[s, k] == pytest.approx(m.predict(x[[int(k[1:])]])[0], abs=1e-6) and 0 < far[s, k] < 1
     few = prefmodel.out_of_fold_preferences(t.limit(8), p)
-    assert few.where("preference is not null").count() == 0
+    assert few.where("preference is not null").count() == 0 and few.count() == len(got)
     m = prefmodel.train(t)
     prefmodel.save(m, str(tmp_path / "m"), spark)
     assert prefmodel.load(str(tmp_path / "m"), spark) == ("structured", m) and prefmodel.load(str(tmp_path / "none"), spark) is None
