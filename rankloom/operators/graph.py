@@ -18,10 +18,10 @@ BLOCK = 4096
 DIGITS, TIE = 12, 1e-11
 
 
-def nearest(queries: DataFrame, base: DataFrame, k: int = K, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
-    """(src, dst, sim): of each query (id, vec) the k most similar rows of base (id, vec), itself excluded.
+def nearest(queries: DataFrame, base: DataFrame, k: int | None = K, floor: float = FLOOR, block: int = BLOCK) -> DataFrame:
+    """(src, dst, sim): of each query (id, vec) the k most similar rows of base (id, vec), itself excluded; all without k.
 
-    Blocks of queries meet blocks of base one pair per task as matrix products; only each pair's k best leave it. Ties
+    Exact, so the work is the product of both sides: for a query set against all rows, or a base of some 100,000. Blocks of queries meet blocks of base one pair per task as matrix products; only each pair's k best leave it. Ties
     go to the smaller id in every block, whatever the number of copies.
     """
     nq = max(1, -(-queries.count() // block))
@@ -44,20 +44,22 @@ def nearest(queries: DataFrame, base: DataFrame, k: int = K, floor: float = FLOO
             s = qx @ bx.T
             s[qid[:, None] == bid[None, :]] = -2
             s[s < floor] = -2
-            m = min(k, s.shape[1])
+            m = s.shape[1] if k is None else min(k, s.shape[1])
             edge = np.partition(s, s.shape[1] - m, axis=1)[:, s.shape[1] - m]
             # copies may differ in the last bits of their products: all near the edge are candidates, by value, then id
             r, c = np.nonzero((s >= edge[:, None] - TIE) & (s > -2))
             value = np.round(s[r, c], DIGITS)
             order = np.lexsort((bid[c], -value, r))
             r, c, value = r[order], c[order], value[order]
-            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            first = np.arange(len(r)) - np.searchsorted(r, r) < m
             src.append(qid[r[first]])
             dst.append(bid[c[first]])
             sim.append(value[first])
         return pa.table([np.concatenate(src), np.concatenate(dst), np.concatenate(sim)], schema=out)
 
     hits = q.unionByName(b).groupBy("qb", "bb").applyInArrow(match, "src long, dst long, sim double")
+    if k is None:
+        return hits
     best = Window.partitionBy("src").orderBy(F.desc("sim"), "dst")
     return hits.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= k).drop("rn")
 
@@ -134,6 +136,12 @@ def with_papers(base: DataFrame, extra: DataFrame, most: int = 300) -> DataFrame
     return base.select("id", "vec").unionByName(extra.join(base.select("id"), "id", "left_anti").dropDuplicates(["id"]).orderBy("id").limit(most).select("id", "vec"))
 
 
+def signature(vertices: DataFrame, *settings: object) -> str:
+    """What a graph of (id, vec) was built from: vertices, whatever their order, and settings."""
+    n, h = vertices.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("id", "vec").cast("decimal(38,0)")), F.lit(0))).first()
+    return "-".join(map(str, (n, h, *settings)))
+
+
 def current(spark: SparkSession, path: str, signature: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The stored edges of this signature, built and stored if there are none yet."""
     at = f"{path}/sig={signature}"

@@ -60,6 +60,11 @@ def rated_titles(entries: DataFrame, keep: int = 15) -> DataFrame:
     return top.groupBy("rating").agg(F.transform(listed, lambda x: x["title"]).alias("titles"))
 
 
+def get(entries: DataFrame, *keys: str, key: str = "paper_key") -> DataFrame:
+    """The entries of the given keys."""
+    return entries.where(F.col(key).isin(*keys))
+
+
 def remove(entries: DataFrame, keys: DataFrame, key: str = "paper_key") -> DataFrame:
     return entries.join(keys.select(key).distinct(), key, "left_anti")
 

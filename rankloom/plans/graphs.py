@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors
 from ..operators import graph
-from ..session import materialize, table
+from ..session import shared_dir, table
 
 MIN_SIM = 0.2
 #: The searches: every vector whose id is divisible by it.
@@ -22,7 +22,9 @@ def vecs(s: SparkSession, d: str) -> DataFrame:
 
 
 def adjacency(s: SparkSession, d: str) -> DataFrame:
-    return materialize(graph.symmetric(graph.nearest(vecs(s, d), vecs(s, d), floor=MIN_SIM)), "adj")
+    """The edges of the graph, built once for its vectors and stored."""
+    v = vecs(s, d)
+    return graph.current(s, f"{shared_dir(s)}/graphs", graph.signature(v, graph.K, MIN_SIM), lambda: graph.symmetric(graph.nearest(v, v, floor=MIN_SIM)))
 
 
 def normalized(s: SparkSession, d: str) -> DataFrame:
@@ -53,7 +55,7 @@ def degrees(s: SparkSession, d: str) -> DataFrame:
 
 
 def seed_sims(s: SparkSession, d: str) -> DataFrame:
-    return graph.nearest(vecs(s, d).where(F.col("id") % EVERY == 0), vecs(s, d), k=1_000_000, floor=MIN_SIM).select(F.col("src").alias("seed_id"), F.col("dst").alias("node"), "sim")
+    return graph.nearest(vecs(s, d).where(F.col("id") % EVERY == 0), vecs(s, d), k=None, floor=MIN_SIM).select(F.col("src").alias("seed_id"), F.col("dst").alias("node"), "sim")
 
 
 def pagerank(s: SparkSession, d: str) -> DataFrame:
@@ -91,9 +93,13 @@ _ADJ = f"""allp as materialized (select a.vec_id src, b.vec_id dst, {_COS} sim f
 
 
 def _walk(seed: str) -> str:
+    """The walk of every seed of sd(seed, node, s): a step passes on what is kept, and all start anew."""
     return f"""wk as materialized (select adj.src, adj.dst, sim/degree p from adj join dg using(src)), sd as materialized ({seed}),
- pr(i,node,r) as (select 0, node, s from sd union all select i+1, node, sum(r) from (select i, wk.dst node, 0.6*pr.r*wk.p r from pr join wk on wk.src=pr.node union all select it.i, node, 0.4*s from sd, (select distinct i from pr) it) where i<30 group by i, node)"""
+ pr(i,seed,node,r) as (select 0, seed, node, s from sd union all select i+1, seed, node, sum(r) from
+  (select i, seed, wk.dst node, 0.6*pr.r*wk.p r from pr join wk on wk.src=pr.node union all select it.i, sd.seed, sd.node, 0.4*s from sd, (select distinct i from pr) it) where i<30 group by i, seed, node)"""
+
 
+_NEAR = f"nr as materialized (select src seed, dst node, sim from allp where src%{EVERY}=0 and sim>={MIN_SIM}), dr as materialized (select * from (select *, row_number() over (partition by seed order by sim desc, node) rn from nr) where rn<=8)"
 
 ORACLE = {
     "normalized": """select vec_id, round(l,4) length, round(sqrt(list_sum(list_transform(vec, lambda x: (x::double/greatest(l,1e-12))*(x::double/greatest(l,1e-12))))),4) unit
@@ -103,6 +109,10 @@ ORACLE = {
     "nearest_queries": f"select src, dst, round(sim,6) sim from (select *, row_number() over (partition by src order by sim desc, dst) rn from (select a.vec_id src, b.vec_id dst, {_COS} sim from embeddings a join embeddings b on a.vec_id<>b.vec_id where a.vec_id%50=0)) where rn<=10",
     "knn_edges": f"with {_ADJ} select src, dst, round(sim,6) sim from adj",
     "degrees": f"with {_ADJ} select src, round(degree,6) degree, links from dg",
+    "pagerank": f"with recursive {_ADJ}, {_walk(f'select vec_id seed, vec_id node, 1.0::double s from embeddings where vec_id%{EVERY}=0')} select seed seed_id, node, round(r,6) score from pr where i=30",
+    "similar": f"""with recursive {_ADJ}, {_NEAR}, {_walk('select seed, node, sim/sum(sim) over (partition by seed) s from dr')}, sc as (select pr.seed, pr.node, nr.sim, pr.r, dr.node is not null direct from pr join nr on nr.seed=pr.seed and nr.node=pr.node left join dr on dr.seed=pr.seed and dr.node=pr.node where i=30 and pr.r>0 and pr.node<>pr.seed),
+      tp as (select *, row_number() over (partition by seed, direct order by r desc, node) rn from sc), vi as (select dr.seed, adj.dst node, max_by(dr.node,(adj.sim*dr.sim,dr.node)) via from dr join adj on adj.src=dr.node group by 1,2)
+      select tp.seed seed_id, tp.node, round(sim,3) similarity, round(r,6) score, direct, case when not direct then via end via from tp left join vi on vi.seed=tp.seed and vi.node=tp.node where tp.rn<=5""",
     "related": f"""with {_ADJ}, o as (select dst node, src via, sim from adj where src<20 and dst>=20 and dst%7<>0) select node, round(sim,3) sim, via from (select node, max(sim) sim, min_by(via,(-sim,via)) via from o group by 1 order by sim desc, node limit 12)""",
     "neighbourhood": f"""with {_ADJ}, fr as (select dst node, max(sim) w from adj where src<5 and dst>=5 group by 1 order by w desc, node desc limit 35), nd as (select vec_id node, 1.0::double value from embeddings where vec_id<5 union all select node, 0.0 from fr)
       select node a, null::bigint b, value from nd union all select src, dst, round(sim,3) from adj where src<dst and src in (select node from nd) and dst in (select node from nd)""",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 #: Rows of a side that is proven small enough to be broadcast.
 BROADCAST_ROWS = 100_000
 _own_dir: list[str] = []
+_shared: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, as the session names it; a local one, removed at exit, only where it names none."""
+    """This application's part of the folder that all executors share, as the session names it.
+
+    A local one, removed at exit, stands in only where all runs on one machine and the session names none.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base.rstrip("/")
+        own = f"{base.rstrip('/')}/rankloom-{spark.sparkContext.applicationId}"
+        if own not in _shared:
+            _shared.append(own)
+            atexit.register(drop_tables, spark)
+        return own
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_dir:
         own = tempfile.mkdtemp(prefix="rankloom-")
         atexit.register(shutil.rmtree, own, ignore_errors=True)
@@ -34,6 +45,16 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
+def drop_tables(spark: SparkSession) -> None:
+    """Remove what materialize wrote for this application; frames that read it are void after that."""
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    for own in _shared:
+        path = spark._jvm.org.apache.hadoop.fs.Path(own)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _shared.clear()
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+import threading
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import Future
+from itertools import groupby
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -32,23 +36,46 @@ def with_retries(fetch: Callable[[], str], tries: int = 4, sleep: Callable[[floa
 
 
 class Pacer:
-    """At least ``gap`` seconds between calls of one reader."""
+    """At least ``gap`` seconds between the calls to one source, whichever thread makes them."""
 
     def __init__(self, gap: float, clock: Callable[[], float] = time.monotonic, sleep: Callable[[float], None] = time.sleep) -> None:
-        self.gap, self.clock, self.sleep, self.last = gap, clock, sleep, None
+        self.gap, self.clock, self.sleep, self.free = gap, clock, sleep, None
+        self.lock = threading.Lock()
 
     def wait(self) -> float:
-        now = self.clock()
-        pause = 0.0 if self.last is None else max(0.0, self.last + self.gap - now)
-        if pause:
-            self.sleep(pause)
-        self.last = now + pause
-        return pause
+        with self.lock:  # each caller books the next free moment, then waits for it by itself
+            now = self.clock()
+            start = now if self.free is None else max(now, self.free)
+            self.free = start + self.gap
+        if start > now:
+            self.sleep(start - now)
+        return start - now
 
 
-class _Page(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
+class InFlight:
+    """One fetch at a time for each address: callers that ask for it meanwhile get the same answer or failure."""
+
+    def __init__(self) -> None:
+        self.lock, self.open = threading.Lock(), {}
+
+    def get(self, address: object, fetch: Callable[[], object]) -> object:
+        with self.lock:
+            first = address not in self.open
+            answer = self.open.setdefault(address, Future())
+        if first:
+            try:
+                answer.set_result(fetch())
+            except BaseException as e:
+                answer.set_exception(e)
+            finally:
+                with self.lock:
+                    del self.open[address]
+        return answer.result()
+
+
+class _Pages(InputPartition):
+    def __init__(self, paths: tuple[str, ...]) -> None:
+        super().__init__(paths)
 
 
 class _Reader(DataSourceReader):
@@ -61,28 +88,27 @@ class _Reader(DataSourceReader):
         self.field = options.get("field")
 
     def partitions(self) -> list[InputPartition]:
-        pages = sorted(Path(self.root).glob("*.json"))
-        if self.field is not None:
-            pages = [p for p in pages if p.name.split("-")[0] == self.field]
-        return [_Page(str(p)) for p in pages]
+        pages = [str(p) for p in sorted(Path(self.root).glob("*.json")) if self.field in (None, p.name.split("-")[0])]
+        if not self.limit:
+            return [_Pages((p,)) for p in pages]
+        # a limit counts over the pages of a field, so one task reads them
+        return [_Pages(tuple(own)) for _, own in groupby(pages, key=lambda p: Path(p).name.split("-")[0])]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        import json
-
-        body = with_retries(lambda: Path(partition.value).read_text(encoding="utf-8"))
-        field = Path(partition.value).name.split("-")[0]
         n = 0
-        for r in json.loads(body):
-            if self.min_year is not None and r.get("year") is not None and r["year"] < self.min_year:
-                continue
-            if self.limit and n >= self.limit:
-                break
-            n += 1
-            yield (field, r.get("title"), r.get("abstract") or "", r.get("year"), r.get("source") or "")
+        for page in partition.value:
+            body = with_retries(lambda page=page: Path(page).read_text(encoding="utf-8"))
+            for r in json.loads(body):
+                if self.min_year is not None and r.get("year") is not None and r["year"] < self.min_year:
+                    continue
+                if self.limit and n >= self.limit:
+                    return
+                n += 1
+                yield (Path(page).name.split("-")[0], r.get("title"), r.get("abstract") or "", r.get("year"), r.get("source") or "")
 
 
 class SavedAnswers(DataSource):
-    """format("saved_answers"): JSON pages <field>-<n>.json of records; options min_year, field and limit (per page)."""
+    """format("saved_answers"): JSON pages <field>-<n>.json of records; options min_year, field and limit (per field)."""
 
     @classmethod
     def name(cls) -> str:

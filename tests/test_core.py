@@ -570,6 +570,48 @@ def test_connector(spark, tmp_path):
     df = read.load(str(tmp_path))
     assert {r["title"] for r in df.where("year >= 2015").collect()} == {"b", "c"} and df.count() == 3
     assert {r["title"] for r in read.options(min_year=2015, field="ml").load(str(tmp_path)).collect()} == {"b"}
+    (tmp_path / "ml-2.json").write_text(json.dumps([{"title": "d", "year": 2020}, {"title": "e", "year": 2020}]))
+    assert {r["title"] for r in spark.read.format("saved_answers").options(limit=3).load(str(tmp_path)).collect()} == {"a", "b", "c", "d"}
+
+
+def test_one_fetch_for_all_who_ask_meanwhile():
+    import threading
+    import time
+    from concurrent.futures import ThreadPoolExecutor
+
+    calls, gate, flight = [], threading.Event(), connector.InFlight()
+
+    def fetch():
+        calls.append(1)
+        gate.wait(5)
+        return "body"
+
+    with ThreadPoolExecutor(6) as pool:
+        jobs = [pool.submit(flight.get, "u", fetch) for _ in range(6)]
+        time.sleep(0.2)
+        gate.set()
+        assert [j.result() for j in jobs] == ["body"] * 6 and len(calls) == 1
+    assert flight.get("u", lambda: "new") == "new" and not flight.open
+    pauses, pacer = [], connector.Pacer(3.0, clock=lambda: 10.0, sleep=lambda s: pauses.append(s))
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda _: pacer.wait(), range(4)))
+    assert sorted(pauses) == [3.0, 6.0, 9.0]
+
+
+def test_slow_rankers_and_rewrites_by_key(spark):
+    import time
+
+    class Slow:
+        def rank(self, query, texts):
+            time.sleep(1.5 if "slow" in texts[0] else 0)
+            return [{"relevance": 1.0, "recruiter": 2.0, "needs_gpu": None}] * len(texts)
+
+    p = spark.createDataFrame([("s1", 1, "q", "slow one"), ("s2", 2, "q", "fast one")], "search_id string, rec_id long, query string, text string")
+    scores, errors = ai.rank(p, Slow(), timeout=0.5)
+    assert {r["rec_id"]: r["relevance"] for r in scores.collect()} == {1: None, 2: 1.0} and [(r["search_id"], r["error"]) for r in errors.collect()] == [("s1", "TimeoutError")]
+    s = spark.createDataFrame([("Graph nets", ["b", "a"], "m1"), ("graph nets ", ["a"], "m1")], "query string, fields array<string>, model string")
+    w = spark.createDataFrame([(" GRAPH nets", ["a", "b"], "m1", "graph networks", "find"), ("graph nets", ["a"], "m2", "other", "find")], "query string, fields array<string>, model string, keywords string, intent string")
+    assert sorted((r["query"], r["keywords"], r["intent"]) for r in ai.rewritten(s, w).collect()) == [("Graph nets", "graph networks", "find"), ("graph nets ", "graph nets ", None)]
 
 
 def test_retries_pacing_and_deadline():
