@@ -230,7 +230,8 @@ def summaries_stub(s: SparkSession, d: str) -> DataFrame:
 
 def embed_stub(s: SparkSession, d: str) -> DataFrame:
     e = ai.embed(table(s, d, "papers").select("rec_id", F.concat_ws(". ", "title", "abstract").alias("text")), "text", ai.HashingEmbedder(32))
-    return e.select("rec_id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("length"))
+    lean = F.aggregate(F.transform("vec", lambda x, i: x.cast("double") * (i + 1)), F.lit(0.0), lambda a, x: a + x)
+    return e.select("rec_id", F.size("vec").alias("dim"), F.round(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")), 4).alias("length"), F.round(lean, 3).alias("lean"))
 
 
 def windowed_stream(s: SparkSession, d: str) -> DataFrame:
@@ -293,6 +294,10 @@ _STRAT = f"""js as (select *, 10*(similarity-lo)/greatest(1e-9,hi-lo) sim10, 10*
  od as (select *, row_number() over (partition by search_id, strategy order by k1 desc, k2 desc, pos) rn from st), oe as (select *, row_number() over (partition by search_id, strategy order by label desc, rn) b from od),
  mt as (select search_id, strategy, sum(case when rn<=5 then label else 0 end)/5 p_5, sum(case when rn<=10 then label else 0 end)/10 p_10,
  coalesce(sum(case when rn<=10 then label/log2(rn+1) else 0 end)/nullif(sum(case when b<=10 then label/log2(b+1) else 0 end),0),0) ndcg_10, coalesce(1.0/min(case when label=1 then rn end),0) mrr from oe group by 1,2), {_RANDOM}, ms as (select search_id, strategy, p_5, p_10, ndcg_10, mrr from mt union all select search_id, 'random', p_5, p_10, ndcg_10, mrr from rx)"""
+_LIMITED = """ev as materialized (select user_id "key", event_id id, epoch_us(ts)/1e6 t, row_number() over (partition by user_id order by epoch_us(ts), event_id) rn from events),
+ lim("key", id, t, rn, log, allowed, retry_after) as (select "key", id, t, rn, [t], true, 0 from ev where rn=1 union all
+  select "key", id, t, rn, case when len(live)<2 then list_append(live,t) else live end, len(live)<2, case when len(live)<2 then 0 else greatest(1,trunc(live[1]+3600-t)::int) end
+  from (select ev.*, list_filter(lim.log, lambda x: ev.t-x<3600) live from lim join ev on ev."key"=lim."key" and ev.rn=lim.rn+1))"""
 _CF = r"(select *, floor(t/3600) b from (select event_id id, epoch_us(ts)/1e6 t, (value*1000)::bigint bytes from events))"
 
 ORACLE = {
@@ -320,6 +325,25 @@ ORACLE = {
     "cache_evict": f"select id from (select *, sum(bytes) over (order by t desc, id rows between unbounded preceding and current row) run, row_number() over (order by t desc, id) rn from {_CF}) where run<=2097152 or rn=1",
     "structured_features": f"""{P.POOL} select score_id, round(coalesce(score/10,0),6) f0, round(coalesce(recruiter/10,0),6) f1, case when score is not null then 1.0 else 0.0 end f2, case when code_url<>'' then 1.0 else 0.0 end f3, round(ln(1+n_datasets),6) f4, round(ln(1+greatest(0,citations::bigint)),6) f5, case when needs_gpu then 1.0 else 0.0 end f6 from pool""",
     "answers_parsed": "select search_id, count(*) answers, round(sum(relevance),6) relevance from scores group by 1",
+    "rate_limited": f'with recursive {_LIMITED} select "key", id, allowed, retry_after from lim',
+    "quota_two_level": f"""with recursive {_LIMITED}, ps as materialized (select id, t, row_number() over (order by t, id) rn from lim where allowed),
+      dl(rn, id, log, ok) as (select rn, id, [t], true from ps where rn=1 union all select rn, id, case when len(live)<150 then list_append(live,t) else live end, len(live)<150
+       from (select ps.rn, ps.id, ps.t, list_filter(dl.log, lambda x: ps.t-x<86400) live from dl join ps on ps.rn=dl.rn+1))
+      select lim."key", lim.id, case when not allowed then 'visitor' when not coalesce(dl.ok,true) then 'daily' else 'ok' end verdict, case when allowed then 0 else ceil(retry_after/60.0)::int end "minutes" from lim left join dl using(id)""",
+    "token_budget": """with recursive e as materialized (select event_type k, event_id id, epoch_us(ts)/1e6 t, least(trunc(value*20)::bigint,8000) need, row_number() over (partition by event_type order by epoch_us(ts), event_id) rn from events),
+      st as (select k, id, t, need, rn from e where rn=1),
+      bk(k, id, rn, need, booked, wait) as (select k, id, rn, need, [{'s': t, 'n': need}], 0.0::double from st union all
+       select k, id, rn, need, case when start-t<=120 then list_append(live, {'s': start, 'n': need}) else live end, case when start-t<=120 then start-t end from
+       (select *, list_min(list_filter(list_prepend(t, list_filter(list_transform(live, lambda b: b.s+60), lambda x: x>=t)), lambda c:
+         len(list_filter(list_prepend(c, list_filter(list_transform(live, lambda b: b.s), lambda x: x>c and x<c+60)), lambda q: coalesce(list_sum(list_transform(list_filter(live, lambda b: b.s<=q and q<b.s+60), lambda b: b.n)),0)+need>8000))=0)) start
+        from (select e.k, e.id, e.rn, e.need, e.t, list_filter(bk.booked, lambda b: b.s+60>e.t) live from bk join e on e.k=bk.k and e.rn=bk.rn+1)))
+      select k "key", id, need tokens, round(wait,3) wait from bk""",
+    "rank_stub": rf"""{P.POOL}, w as (select search_id, rec_id, list_distinct(regexp_extract_all(lower(concat_ws('. ',title,abstract)),'[\p{{L}}\p{{N}}_]+')) w from pool)
+      select search_id, rec_id, round(10*len(list_intersect(w,['graph','attention','retrieval']))/3.0,3)::double relevance, least(10,len(w)//20)::double recruiter, case when list_contains(w,'gpu') then true end needs_gpu from w""",
+    "summaries_stub": r"""select rec_id, array_to_string(string_split(regexp_replace(trim(coalesce(abstract,''),' '),'([.!?])[\t\n\x0b\f\r ]+','\1'||chr(1),'g'),chr(1))[1:2],' ') summary from papers""",
+    "embed_stub": r"""with w as (select rec_id, unnest(regexp_extract_all(lower(concat_ws('. ',title,abstract)),'[\p{L}\p{N}_]+')) w from papers), h as (select rec_id, md5(w) h from w),
+      c as (select rec_id, ('0x'||substr(h,1,8))::bigint%32 i, sum(case when substr(h,9,1)>='8' then 1 else -1 end)::double v from h group by 1,2), n as (select rec_id, sqrt(sum(v*v)) l, sum(v*(i+1)) s from c group by 1)
+      select rec_id, 32 dim, case when coalesce(l,0)>0 then 1.0 else 0.0 end::double length, round(case when coalesce(l,0)>0 then s/l else 0 end,3) lean from papers left join n using(rec_id)""",
     # abstracts are whole up to the most characters that one may take
     "prompt": f"""{P.POOL}, {P.LIB.strip()}, tt as (select paper_key, min_by(title,rec_id) title from pk group by 1), rt as (select rating>0 liked, coalesce(title,'') title, row_number() over (partition by rating>0 order by updated desc, paper_key desc) rn from lib join tt using(paper_key) where rating<>0),
       tl as (select coalesce(chr(10)||'Liked before:'||chr(10)||'- '||string_agg(title,chr(10)||'- ' order by rn desc) filter (liked),'')||coalesce(chr(10)||'Disliked before:'||chr(10)||'- '||string_agg(title,chr(10)||'- ' order by rn desc) filter (not liked),'') t from rt where rn<=15),
