@@ -147,6 +147,27 @@ QUERIES = {
     "headings": headings, "visitor_titles": visitor_titles, "client_ips": client_ips,
 }
 
+# Names of datasets and the like without look-ahead, on text whose letters are all ASCII and whose two-letter codes are masked.
+_NAME = r"\b[\w-]*[A-Z][\w-]*\d[\w-]*\b|\b[\w-]*\d[\w-]*[A-Z][\w-]*\b|\b[A-Z][a-z]*[A-Z][\w-]*\b"
+
+
+def _ascii(c: str) -> str:
+    return rf"regexp_replace({c},'[^\x00-\x7f\p{{Z}}\p{{P}}\p{{S}}\p{{C}}]','x','g')"
+
+
+def _masked(c: str) -> str:
+    once = lambda x: rf"regexp_replace({x},'(^|[^\w-])(?:[A-Z]\d|\d[A-Z])($|[^\w-])','\1xx\2','g')"
+    return once(once(_ascii(c)))
+
+
+def _trimmed(c: str) -> str:
+    return f"regexp_replace({c},'^{P.SPACES}|{P.SPACES}$','','g')"
+
+
+def _sentences(c: str) -> str:
+    return rf"string_split(regexp_replace({_trimmed(c)},'([.!?]){P.SPACES}','\1'||chr(1),'g'),chr(1))"
+
+
 _EV = r"\b(data ?sets?|databases?|benchmarks?|corpus|corpora|evaluat\w*|experiments?|outperform\w*|state[- ]of[- ]the[- ]art|test(s|ed|ing)?|train(s|ed|ing)?|accuracy|performance|results?)\b"
 ORACLE = {
     "ids_keys": f"with {P.KEYED.strip()} select rec_id, array_to_string(list_filter([k1,k2,k3], lambda x: x is not null),'|') ids, paper_key \"key\", regexp_replace(lower(coalesce(title,'')),'{P.NW}','','g') norm from pk",
@@ -162,6 +183,23 @@ ORACLE = {
     "text_hash": f"select rec_id, substr(sha1(t),1,16) hash, floor(length(t)/3.5)::int tokens from (select rec_id, {P.PAPER_TEXT} t from papers)",
     "evidence_words": rf"""with s as (select rec_id, string_split(regexp_replace(regexp_replace(coalesce(abstract,''),'^{P.SPACES}|{P.SPACES}$','','g'),'([.!?]){P.SPACES}','\1'||chr(1),'g'),chr(1)) l from papers), u as (select rec_id, unnest(l) sentence, generate_subscripts(l,1)-1 pos from s), t as (select rec_id, pos, regexp_replace(sentence,'[^\x00-\x7f\p{{Z}}\p{{P}}\p{{S}}\p{{C}}]','x','g') sentence from u)
       select rec_id, pos, len(regexp_extract_all(sentence,'(?i){_EV}'))::int n from t where len(regexp_extract_all(sentence,'(?i){_EV}'))>0""",
+    "evidence_scores": rf"""with u as (select rec_id, unnest(l) s, generate_subscripts(l,1)-1 pos from (select rec_id, {_sentences("coalesce(abstract,'')")} l from papers)),
+      v as (select rec_id, pos, len(regexp_extract_all({_ascii('s')},'{_EV}',0,'i')) n, len(regexp_extract_all({_masked('s')},'{_NAME}')) names from u)
+      select rec_id, pos, (3*n*(1+least(2,names)))::int evidence from v where n>0""",
+    "excerpts": rf"""with recursive a as (select rec_id, coalesce(abstract,'') t, 400 lim from papers),
+      u as (select rec_id, lim, unnest(l) s, generate_subscripts(l,1)-1 i from (select rec_id, lim, {_sentences('t')} l from a where length(t)>lim)),
+      v as (select *, len(regexp_extract_all({_ascii('s')},'{_EV}',0,'i')) n, len(regexp_extract_all({_masked('s')},'{_NAME}')) nn from u),
+      w as (select *, 3*n*(1+least(2,nn)) e, row_number() over (partition by rec_id order by 3*n*(1+least(2,nn)) desc, i) r from v),
+      q as materialized (select *, row_number() over (partition by rec_id order by turn, case when turn=0 then r else i end) k from (select rec_id, lim, i, s, r, 0 turn from w where e>0 and r<=3 union all select rec_id, lim, i, s, r, case when i=0 then 1 else 2 end from w)),
+      g(rec_id, k, rest, taken) as (select rec_id, 0::bigint, max(lim), []::struct(i bigint, s varchar)[] from q group by 1 union all
+       select rec_id, k, case when ok then rest-length(piece)-2 else rest end, case when ok then list_append(taken, {{'i': i, 's': piece}}) else taken end from (select *, piece<>'' and length(piece)+2<=rest and not list_contains(list_transform(taken, lambda x: x.i), i) ok from
+       (select *, case when length(s)<=room then s when turn<2 and room>0 then (case when st>0 then '…' else '' end)||{_trimmed('substr(s,st+1,room)')}||(case when st+room<length(s) then '…' else '' end) else '' end piece from
+       (select *, greatest(0,least(coalesce(list_min(list_filter(nm, lambda x: x>coalesce(ev,-1))),ev,0)-room//2,length(s)-room)) st from
+       (select *, list_transform(range(1,len(m)+1), lambda j: (list_sum(list_transform(gp[1:j], lambda x: length(x)))+coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))),0))::bigint) nm, case when em<>'' then length(string_split({_ascii('s')}, em)[1]) end ev from
+       (select q.rec_id, q.k, q.i, q.s, q.turn, g.rest, g.taken, case when turn=0 then lim//2 else rest-2 end room, regexp_extract({_ascii('q.s')},'{_EV}',0,'i') em, regexp_extract_all({_masked('q.s')},'{_NAME}') m, regexp_split_to_array({_masked('q.s')},'{_NAME}') gp
+        from g join q on q.rec_id=g.rec_id and q.k=g.k+1)))))),
+      f as (select rec_id, list_sort(arg_max(taken,k)) t from g group by 1)
+      select a.rec_id, case when f.rec_id is null then a.t when len(f.t)=0 then substr(a.t,1,lim) else substr(array_to_string(list_transform(range(1,len(f.t)+1), lambda j: (case when j=1 then '' when f.t[j-1].i=f.t[j].i-1 then ' ' else ' … ' end)||f.t[j].s),''),1,lim) end excerpt from a left join f using(rec_id)""",
     "clean_datasets": P.POOL.split("pool as (")[0].rstrip().rstrip(",") + " select score_id, array_to_string(ds,'|') \"names\", case when relevance is not null then least(10.0,greatest(0.0,relevance)) end relevance, case when recruiter is not null then least(10.0,greatest(0.0,recruiter)) end recruiter from sd",
     "inverted_index": r"select item_id, array_to_string(l,' ') text, len(list_distinct(l))::int words from (select item_id, list_filter(regexp_split_to_array(coalesce(text,''),'\s+'), lambda w: w<>'') l from eval_items)",
     "model_json": "select event_id, (json_extract(props,'$.k'))::bigint k from events",
