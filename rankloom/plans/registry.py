@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import evaluation, graphs, ranking, scalars
+from . import evaluation, graphs, ranking, scalars, stores
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (scalars, ranking, graphs, evaluation)
+MODULES = (scalars, ranking, graphs, evaluation, stores)
 
 
 def queries() -> dict[str, Query]:

@@ -195,7 +195,7 @@ ORACLE = {
        select rec_id, k, case when ok then rest-length(piece)-2 else rest end, case when ok then list_append(taken, {{'i': i, 's': piece}}) else taken end from (select *, piece<>'' and length(piece)+2<=rest and not list_contains(list_transform(taken, lambda x: x.i), i) ok from
        (select *, case when length(s)<=room then s when turn<2 and room>0 then (case when st>0 then '…' else '' end)||{_trimmed('substr(s,st+1,room)')}||(case when st+room<length(s) then '…' else '' end) else '' end piece from
        (select *, greatest(0,least(coalesce(list_min(list_filter(nm, lambda x: x>coalesce(ev,-1))),ev,0)-room//2,length(s)-room)) st from
-       (select *, list_transform(range(1,len(m)+1), lambda j: (list_sum(list_transform(gp[1:j], lambda x: length(x)))+coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))),0))::bigint) nm, case when em<>'' then length(string_split({_ascii('s')}, em)[1]) end ev from
+       (select *, list_transform(range(1,len(m)+1), lambda j: (list_sum(list_transform(gp[1:j], lambda x: length(x)))+coalesce(list_sum(list_transform(m[1:j-1], lambda x: length(x))),0))::bigint) nm, case when em<>'' then length(regexp_split_to_array({_ascii('s')}, '(?i){_EV}')[1]) end ev from
        (select q.rec_id, q.k, q.i, q.s, q.turn, g.rest, g.taken, case when turn=0 then lim//2 else rest-2 end room, regexp_extract({_ascii('q.s')},'{_EV}',0,'i') em, regexp_extract_all({_masked('q.s')},'{_NAME}') m, regexp_split_to_array({_masked('q.s')},'{_NAME}') gp
         from g join q on q.rec_id=g.rec_id and q.k=g.k+1)))))),
       f as (select rec_id, list_sort(arg_max(taken,k)) t from g group by 1)
