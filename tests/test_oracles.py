@@ -9,7 +9,7 @@ from rankloom.plans import registry
 from . import compare
 
 #: The smallest tables hold no search with enough judged candidates.
-NONE_HERE = {"oof_preferences"}
+NONE_HERE = {"oof_preferences", "oof_summary"}
 ORACLES = registry.oracle_sql()
 
 
