@@ -8,8 +8,10 @@ shard whose centroid is almost as near. Searches of a shard advance together, on
 candidates found are scored exactly (double precision, stored values) before the best are kept.
 
 Copies of a vector are one point of the index; its ``k + 1`` smallest ids stand for it, which is all that copies can
-contribute to anyone's list. A shard that grows beyond ``SHARD`` points is split by hash and its queries visit
-every part; a task holds one part and at most ``QUERIES`` expected queries.
+contribute to anyone's list. A shard that grows beyond ``SHARD`` points is divided around centroids of its own, fitted
+on a bounded sample of it, and searched as the shards are; so the number of shards grows with the vectors while a task
+holds the centroids of one level and shard only. What is still larger then (points all alike) is split by hash and its
+queries visit every part. A task holds one part and at most ``QUERIES`` expected queries.
 
 Defined results: NULL vectors and vectors of another length, with a NULL, NaN or infinite element, or all zero
 take no part; vectors of different models never meet; ties go to the smaller id; repeated rows of one id count once.
@@ -21,10 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 DIM = 384
 K, FLOOR = 8, 0.6
@@ -32,8 +35,10 @@ K, FLOOR = 8, 0.6
 TARGET, SHARD = 2500, 5000
 #: Queries that one task answers; more of them get the part's graph built again in another task.
 QUERIES = 30_000
-#: Rows of a model that its centroids are fitted on.
+#: Rows of a model, and of a shard that is divided, that centroids are fitted on.
 SAMPLE = 20_000
+#: Rows of a shard that one task divides.
+DIVIDED = 200_000
 #: Centroid similarity below the nearest at which a further shard is still searched, and the most of them.
 NEAR, PROBES = 0.10, 3
 DEGREE, BEAM, ALPHA = 24, 40, 1.2
@@ -186,6 +191,22 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
 
 
+def centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """k unit centroids of unit vectors, by eight rounds of k-means on the sphere."""
+    c = x[rng.choice(len(x), k, replace=False)]
+    for _ in range(8):
+        near = np.argmax(x @ c.T, axis=1)
+        total = np.zeros_like(c)
+        np.add.at(total, near, x)
+        norm = np.linalg.norm(total, axis=1, keepdims=True)
+        c = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), x[rng.choice(len(x), k)])
+    return c.astype(np.float32)
+
+
+def _sampled(share: Column) -> Column:
+    return F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1_000_000)) < 1_000_000 * F.least(F.lit(1.0), share)
+
+
 def fit_centroids(points: DataFrame, sizes: dict[str, int], target: int = TARGET, sample: int = SAMPLE) -> dict[str, np.ndarray]:
     """Unit centroids of each model that needs more than one shard, from at most ``sample`` of its rows."""
     fitted = {}
@@ -193,46 +214,39 @@ def fit_centroids(points: DataFrame, sizes: dict[str, int], target: int = TARGET
     for model, n in sorted(sizes.items()):
         if n <= SHARD:
             continue
-        rows = points.where((F.col("model") == model) & (F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1_000_000)) < int(1_000_000 * min(1.0, 0.9 * sample / n)))).select("point", "vec").limit(sample)
+        rows = points.where((F.col("model") == model) & _sampled(F.lit(0.9 * sample / n))).select("point", "vec").limit(sample)
         got = rows.toArrow().sort_by("point")  # at most ``sample`` rows, in an order of their own
         x = _unit(_matrix(got["vec"]))
-        k = min(-(-n // target), max(1, len(x) // 8))
-        c = x[rng.choice(len(x), k, replace=False)]
-        for _ in range(8):
-            near = np.argmax(x @ c.T, axis=1)
-            total = np.zeros_like(c)
-            np.add.at(total, near, x)
-            norm = np.linalg.norm(total, axis=1, keepdims=True)
-            c = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), x[rng.choice(len(x), k)])
-        fitted[model] = c.astype(np.float32)
+        fitted[model] = centroids(x, min(-(-n // target), max(1, len(x) // 8)), rng)
     return fitted
 
 
-def _assign(points: DataFrame, centroids: dict[str, np.ndarray]) -> DataFrame:
+def _nearest_shards(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, is the nearest) of the shards that each vector is searched in."""
+    s = x @ c.T
+    m = min(PROBES, c.shape[0])
+    top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < c.shape[0] else np.tile(np.arange(m), (len(x), 1))
+    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+    v = np.take_along_axis(s, top, 1)
+    r, j = np.nonzero(v >= v[:, :1] - NEAR)
+    return r, top[r, j].astype(np.int32), j == 0
+
+
+def _assign(points: DataFrame, fitted: dict[str, np.ndarray]) -> DataFrame:
     """(model, point, vec, shard, home): the shard of each point, and the further ones it is searched in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             models = np.array(b.column("model").to_pylist(), dtype=object)
             take, shard, home = [], [], []
-            x = _unit(_matrix(b.column("vec"))) if centroids and len(models) else None
+            x = _unit(_matrix(b.column("vec"))) if fitted and len(models) else None
             for model in set(models.tolist()):
                 at = np.flatnonzero(models == model)
-                c = centroids.get(model)
-                if c is None:
-                    take.append(at)
-                    shard.append(np.zeros(len(at), dtype=np.int32))
-                    home.append(np.ones(len(at), dtype=bool))
-                    continue
-                s = x[at] @ c.T
-                m = min(PROBES, c.shape[0])
-                top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < c.shape[0] else np.tile(np.arange(m), (len(at), 1))
-                top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
-                v = np.take_along_axis(s, top, 1)
-                r, j = np.nonzero(v >= v[:, :1] - NEAR)
+                c = fitted.get(model)
+                r, own, first = (np.arange(len(at)), np.zeros(len(at), dtype=np.int32), np.ones(len(at), dtype=bool)) if c is None else _nearest_shards(x[at], c)
                 take.append(at[r])
-                shard.append(top[r, j].astype(np.int32))
-                home.append(j == 0)
+                shard.append(own)
+                home.append(first)
             if not take:
                 continue
             idx = pa.array(np.concatenate(take))
@@ -244,6 +258,49 @@ def _assign(points: DataFrame, centroids: dict[str, np.ndarray]) -> DataFrame:
     return points.select("model", "point", "vec").mapInArrow(run, "model string, point long, vec array<float>, shard int, home boolean")
 
 
+def _divide(rows: DataFrame, large: DataFrame, target: int = TARGET, sample: int = SAMPLE) -> DataFrame:
+    """rows (model, point, vec, shard, home) of the shards of large (model, shard, points, rows) with sub, their part of the shard.
+
+    A shard's centroids come first in the stream of the rows of each task that divides it.
+    """
+    keys = ["model", "shard"]
+    picked = rows.where("home").join(F.broadcast(large.select(*keys, "points")), keys).where(_sampled(F.lit(0.9 * sample) / F.col("points")))
+
+    def fit(t: pa.Table) -> pa.Table:
+        t = t.sort_by("point").slice(0, sample)
+        x = _unit(_matrix(t["vec"]))
+        k = min(-(-t["points"][0].as_py() // target), max(1, len(x) // 8))
+        c = centroids(x, k, np.random.default_rng(SEED))
+        return pa.table({"model": [t["model"][0].as_py()] * k, "shard": pa.array([t["shard"][0].as_py()] * k, pa.int32()), "sub": pa.array(range(k), pa.int32()), "vec": pa.array(list(c), pa.list_(pa.float32()))})
+
+    own = materialize(picked.groupBy(*keys).applyInArrow(fit, "model string, shard int, sub int, vec array<float>"), "centroids")
+    turns = F.broadcast(large.select(*keys, F.ceil(F.col("rows") / DIVIDED).cast("int").alias("turns")))
+    heads = own.join(turns, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("point"), "vec", F.lit(True).alias("home"), "sub")
+    body = rows.join(turns, keys).select(*keys, F.pmod(F.xxhash64("point"), F.col("turns")).cast("int").alias("turn"), "point", "vec", "home", F.lit(None).cast("int").alias("sub"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, gathered, c = None, [], None
+        for b in batches:
+            key = list(zip(b.column("model").to_pylist(), b.column("shard").to_pylist(), b.column("turn").to_pylist(), pc.is_null(b.column("point")).to_pylist()))
+            cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if lo == hi:
+                    continue
+                part, x = b.slice(lo, hi - lo), _matrix(b.column("vec").slice(lo, hi - lo))
+                if key[lo][3]:
+                    gathered = [*gathered, x] if at == key[lo][:3] and c is None else [x]
+                    at, c = key[lo][:3], None
+                    continue
+                c = np.concatenate(gathered) if c is None else c
+                r, sub, first = _nearest_shards(_unit(x), c)
+                idx = pa.array(r)
+                home = np.array(part.column("home").to_pylist(), dtype=bool)[r] & first
+                yield pa.RecordBatch.from_arrays([*(part.column(n).take(idx) for n in ("model", "point", "vec", "shard")), pa.array(home), pa.array(sub, pa.int32())], names=["model", "point", "vec", "shard", "home", "sub"])
+
+    stream = heads.unionByName(body).repartition(*keys, "turn").sortWithinPartitions(*keys, "turn", F.asc_nulls_first("point"), "sub")
+    return stream.mapInArrow(run, "model string, point long, vec array<float>, shard int, home boolean, sub int")
+
+
 def _search_part(table: pa.Table) -> pa.Table:
     """(query, other, cosine): of every asking row of one part, its best points of that part. Cosines are exact."""
     home = np.array(table["home"].to_pylist(), dtype=bool)
@@ -284,19 +341,26 @@ def similar(vecs: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
     points = materialize(hashed.drop("h").join(first.select(F.col("point").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "point"), "points")
     sizes = {r["model"]: r["count"] for r in points.groupBy("model").count().where(F.col("count") > SHARD).collect()}  # models of many vectors
     assigned = _assign(points, fit_centroids(points, sizes))
-    placed = assigned.select("*", F.lit(0).alias("part"), F.lit(0).alias("chunk"), F.lit(True).alias("ask"))
+    placed = assigned.withColumn("sub", F.lit(0))
+    keys = ["model", "shard", "sub"]
     if sizes:
-        count = assigned.groupBy("model", "shard").agg(F.count_if("home").alias("points"), F.count("*").alias("rows"))
-        over = count.where((F.col("points") > SHARD) | (F.col("rows") > QUERIES)).collect()  # at most one row for SHARD points
-        if over:
-            plan = [(r["model"], r["shard"], max(1, -(-r["points"] // SHARD)), max(1, -(-r["rows"] // QUERIES))) for r in over]
-            plan = F.broadcast(vecs.sparkSession.createDataFrame(plan, "model string, shard int, parts int, chunks int"))
-            placed = assigned.join(plan, ["model", "shard"], "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+        count = F.count_if("home").alias("points"), F.count("*").alias("rows")
+        large = materialize(assigned.groupBy("model", "shard").agg(*count).where(F.col("points") > SHARD), "large")  # at most one row for SHARD points
+        if not large.isEmpty():
+            # a division's rows are counted and searched: written once
+            divided = materialize(_divide(assigned, large), "divided")
+            placed = placed.join(small(large.select("model", "shard")), ["model", "shard"], "left_anti").unionByName(divided)
+        over = materialize(placed.groupBy(*keys).agg(*count).where((F.col("points") > SHARD) | (F.col("rows") > QUERIES)), "over")
+        if not over.isEmpty():
+            plan = small(over.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("points") / SHARD)).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("rows") / QUERIES)).cast("int").alias("chunks")))
+            placed = placed.join(plan, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunks", F.coalesce("chunks", F.lit(1)))
             mine, turn = F.pmod(F.xxhash64("point"), F.col("parts")).cast("int"), F.pmod(F.xxhash64("point", F.lit(1)), F.col("chunks")).cast("int")
             placed = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("part") == mine))
             placed = placed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("ask", F.col("chunk") == turn)
             placed = placed.where(F.col("home") | F.col("ask")).drop("parts", "chunks")
-    hits = placed.groupBy("model", "shard", "part", "chunk").applyInArrow(_search_part, "query long, other long, cosine double")
+    if "part" not in placed.columns:
+        placed = placed.withColumns({"part": F.lit(0), "chunk": F.lit(0), "ask": F.lit(True)})
+    hits = placed.groupBy(*keys, "part", "chunk").applyInArrow(_search_part, "query long, other long, cosine double")
     best = Window.partitionBy("query").orderBy(F.desc("cosine"), "other")
     hits = hits.withColumn("cosine", F.round("cosine", 6)).where(F.col("cosine") >= floor).dropDuplicates(["query", "other"])
     hits = hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).drop("rank")

@@ -121,6 +121,19 @@ def test_neighbours_in_shards(spark, vectors, monkeypatch, target, shard, querie
     assert r >= 0.9 and p >= 0.9
 
 
+@pytest.mark.parametrize("divided", [100, 100_000])
+def test_neighbours_in_divided_shards(spark, vectors, monkeypatch, divided):
+    """More shards than the first sample has centroids for: the large ones are divided, by one task or several."""
+    monkeypatch.setattr(neighbours, "SHARD", 120)
+    monkeypatch.setattr(neighbours, "DIVIDED", divided)
+    monkeypatch.setattr(neighbours.fit_centroids, "__defaults__", (100, 40))
+    monkeypatch.setattr(neighbours._divide, "__defaults__", (60, 200))
+    seen = []
+    monkeypatch.setattr(neighbours, "_divide", lambda *a, divide=neighbours._divide: seen.append(1) or divide(*a))
+    r, p = recall(spark, vectors)
+    assert seen and r >= 0.9 and p >= 0.9
+
+
 def test_copies_are_neighbours_of_smallest_ids(spark):
     v = [1.0] * 384
     rows = [(i, "a", v) for i in range(40)]
