@@ -8,10 +8,10 @@ shard whose centroid is almost as near. Searches of a shard advance together, on
 candidates found are scored exactly (double precision, stored values) before the best are kept.
 
 Copies of a vector are one point of the index; its ``k + 1`` smallest ids stand for it, which is all that copies can
-contribute to anyone's list. A shard that grows beyond ``SHARD`` points is divided around centroids of its own, fitted
-on a bounded sample of it, and searched as the shards are; so the number of shards grows with the vectors while a task
-holds the centroids of one level and shard only. What is still larger then (points all alike) is split by hash and its
-queries visit every part. A task holds one part and at most ``QUERIES`` expected queries.
+contribute to anyone's list. A shard of more than ``PARTS`` times ``SHARD`` points is divided around centroids of its
+own, fitted on a bounded sample of it, and searched as the shards are; so the number of shards grows with the vectors
+while a task holds the centroids of one level and shard only. What is larger than ``SHARD`` then is split by hash and
+its queries visit every part. A task holds one part and at most ``QUERIES`` expected queries.
 
 Defined results: NULL vectors and vectors of another length, with a NULL, NaN or infinite element, or all zero
 take no part; vectors of different models never meet; ties go to the smaller id; repeated rows of one id count once.
@@ -37,6 +37,8 @@ TARGET, SHARD = 2500, 5000
 QUERIES = 30_000
 #: Rows of a model, and of a shard that is divided, that centroids are fitted on.
 SAMPLE = 20_000
+#: Parts of a shard up to which visiting all of them costs less than dividing it.
+PARTS = 4
 #: Rows of a shard that one task divides.
 DIVIDED = 200_000
 #: Centroid similarity below the nearest at which a further shard is still searched, and the most of them.
@@ -232,8 +234,9 @@ def _nearest_shards(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return r, top[r, j].astype(np.int32), j == 0
 
 
-def _assign(points: DataFrame, fitted: dict[str, np.ndarray]) -> DataFrame:
-    """(model, point, vec, shard, home): the shard of each point, and the further ones it is searched in."""
+def _assign(points: DataFrame, fitted: dict[str, np.ndarray], counted: bool = False) -> DataFrame:
+    """(model, point, vec, shard, home): the shard of each point, and the further ones it is searched in; counted: without
+    point and vec."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -250,12 +253,11 @@ def _assign(points: DataFrame, fitted: dict[str, np.ndarray]) -> DataFrame:
             if not take:
                 continue
             idx = pa.array(np.concatenate(take))
-            yield pa.RecordBatch.from_arrays(
-                [b.column("model").take(idx), b.column("point").take(idx), b.column("vec").take(idx), pa.array(np.concatenate(shard), pa.int32()), pa.array(np.concatenate(home))],
-                names=["model", "point", "vec", "shard", "home"],
-            )
+            arrays = [*(b.column(c).take(idx) for c in kept), pa.array(np.concatenate(shard), pa.int32()), pa.array(np.concatenate(home))]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, "shard", "home"])
 
-    return points.select("model", "point", "vec").mapInArrow(run, "model string, point long, vec array<float>, shard int, home boolean")
+    kept = ["model"] if counted else ["model", "point", "vec"]
+    return points.select("model", "point", "vec").mapInArrow(run, ", ".join(["model string", *([] if counted else ["point long", "vec array<float>"]), "shard int, home boolean"]))
 
 
 def _divide(rows: DataFrame, large: DataFrame, target: int = TARGET, sample: int = SAMPLE) -> DataFrame:
@@ -340,17 +342,21 @@ def similar(vecs: DataFrame, k: int = K, floor: float = FLOOR) -> DataFrame:
     first = ids.groupBy("model", "h").agg(F.min("vec_id").alias("point"))
     points = materialize(hashed.drop("h").join(first.select(F.col("point").alias("vec_id")), "vec_id", "left_semi").dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "point"), "points")
     sizes = {r["model"]: r["count"] for r in points.groupBy("model").count().where(F.col("count") > SHARD).collect()}  # models of many vectors
-    assigned = _assign(points, fit_centroids(points, sizes))
+    fitted = fit_centroids(points, sizes)
+    assigned = _assign(points, fitted)
     placed = assigned.withColumn("sub", F.lit(0))
     keys = ["model", "shard", "sub"]
     if sizes:
         count = F.count_if("home").alias("points"), F.count("*").alias("rows")
-        large = materialize(assigned.groupBy("model", "shard").agg(*count).where(F.col("points") > SHARD), "large")  # at most one row for SHARD points
+        counts = materialize(_assign(points, fitted, counted=True).groupBy("model", "shard").agg(*count), "counts")  # a row for TARGET points
+        large = counts.where(F.col("points") > PARTS * SHARD)
+        counts = counts.withColumn("sub", F.lit(0))
         if not large.isEmpty():
             # a division's rows are counted and searched: written once
             divided = materialize(_divide(assigned, large), "divided")
             placed = placed.join(small(large.select("model", "shard")), ["model", "shard"], "left_anti").unionByName(divided)
-        over = materialize(placed.groupBy(*keys).agg(*count).where((F.col("points") > SHARD) | (F.col("rows") > QUERIES)), "over")
+            counts = counts.where(F.col("points") <= PARTS * SHARD).unionByName(divided.groupBy(*keys).agg(*count))
+        over = materialize(counts.where((F.col("points") > SHARD) | (F.col("rows") > QUERIES)), "over")
         if not over.isEmpty():
             plan = small(over.select(*keys, F.greatest(F.lit(1), F.ceil(F.col("points") / SHARD)).cast("int").alias("parts"), F.greatest(F.lit(1), F.ceil(F.col("rows") / QUERIES)).cast("int").alias("chunks")))
             placed = placed.join(plan, keys, "left").withColumn("parts", F.coalesce("parts", F.lit(1))).withColumn("chunks", F.coalesce("chunks", F.lit(1)))

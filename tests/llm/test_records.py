@@ -126,6 +126,7 @@ def test_neighbours_in_divided_shards(spark, vectors, monkeypatch, divided):
     """More shards than the first sample has centroids for: the large ones are divided, by one task or several."""
     monkeypatch.setattr(neighbours, "SHARD", 120)
     monkeypatch.setattr(neighbours, "DIVIDED", divided)
+    monkeypatch.setattr(neighbours, "PARTS", 1)
     monkeypatch.setattr(neighbours.fit_centroids, "__defaults__", (100, 40))
     monkeypatch.setattr(neighbours._divide, "__defaults__", (60, 200))
     seen = []
