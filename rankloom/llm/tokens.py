@@ -16,12 +16,13 @@ import base64
 import os
 from collections.abc import Iterator
 from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import cores
+from .common import spread
 
 TOKENIZER_DIR = os.environ.get("RANKLOOM_TOKENIZERS", "/opt/tokenizers")
 #: Split pattern of the byte-level vocabularies (fixed value, published with them).
@@ -31,14 +32,13 @@ CACHE = 400_000
 
 
 class ForcedBoundaryBpe:
-    """Encoder of one vocabulary file of ranks (base64 token, id)."""
+    """Encoder of one vocabulary: lines of ranks (base64 token, id)."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, vocabulary: bytes) -> None:
         import regex
         import tiktoken
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
         inside = np.zeros(65536, dtype=bool)
         for token in self.ranks:
             if len(token) > 1:
@@ -93,22 +93,19 @@ class ForcedBoundaryBpe:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ForcedBoundaryBpe:
-    return ForcedBoundaryBpe(path)
+def encoder(vocabulary: bytes) -> ForcedBoundaryBpe:
+    return ForcedBoundaryBpe(vocabulary)
 
 
 def encode_column(df: DataFrame, id_col: str, text_col: str, tokenizer: str = "byte_bpe_50k", tokenizer_dir: str = TOKENIZER_DIR) -> DataFrame:
-    """(id_col, ids): one row per input row. The vocabulary file must lie at the same path on every worker."""
-    path = f"{tokenizer_dir}/{tokenizer}.tiktoken"
+    """(id_col, ids): one row per input row. The driver reads the vocabulary file (some 50,000 lines) and sends it."""
+    sent = df.sparkSession.sparkContext.broadcast(Path(f"{tokenizer_dir}/{tokenizer}.tiktoken").read_bytes())
     kind = df.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path)
+        enc = encoder(sent.value)
         for b in batches:
             ids = [enc.encode(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    rows = df.select(id_col, text_col)
-    if df.sparkSession.conf.get("spark.sql.files.maxPartitionBytes") and rows.rdd.getNumPartitions() < cores(df.sparkSession):
-        rows = rows.repartition(cores(df.sparkSession) * 2)
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
+    return spread(df.select(id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>")
