@@ -237,6 +237,24 @@ def word_rows(pages: DataFrame) -> DataFrame:
     return pages.select("page", "n", F.inline(F.arrays_zip("words", "counts")).alias("word", "c"))
 
 
+def pages_with(pages: DataFrame, words: DataFrame, most: int = 100_000) -> DataFrame:
+    """(page, word) of the given distinct words: looked up batch by batch if there are at most ``most``, else by a join."""
+    few = [r["word"] for r in words.limit(most + 1).collect()]
+    if len(few) > most:
+        return word_rows(pages).join(words, "word", "left_semi").select("page", "word")
+    sought = pa.array(sorted(few), pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("words")
+            flat = lists.flatten()
+            hit = pc.is_in(flat, sought)
+            owner = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))[hit.to_numpy(zero_copy_only=False)]
+            yield pa.RecordBatch.from_arrays([b.column("page").take(pa.array(owner)), flat.filter(hit)], names=["page", "word"])
+
+    return pages.select("page", "words").mapInArrow(run, "page bigint, word string")
+
+
 def language_heads(pages: DataFrame) -> dict[str, list[str]]:
     """The heads of every declared language of enough pages; a label has two letters, so there are few."""
     sizes = {r["lang"]: r["count"] for r in pages.where(F.col("lang") != "").groupBy("lang").count().where(F.col("count") >= LANGUAGE_PAGES).collect()}
@@ -294,7 +312,7 @@ def spoken(pages: DataFrame, heads: dict[str, list[str]]) -> tuple[DataFrame, di
         left = materialize(pages.join(lost, "page", "left_semi"), "lost")
         if heads:
             mine = word_rows(left).where(F.col("word") != LINK)
-            common = word_rows(pages).join(mine.select("word").distinct(), "word", "left_semi").join(known.where("language <> ''").select("page", "language"), "page")
+            common = pages_with(pages, mine.select("word").distinct()).join(known.where("language <> ''").select("page", "language"), "page")
             vocabulary = common.groupBy("language", "word").agg(F.count("*").alias("in")).where(F.col("in") >= LANGUAGE_PAGES)
             part = mine.join(vocabulary, "word").groupBy("page", "language").agg(F.sum("c").alias("c"))
             total = mine.groupBy("page").agg(F.sum("c").alias("of"))
