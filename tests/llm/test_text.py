@@ -327,3 +327,19 @@ def test_the_three_parts_of_a_curve_decide_together(spark):
     # without slope and residual the distance of page 2 is too small
     flat = judge([(*r[:6], -0.4, 0.2, r[8]) for r in prose + odd])
     assert 2 not in flat and 3 not in flat and flat[1]
+
+
+def test_phrases_rich_in_function_words_are_found_by_their_curve_only(spark, monkeypatch):
+    rng = random.Random(10)
+    small = "the of a to in for is and it we with that".split()
+
+    def prose(n):
+        return " ".join(w for _ in range(n) for w in ([rng.choice(small), rng.choice(WORDS) + str(rng.randrange(30))] if rng.random() < 0.8 else [rng.choice(WORDS) + "s"])) + "."
+
+    stuffed = "cheap flights to the city of Paris and a hotel in it. "
+    rows = [(100 + i, prose(rng.randrange(20, 60)), "en") for i in range(300)] + [(i, stuffed * (8 + i), "en") for i in range(4)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert sorted(r["doc_id"] for r in spam.found(df).collect()) == [0, 1, 2, 3]
+    whole = spam.judged
+    monkeypatch.setattr(spam, "judged", lambda f: whole(f.withColumns({"slope": F.lit(0.0), "residual": F.lit(0.0)})))
+    assert spam.found(df).count() == 0
