@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, small
+from ..session import BROADCAST_ROWS, materialize
 
 K, FLOOR, RESTART, ITERATIONS = 8, 0.6, 0.4, 30
 BLOCK = 4096
@@ -73,13 +73,19 @@ def degree(adj: DataFrame) -> DataFrame:
     return adj.groupBy("src").agg(F.sum("sim").alias("degree"), F.count("*").alias("links"))
 
 
-def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = RESTART, iterations: int = ITERATIONS, every: int = 10) -> DataFrame:
-    """(seed_id, node, score) of walks from seeds (seed_id, node, weight); walks that reach a dead end are lost."""
+def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = RESTART, iterations: int = ITERATIONS, every: int = 10, local: int = BROADCAST_ROWS) -> DataFrame:
+    """(seed_id, node, score) of walks from seeds (seed_id, node, weight); walks that reach a dead end are lost.
+
+    A graph of at most ``local`` edges, counted first, is sent to the tasks, each of which walks from whole seeds; the
+    walks of a larger one are joins, written to the shared folder every so many steps.
+    """
     walk = adj.join(degree(adj).select("src", "degree"), "src").select("src", "dst", (F.col("sim") / F.col("degree")).alias("p"))
-    walk = small(materialize(walk, "walk"))
+    walk = materialize(walk, "walk")
     total = Window.partitionBy("seed_id")
     start = seeds.groupBy("seed_id", "node").agg(F.sum("weight").alias("w")).withColumn("s", F.col("w") / F.sum("w").over(total)).select("seed_id", "node", "s")
     start = materialize(start, "seed")
+    if walk.count() <= local:
+        return _walked(walk, start, restart, iterations)
     ranks = start.withColumnRenamed("s", "r")
     for i in range(iterations):
         step = ranks.join(walk, F.col("node") == F.col("src")).select("seed_id", F.col("dst").alias("node"), ((1 - restart) * F.col("r") * F.col("p")).alias("r"))
@@ -89,6 +95,33 @@ def pagerank(adj: DataFrame, seeds: DataFrame, restart: float = RESTART, iterati
     return ranks.withColumnRenamed("r", "score")
 
 
+def _walked(walk: DataFrame, start: DataFrame, restart: float, iterations: int) -> DataFrame:
+    """The walks over edges that every task holds; a seed's own nodes may be others than those of the edges."""
+    edges = walk.toArrow().sort_by([("src", "ascending"), ("dst", "ascending")])
+    src, dst, p = (edges[c].to_numpy() for c in ("src", "dst", "p"))
+    names = np.unique(np.concatenate([src, dst]))
+    sent = start.sparkSession.sparkContext.broadcast((names, np.searchsorted(names, src), np.searchsorted(names, dst), p))
+    kinds = dict(start.dtypes)
+
+    def run(t: pa.Table) -> pa.Table:
+        known, a, b, share = sent.value
+        own, s = t["node"].to_numpy(), t["s"].to_numpy()
+        lone = own[~np.isin(own, known)]
+        nodes = np.concatenate([known, lone])
+        order = np.argsort(nodes, kind="stable")
+        at = order[np.searchsorted(nodes[order], own)]
+        seed = np.zeros(len(nodes))
+        seed[at] = s
+        r = seed.copy()
+        for _ in range(iterations):
+            r = (1 - restart) * np.bincount(b, weights=r[a] * share, minlength=len(nodes)) + restart * seed
+        here = r > 0
+        here[at] = True
+        return pa.table({"seed_id": pa.array([t["seed_id"][0].as_py()] * int(here.sum()), t.schema.field("seed_id").type), "node": pa.array(nodes[here], t.schema.field("node").type), "score": r[here]})
+
+    return start.groupBy("seed_id").applyInArrow(run, f"seed_id {kinds['seed_id']}, node {kinds['node']}, score double")
+
+
 def similar(adj: DataFrame, sims: DataFrame, n_direct: int = 5, n_graph: int = 5, k: int = K, floor: float = FLOOR) -> DataFrame:
     """(seed_id, node, similarity, score, direct, via) from sims (seed_id, node, sim) of every vertex at or above the floor.
 

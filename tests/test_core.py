@@ -300,7 +300,10 @@ def test_graph_and_walk(spark, clusters):
         r = 0.4 * seed + 0.6 * walk.T @ r
     got = {q["node"]: q["score"] for q in graph.pagerank(adj, spark.createDataFrame([(0, 0, 1.0)], "seed_id long, node long, weight double")).collect()}
     assert {k: round(v, 9) for k, v in got.items()} == {i: round(v, 9) for i, v in enumerate(r) if v > 0}
-    sims = graph.nearest(df.where("id = 0"), df, k=100, floor=0.6).select(F.col("src").alias("seed_id"), F.col("dst").alias("node"), "sim")
+    seeds = spark.createDataFrame([(7, 0, 1.0), (7, 0, 0.5), (7, 4, 0.5), (8, 99, 1.0), (9, 99, 2.0), (9, 8, 1.0), (9, 9, 0.0)], "seed_id long, node long, weight double")
+    ways = [{(q["seed_id"], q["node"]): round(q["score"], 9) for q in graph.pagerank(adj, seeds, iterations=6, every=3, local=n).collect()} for n in (0, 1_000)]
+    assert ways[0] == ways[1] and ways[0][8, 99] == 0.4 and len(ways[0]) > 12
+    sims = graph.nearest(df.where("id = 0"), df, k=None, floor=0.6).select(F.col("src").alias("seed_id"), F.col("dst").alias("node"), "sim")
     out = graph.similar(adj, sims, n_direct=3).collect()
     assert sum(q["direct"] for q in out) == 3 and all((q["via"] is None) == q["direct"] for q in out)
 
