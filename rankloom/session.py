@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -46,12 +47,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def drop_tables(spark: SparkSession) -> None:
-    """Remove what materialize wrote for this application; frames that read it are void after that."""
-    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
-        return
-    for own in _shared:
-        path = spark._jvm.org.apache.hadoop.fs.Path(own)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    """Remove what materialize wrote for this application; frames that read it are void after that.
+
+    Nothing happens where the session has ended, as at the end of a process that stopped it first.
+    """
+    with contextlib.suppress(Exception):
+        for own in _shared:
+            path = spark._jvm.org.apache.hadoop.fs.Path(own)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
     _shared.clear()
 
 

@@ -691,3 +691,31 @@ def test_folds_hold_both_classes(spark):
     assert prefmodel.fold_count(df) == 4 and prefmodel.fold_count(df.where("label = 0")) == 2 and prefmodel.fold_count(df.unionByName(df)) == 5
     got = prefmodel.fold_column(df, 4).groupBy("fold", "label").count().collect()
     assert {(r["fold"], r["label"]): r["count"] for r in got} == {(f, lab): (1 if lab else 9) for f in range(4) for lab in (0, 1)}
+
+
+def test_the_shared_folder_must_be_named_on_clusters(monkeypatch, tmp_path):
+    from types import SimpleNamespace
+
+    from rankloom import session
+
+    def at(master, folder=None):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder), sparkContext=SimpleNamespace(master=master, applicationId="app-1"))
+
+    monkeypatch.setattr(session, "_shared", [])
+    monkeypatch.setattr(session.atexit, "register", lambda *a, **k: None)
+    assert session.shared_dir(at("yarn", "hdfs:///shared/")) == "hdfs:///shared/rankloom-app-1"
+    assert session.shared_dir(at("local[8]")).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            session.shared_dir(at(master))
+
+
+def test_own_tables_are_dropped(spark, monkeypatch, tmp_path):
+    from rankloom import session
+
+    own = f"file://{tmp_path}/own"
+    monkeypatch.setattr(session, "_shared", [own])
+    monkeypatch.setattr(session, "shared_dir", lambda s: own)
+    assert session.materialize(spark.range(5), "some").count() == 5 and (tmp_path / "own").exists()
+    session.drop_tables(spark)
+    assert not (tmp_path / "own").exists()
