@@ -1,17 +1,21 @@
 """Problem 4: the most similar vectors of every vector, as edges of a similarity graph.
 
-Vectors are grouped into shards around centroids (fitted on a bounded sample), every usable vector is indexed in
-the shard it is nearest to, and each shard holds a robust-pruned directed graph: greedy beam searches over the
-graph built so far propose neighbours, relaxed distance pruning (``ALPHA``) keeps diverse edges, reverse edges are
-added and pruned again. Each vector is then a query: its beam searches run in its own shard and in every further
-shard whose centroid is almost as near. Searches of a shard advance together, one array operation per step. The
-candidates found are scored exactly (double precision, stored values) before the best are kept.
+Vectors are grouped into shards, every usable vector is indexed in one of them, and each shard holds a robust-pruned
+directed graph: greedy beam searches over the graph built so far propose neighbours, relaxed distance pruning
+(``ALPHA``) keeps diverse edges, reverse edges are added and pruned again. Each vector is then a query: its beam
+searches run in its own shard and in every further shard that is almost as near. Searches of a shard advance together,
+one array operation per step. The candidates found are scored exactly (double precision, stored values) before the best
+are kept.
+
+Shards come from at most ``FIRST`` centroids. More of them would scatter small groups of similar vectors, as centroids
+of whole shards can't tell which of many such a group belongs to. A shard that is still too large is divided into unions
+of cells, clusters of a few groups each: a vector belongs to the part of its nearest cell.
 
 Copies of a vector are one point of the index; its ``k + 1`` smallest ids stand for it, which is all that copies can
-contribute to anyone's list. A shard of more than ``PARTS`` times ``SHARD`` points is divided around centroids of its
-own, fitted on a bounded sample of it, and searched as the shards are; so the number of shards grows with the vectors
-while a task holds the centroids of one level and shard only. What is larger than ``SHARD`` then is split by hash and
-its queries visit every part. A task holds one part and at most ``QUERIES`` expected queries.
+contribute to anyone's list. A shard of more than ``PARTS`` times ``SHARD`` points is divided by cells of its own, fitted
+on a bounded sample of it, and searched as the shards are; so the number of shards grows with the vectors while a task
+holds the cells of one level and shard only. What is larger than ``SHARD`` then is split by hash and its queries visit
+every part. A task holds one part and at most ``QUERIES`` expected queries.
 
 Defined results: NULL vectors and vectors of another length, with a NULL, NaN or infinite element, or all zero
 take no part; vectors of different models never meet; ties go to the smaller id; repeated rows of one id count once.
@@ -35,14 +39,18 @@ K, FLOOR = 8, 0.6
 TARGET, SHARD = 2500, 5000
 #: Queries that one task answers; more of them get the part's graph built again in another task.
 QUERIES = 30_000
-#: Rows of a model, and of a shard that is divided, that centroids are fitted on.
-SAMPLE = 20_000
+#: Rows that a model's centroids, and the cells of a divided shard, are fitted on at most; for cells half of the rows will do, but LEAST of them.
+SAMPLE, DIVIDED_SAMPLE, LEAST = 20_000, 60_000, 5_000
+#: Sampled rows of a cell, and the points that it stands for at least.
+CELL, CELL_POINTS = 10, 24
+#: Most shards that a model is first divided into.
+FIRST = 16
 #: Parts of a shard up to which visiting all of them costs less than dividing it.
 PARTS = 4
 #: Rows of a shard that one task divides.
 DIVIDED = 200_000
-#: Centroid similarity below the nearest at which a further shard is still searched, and the most of them.
-NEAR, PROBES = 0.10, 3
+#: Similarity to a cell below the nearest at which a further shard is still searched, the most of them, and the cells looked at.
+NEAR, PROBES, LOOKED = 0.10, 3, 8
 DEGREE, BEAM, ALPHA = 24, 40, 1.2
 SEED = 7
 
@@ -187,24 +195,68 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
-    d = x.astype(np.float64)
-    scale = np.abs(d).max(axis=1, keepdims=True)
-    d /= np.where(scale > 0, scale, 1)
-    return (d / np.linalg.norm(d, axis=1, keepdims=True)).astype(np.float32)
+    out = np.empty(x.shape, dtype=np.float32)
+    for a in range(0, len(x), 4096):
+        d = x[a : a + 4096].astype(np.float64)
+        scale = np.abs(d).max(axis=1, keepdims=True)
+        d /= np.where(scale > 0, scale, 1)
+        out[a : a + 4096] = d / np.linalg.norm(d, axis=1, keepdims=True)
+    return out
+
+
+def _home(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.argmax(x[a : a + 4096] @ c.T, axis=1) for a in range(0, len(x), 4096)])
 
 
-def centroids(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
-    """k unit centroids of unit vectors, by eight rounds of k-means on the sphere."""
+def centroids(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """k unit centroids of unit vectors, by rounds of k-means on the sphere."""
     c = x[rng.choice(len(x), k, replace=False)]
-    for _ in range(8):
-        near = np.argmax(x @ c.T, axis=1)
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
+    for _ in range(rounds):
+        near = _home(x, c)
+        order = np.argsort(near, kind="stable")
+        used, start = np.unique(near[order], return_index=True)
+        total = np.add.reduceat(x[order], start, axis=0)
         norm = np.linalg.norm(total, axis=1, keepdims=True)
-        c = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), x[rng.choice(len(x), k)])
+        c = x[rng.choice(len(x), k)]  # of those that nothing is near to
+        c[used] = np.where(norm > 1e-6, total / np.maximum(norm, 1e-6), c[used])
     return c.astype(np.float32)
 
 
+def _packed(c: np.ndarray, weight: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each cell: parts of about equal weight, by halving along the direction in which the cells differ most."""
+    out, made = np.zeros(len(c), dtype=np.int32), 0
+    todo = [(np.arange(len(c)), parts)]
+    while todo:
+        at, n = todo.pop()
+        if n <= 1 or len(at) < 2:
+            out[at] = made
+            made += 1
+            continue
+        x, w = c[at].astype(np.float64), weight[at]
+        y = x - np.average(x, axis=0, weights=w)
+        v = y[np.argmax(np.einsum("ij,ij->i", y, y))]
+        for _ in range(6):
+            v = y.T @ (w * (y @ v))
+            v /= max(np.linalg.norm(v), 1e-30)
+        order = np.argsort(y @ v, kind="stable")
+        total = np.cumsum(w[order])
+        cut = int(np.clip(np.searchsorted(total, total[-1] * (n // 2) / n) + 1, 1, len(at) - 1))
+        todo += [(at[order[:cut]], n // 2), (at[order[cut:]], n - n // 2)]
+    return out
+
+
+def cells(x: np.ndarray, points: int, target: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """(unit centroid, shard) of every cell of the sampled unit vectors x, which stand for ``points``; ``target`` of these make a shard."""
+    parts = -(-points // target)
+    k = max(1, len(x) // 8) if parts > len(x) // CELL else max(parts, min(len(x) // CELL, points // CELL_POINTS))
+    c = centroids(x, k, rng, 4)
+    return c, _packed(c, np.bincount(_home(x, c), minlength=len(c)) + 0.1, parts)
+
+
+def _rows_to_fit(n: Column, sample: int) -> Column:
+    return F.least(F.lit(0.9 * sample), F.greatest(F.lit(float(LEAST)), n / 2))
+
+
 def _sampled(share: Column) -> Column:
     return F.pmod(F.xxhash64("point", F.lit(SEED)), F.lit(1_000_000)) < 1_000_000 * F.least(F.lit(1.0), share)
 
@@ -219,19 +271,26 @@ def fit_centroids(points: DataFrame, sizes: dict[str, int], target: int = TARGET
         rows = points.where((F.col("model") == model) & _sampled(F.lit(0.9 * sample / n))).select("point", "vec").limit(sample)
         got = rows.toArrow().sort_by("point")  # at most ``sample`` rows, in an order of their own
         x = _unit(_matrix(got["vec"]))
-        fitted[model] = centroids(x, min(-(-n // target), max(1, len(x) // 8)), rng)
+        fitted[model] = centroids(x, min(FIRST, -(-n // target), max(1, len(x) // 8)), rng)
     return fitted
 
 
-def _nearest_shards(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, is the nearest) of the shards that each vector is searched in."""
-    s = x @ c.T
-    m = min(PROBES, c.shape[0])
-    top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < c.shape[0] else np.tile(np.arange(m), (len(x), 1))
-    top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
-    v = np.take_along_axis(s, top, 1)
-    r, j = np.nonzero(v >= v[:, :1] - NEAR)
-    return r, top[r, j].astype(np.int32), j == 0
+def _nearest_shards(x: np.ndarray, c: np.ndarray, shard: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, is the nearest) of the shards that each vector is searched in; c: the cells and shard, that of each."""
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    m = min(LOOKED, len(c))
+    for a in range(0, len(x), 4096):
+        s = x[a : a + 4096] @ c.T
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m]
+        top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, 1), axis=1), 1)
+        v, own = np.take_along_axis(s, top, 1), shard[top]
+        new = v >= v[:, :1] - NEAR
+        for j in range(1, m):  # each shard once, by its nearest cell
+            new[:, j] &= (own[:, :j] != own[:, j : j + 1]).all(axis=1)
+        new &= np.cumsum(new, axis=1) <= PROBES
+        r, j = np.nonzero(new)
+        out.append((r + a, own[r, j].astype(np.int32), j == 0))
+    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int32), np.empty(0, dtype=bool))
 
 
 def _assign(points: DataFrame, fitted: dict[str, np.ndarray], counted: bool = False) -> DataFrame:
@@ -246,7 +305,7 @@ def _assign(points: DataFrame, fitted: dict[str, np.ndarray], counted: bool = Fa
             for model in set(models.tolist()):
                 at = np.flatnonzero(models == model)
                 c = fitted.get(model)
-                r, own, first = (np.arange(len(at)), np.zeros(len(at), dtype=np.int32), np.ones(len(at), dtype=bool)) if c is None else _nearest_shards(x[at], c)
+                r, own, first = (np.arange(len(at)), np.zeros(len(at), dtype=np.int32), np.ones(len(at), dtype=bool)) if c is None else _nearest_shards(x[at], c, np.arange(len(c)))
                 take.append(at[r])
                 shard.append(own)
                 home.append(first)
@@ -260,28 +319,27 @@ def _assign(points: DataFrame, fitted: dict[str, np.ndarray], counted: bool = Fa
     return points.select("model", "point", "vec").mapInArrow(run, ", ".join(["model string", *([] if counted else ["point long", "vec array<float>"]), "shard int, home boolean"]))
 
 
-def _divide(rows: DataFrame, large: DataFrame, target: int = TARGET, sample: int = SAMPLE) -> DataFrame:
+def _divide(rows: DataFrame, large: DataFrame, target: int = TARGET, sample: int = DIVIDED_SAMPLE) -> DataFrame:
     """rows (model, point, vec, shard, home) of the shards of large (model, shard, points, rows) with sub, their part of the shard.
 
-    A shard's centroids come first in the stream of the rows of each task that divides it.
+    A shard's cells, each with the part that it belongs to, come first in the stream of the rows of each task that divides it.
     """
     keys = ["model", "shard"]
-    picked = rows.where("home").join(F.broadcast(large.select(*keys, "points")), keys).where(_sampled(F.lit(0.9 * sample) / F.col("points")))
+    picked = rows.where("home").join(F.broadcast(large.select(*keys, "points")), keys).where(_sampled(_rows_to_fit(F.col("points"), sample) / F.col("points")))
 
     def fit(t: pa.Table) -> pa.Table:
         t = t.sort_by("point").slice(0, sample)
         x = _unit(_matrix(t["vec"]))
-        k = min(-(-t["points"][0].as_py() // target), max(1, len(x) // 8))
-        c = centroids(x, k, np.random.default_rng(SEED))
-        return pa.table({"model": [t["model"][0].as_py()] * k, "shard": pa.array([t["shard"][0].as_py()] * k, pa.int32()), "sub": pa.array(range(k), pa.int32()), "vec": pa.array(list(c), pa.list_(pa.float32()))})
+        c, sub = cells(x, t["points"][0].as_py(), target, np.random.default_rng(SEED))
+        return pa.table({"model": [t["model"][0].as_py()] * len(c), "shard": pa.array([t["shard"][0].as_py()] * len(c), pa.int32()), "sub": pa.array(sub, pa.int32()), "vec": pa.array(list(c), pa.list_(pa.float32()))})
 
-    own = materialize(picked.groupBy(*keys).applyInArrow(fit, "model string, shard int, sub int, vec array<float>"), "centroids")
+    own = materialize(picked.groupBy(*keys).applyInArrow(fit, "model string, shard int, sub int, vec array<float>"), "cells")
     turns = F.broadcast(large.select(*keys, F.ceil(F.col("rows") / DIVIDED).cast("int").alias("turns")))
     heads = own.join(turns, keys).select(*keys, F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), F.lit(None).cast("long").alias("point"), "vec", F.lit(True).alias("home"), "sub")
     body = rows.join(turns, keys).select(*keys, F.pmod(F.xxhash64("point"), F.col("turns")).cast("int").alias("turn"), "point", "vec", "home", F.lit(None).cast("int").alias("sub"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, gathered, c = None, [], None
+        at, gathered, told, c = None, [], [], None
         for b in batches:
             key = list(zip(b.column("model").to_pylist(), b.column("shard").to_pylist(), b.column("turn").to_pylist(), pc.is_null(b.column("point")).to_pylist()))
             cuts = [0, *(i for i in range(1, len(key)) if key[i] != key[i - 1]), len(key)]
@@ -290,11 +348,14 @@ def _divide(rows: DataFrame, large: DataFrame, target: int = TARGET, sample: int
                     continue
                 part, x = b.slice(lo, hi - lo), _matrix(b.column("vec").slice(lo, hi - lo))
                 if key[lo][3]:
-                    gathered = [*gathered, x] if at == key[lo][:3] and c is None else [x]
+                    if at != key[lo][:3] or c is not None:
+                        gathered, told = [], []
+                    gathered.append(x)
+                    told.append(part.column("sub").to_numpy())
                     at, c = key[lo][:3], None
                     continue
-                c = np.concatenate(gathered) if c is None else c
-                r, sub, first = _nearest_shards(_unit(x), c)
+                c = (np.concatenate(gathered), np.concatenate(told)) if c is None else c
+                r, sub, first = _nearest_shards(_unit(x), *c)
                 idx = pa.array(r)
                 home = np.array(part.column("home").to_pylist(), dtype=bool)[r] & first
                 yield pa.RecordBatch.from_arrays([*(part.column(n).take(idx) for n in ("model", "point", "vec", "shard")), pa.array(home), pa.array(sub, pa.int32())], names=["model", "point", "vec", "shard", "home", "sub"])

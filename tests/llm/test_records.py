@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from pyspark.sql import functions as F
@@ -135,6 +137,25 @@ def test_neighbours_in_divided_shards(spark, vectors, monkeypatch, divided):
     assert seen and r >= 0.9 and p >= 0.9
 
 
+def test_small_groups_stay_together_in_many_shards(spark, monkeypatch, tmp_path):
+    """Small groups of similar vectors amid many less alike are searched together, however many shards there are."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    topic, n = unit(rng.normal(size=384)), 16_000
+    x = np.concatenate([unit(0.5 * topic + 0.62 * unit(rng.normal(size=384)) + 0.6 * unit(rng.normal(size=(16, 384)))) for _ in range(n // 16)]).astype(np.float32)
+    pq.write_table(pa.table({"point": range(n), "model": ["a"] * n, "vec": list(x)}), tmp_path / "points.parquet")
+    points = spark.read.parquet(str(tmp_path / "points.parquet"))
+    monkeypatch.setattr(neighbours, "FIRST", 1, raising=False)
+    rows = neighbours._assign(points, neighbours.fit_centroids(points, {"a": n}, 800, 8_000))
+    if rows.select("shard").distinct().count() == 1:
+        rows = neighbours._divide(rows, spark.createDataFrame([("a", 0, n, n)], "model string, shard int, points long, rows long"), 800, 8_000).drop("shard").withColumnRenamed("sub", "shard")
+    got = rows.select("point", "shard", "home").collect()
+    home = {r["point"]: r["shard"] for r in got if r["home"]}
+    visits = {(r["point"], r["shard"]) for r in got}
+    met = [(i, home[j]) in visits for i in range(n) for j in range(i // 16 * 16, i // 16 * 16 + 16) if j != i]
+    assert len(set(home.values())) >= 20 and np.mean(met) >= 0.93
+
+
 def test_copies_are_neighbours_of_smallest_ids(spark):
     v = [1.0] * 384
     rows = [(i, "a", v) for i in range(40)]
