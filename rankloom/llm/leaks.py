@@ -1,13 +1,13 @@
 """Problem 7: passages of evaluation items inside a corpus.
 
-Winnowing: of each window of ``WINDOW`` consecutive word k-grams the smallest hash is kept, on both sides, so that
-any shared run of ``K + WINDOW - 1`` words leaves a common fingerprint. The fingerprints of the items' own wording
-(k-grams that only one item has, outside runs of ``SHARED`` words that several items have) are joined with those of
-every document; each hit is extended to both sides along its diagonal over single replaced words, neighbouring runs
-are chained into places, and the own words held in the best two places, in the item's order, are counted.
+All word k-grams of the items that hold a word of their own (one outside the runs of ``SHARED`` words that several items
+have) are joined with all k-grams of every document, so any run of ``K`` equal words with an own one is a hit, even if
+other items have these K words too. Winnowed k-grams would need longer runs: a quoted half with a replaced word in its
+middle has none. Each hit is extended to both sides along its diagonal over single replaced words, neighbouring runs are
+chained into places, and the own words held in the best two places, in the item's order, are counted.
 
 What is shared is found by counting over all items. Items of up to ``BLOCK`` words together travel to the workers,
-as arrays of 8 bytes a word and 16 a fingerprint; beyond that the fingerprints of documents and items are joined by
+as arrays of 8 bytes a word and 32 a k-gram; beyond that the k-grams of documents and items are joined by
 a shuffle, salted so that no passage is one task's, with equal rows. Documents are never gathered, cut or compared
 with each other.
 
@@ -97,7 +97,8 @@ def gram_hashes(ids: np.ndarray) -> np.ndarray:
 
 
 def winnow(h: np.ndarray) -> np.ndarray:
-    """Positions of the smallest hash of each window (the rightmost of equal ones)."""
+    """Positions of the smallest hash of each window (the rightmost of equal ones): fewer prints, for runs of K + WINDOW - 1
+    words only. Leaks are found without it, by all k-grams."""
     n = len(h) - WINDOW + 1
     if n <= 0:
         return np.arange(len(h))[-1:] if not len(h) else np.array([len(h) - 1 - int(np.argmin(h[::-1]))])
@@ -120,8 +121,8 @@ def hashed_items(items: DataFrame) -> DataFrame:
 
 
 def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(item_id, copy, words, shared) and (h, item_id, copy, q): all items with the starts of their shared runs, and the
-    fingerprints of their own wording. Both are counted over all items."""
+    """(item_id, copy, words, shared) and (h, item_id, copy, q): all items with the starts of their shared runs, counted
+    over all items, and every k-gram that holds an own word, also if several items have it."""
     texts = materialize(hashed_items(items), "items")
     runs = F.transform(F.sequence(F.lit(1), F.size("words") - (SHARED - 1)), lambda i: F.xxhash64(F.slice("words", i, SHARED)))
     each = texts.where(F.size("words") >= SHARED).select("item_id", "copy", F.posexplode(runs).alias("p", "run"))
@@ -136,16 +137,14 @@ def prepared(items: DataFrame) -> tuple[DataFrame, DataFrame]:
             for item, copy, w, at in zip(*(b.column(k).to_pylist() for k in range(4))):
                 a = np.array(w, dtype=np.int64).view(np.uint64)
                 own, h = own_words(len(a), at), gram_hashes(a)
-                p = winnow(h)
-                p = p[[bool(own[x : x + K].all()) for x in p.tolist()]] if len(p) else p
+                p = np.flatnonzero(np.convolve(own, np.ones(K, dtype=int), "valid")) if len(h) else np.empty(0, dtype=np.int64)
                 for k, v in enumerate((h[p].view(np.int64), np.full(len(p), item), np.full(len(p), copy), p.astype(np.int64))):
                     out[k].append(v)
             arrays = [pa.array(np.concatenate(c) if c else np.empty(0, dtype=np.int64), pa.int64()) for c in out]
             yield pa.RecordBatch.from_arrays(arrays, names=["h", "item_id", "copy", "q"])
 
     marks = ready.mapInArrow(run, "h bigint, item_id bigint, copy bigint, q bigint")
-    single = marks.groupBy("h").agg(F.min("item_id").alias("a"), F.max("item_id").alias("b")).where("a = b").select("h")  # a k-gram of several items is no one's own
-    return ready, materialize(marks.join(single, "h", "left_semi"), "marks")
+    return ready, materialize(marks, "marks")
 
 
 def own_words(n: int, shared: list[int]) -> np.ndarray:
@@ -217,7 +216,7 @@ def _sent(docs: DataFrame, ready: DataFrame, marks: DataFrame, kind: str) -> Dat
     h, item, copy, q = h.view(np.uint64)[order], item[order], copy[order], q[order]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = Hashes()
+        hashes, plain = Hashes(), {}
         for b in batches:
             out_d, out_i = [], []
             for d, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -225,16 +224,15 @@ def _sent(docs: DataFrame, ready: DataFrame, marks: DataFrame, kind: str) -> Dat
                 g = gram_hashes(np.array(ids, dtype=np.uint64))
                 if not len(g) or not len(h):
                     continue
-                at = winnow(g)
-                f = g[at]
-                k = np.searchsorted(h, f)
-                hit = h[np.minimum(k, len(h) - 1)] == f
+                k = np.searchsorted(h, g)
+                at = np.flatnonzero(h[np.minimum(k, len(h) - 1)] == g)
                 seeds: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-                for p, a in zip(at[hit].tolist(), k[hit].tolist()):
+                for p, a in zip(at.tolist(), k[at].tolist()):
                     while a < len(h) and h[a] == g[p]:
                         seeds[int(item[a]), int(copy[a])].append((p, int(q[a])))
                         a += 1
-                hits = {i for (i, c), s in seeds.items() if held(ids, texts[i, c][0].tolist(), texts[i, c][1], s) >= LEAST}
+                plain |= {ic: texts[ic][0].tolist() for ic in seeds if ic not in plain}
+                hits = {i for (i, c), s in seeds.items() if held(ids, plain[i, c], texts[i, c][1], s) >= LEAST}
                 out_d += [d] * len(hits)
                 out_i += hits
             yield pa.RecordBatch.from_arrays([pa.array(out_d, b.column(0).type), pa.array(out_i, pa.int64())], names=["doc_id", "item_id"])
@@ -250,8 +248,7 @@ def _shuffled(docs: DataFrame, ready: DataFrame, marks: DataFrame, kind: str) ->
         for b in batches:
             for d, text in zip(b.column(0), b.column(1).to_pylist()):
                 g = gram_hashes(np.array(hashes.of(text), dtype=np.uint64))
-                at = winnow(g) if len(g) else np.empty(0, dtype=np.int64)
-                arrays = [pa.array([d.as_py()] * len(at), b.column(0).type), pa.array([xxhash.xxh64_intdigest(text) >> 1] * len(at), pa.int64()), pa.array(g[at].view(np.int64)), pa.array(at.astype(np.int64))]
+                arrays = [pa.array([d.as_py()] * len(g), b.column(0).type), pa.array([xxhash.xxh64_intdigest(text) >> 1] * len(g), pa.int64()), pa.array(g.view(np.int64)), pa.array(np.arange(len(g)))]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "version", "h", "p"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -247,6 +247,20 @@ def test_shared_wording_is_no_leak(spark):
 
 
 
+def test_halves_with_a_replaced_word_and_common_phrases_are_found(spark):
+    a, b, other = [[f"{w}{n}" for n in range(40)] for w in ("alpha", "beta", "other")]
+    halves = other[:9] + a[:4] + ["new"] + a[5:10] + other[9:18] + a[20:25] + ["odd"] + a[26:30] + other[18:]
+    phrases = [b[i : i + 7] for i in range(0, 40, 7)]  # every k-gram of item 2 in another item too, none of eight words
+    items = [(1, a), (2, b)] + [(10 + i, [*p, *[f"x{i}y{n}" for n in range(9)]]) for i, p in enumerate(phrases)] + [(20 + i, [*b[i : i + 7], *[f"z{i}y{n}" for n in range(9)]]) for i in range(3, 38, 7)]
+    pieces = [w for i in range(5) for w in [*a[8 * i : 8 * i + 3], *[f"same{i}n{n}" for n in range(8)]]]  # own wording in pieces shorter than a k-gram
+    pieces += [w for i in range(5, 10) for w in [*[f"own{i}n{n}" for n in range(3)], *[f"same{i}n{n}" for n in range(8)]]]
+    items += [(3, pieces), (4, [f"same{i}n{n}" for i in range(10) for n in [*range(8), 99]])]
+    it = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    df = spark.createDataFrame([(1, " ".join(halves)), (2, " ".join(other + b)), (3, " ".join(pieces)), (4, " ".join(other))], "doc_id long, text string")
+    for block in (40, leaks.BLOCK):
+        assert sorted(map(tuple, leaks.found(df, it, block=block).collect())) == [(1, 1), (2, 2), (3, 3)]
+
+
 def test_markup_and_odd_characters_do_not_matter(spark):
     rng = random.Random(7)
     w = sentence(rng, 30)
