@@ -484,6 +484,26 @@ def test_borrowed_curvature_changes_nothing():
         assert a.strength == b.strength and np.allclose(a.beta, b.beta, atol=1e-6) and np.abs(slope).max() < 1e-5
 
 
+def test_models_that_leave_rows_out_step_together(monkeypatch):
+    """The same model as a fit of its own, though none is made unless a feature or a class is lost."""
+    rng = np.random.default_rng(7)
+    n, d = 900, 40
+    x = rng.normal(size=(n, d)) * rng.uniform(0.5, 3, d)
+    x[:, 3], x[:, 4] = 2.0, 0.0
+    x[:2, 4] = 1.0
+    y, fold, kept = (x[:, 0] + rng.normal(size=n) > 0.5).astype(float), np.arange(n) % 3, {}
+    logit.fit(x, y, fold, keep=kept)
+    leaving, single, seen = logit.Leaving(x, y, fold, kept), logit.fit, []
+    monkeypatch.setattr(logit, "fit", lambda *a: seen.append(1) or single(*a))
+    for out, alone in (([], 0), ([5], 0), ([7, 300, 301, 650], 0), (list(range(20, 40)), 0), ([0, 1], 1), (np.flatnonzero(y).tolist(), 1)):
+        seen.clear()
+        stay = np.setdiff1d(np.arange(n), out)
+        got, want = leaving.fit(out), single(x[stay], y[stay], fold[stay], kept)
+        assert len(seen) == alone and (got is None) == (want is None)
+        if want:
+            assert got.strength == want.strength and np.allclose(got.predict(x), want.predict(x), atol=1e-6)
+
+
 def test_out_of_fold_models_equal_single_fits(spark, tmp_path):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(60, 2))
