@@ -713,6 +713,70 @@ def test_folds_hold_both_classes(spark):
     assert {(r["fold"], r["label"]): r["count"] for r in got} == {(f, lab): (1 if lab else 9) for f in range(4) for lab in (0, 1)}
 
 
+@pytest.mark.parametrize("local", [10**6, 0])
+def test_folds_are_validated_together(spark, monkeypatch, local):
+    """The models of all folds come from passes over the rows, not from a fit each, and are those of single fits."""
+    rng = np.random.default_rng(9)
+    n, d = 400, 6
+    x = rng.normal(size=(n, d)) * rng.uniform(0.5, 3, d)
+    x[:, -1] = 2.0
+    y = (x[:, 0] - x[:, 1] + 2 * rng.normal(size=n) > 0.5).astype(int)
+    df = spark.createDataFrame([(f"k{i}", x[i].tolist(), int(y[i])) for i in range(n)] + [("none", None, 1)], "paper_key string, features array<double>, label int")
+    rows = df.where("features is not null").withColumnRenamed("features", "x")
+    want = {(r["test"], r["label"], round(r["p"], 6)) for r in prefmodel._singly(rows, 4, "paper_key", 10**6).collect()}
+    monkeypatch.setattr(prefmodel, "train", lambda *a: pytest.fail("a fit of its own"))
+    monkeypatch.setattr(prefmodel, "MERGED", 4)
+    got = prefmodel.cross_validate(df, folds=4, local=local)
+    told = prefmodel._jointly(rows, 4, "paper_key", local).collect()
+    near = sorted((r["test"], r["label"], r["p"]) for r in told)
+    assert len(told) == n and np.allclose([p for _, _, p in near], [p for _, _, p in sorted(want)], atol=1e-5)
+    assert got["folds"] == 4 and got["auc"] > 0.6
+    each = [np.mean([(r["p"] >= 0.5) == r["label"] for r in told if r["test"] == f]) for f in range(4)]
+    assert got["accuracy"] == pytest.approx(np.mean(each))
+
+
+@pytest.mark.parametrize("dealt", [10**6, 40, 32])
+def test_inner_folds_of_all_folds_are_dealt_at_once(spark, monkeypatch, dealt):
+    monkeypatch.setattr(prefmodel, "DEALT", dealt)
+    monkeypatch.setattr(prefmodel, "DEALERS", 3)
+    rows = spark.createDataFrame([(f"k{i}", int(i % 3 == 0)) for i in range(50)], "paper_key string, label int")
+    got, sizes = prefmodel._dealt(rows, 3, "paper_key")
+    got = {r["paper_key"]: (r["test"], r["inner"]) for r in got.collect()}
+    outer = prefmodel.fold_column(rows, 3).withColumnRenamed("fold", "test")
+    for f in range(3):
+        left = {r["paper_key"]: (r["fold"], r["label"]) for r in prefmodel.fold_column(outer.where(F.col("test") != f), 3).collect()}
+        assert left.keys() == {k for k, (t, _) in got.items() if t != f} and all(got[k][1][f] == g for k, (g, _) in left.items())
+        for g in range(-1, 3):
+            assert sizes[f, g] == tuple(sum(h != g and lab == k for h, lab in left.values()) for k in (0, 1))
+
+
+@pytest.mark.parametrize(("signal", "n"), [(0.0, 300), (1.5, 300), (1.5, 900)])
+def test_joint_models_are_those_of_single_fits(signal, n):
+    rng = np.random.default_rng(11)
+    d, folds = 60, 3
+    x = rng.normal(size=(n, d)) * rng.uniform(0.5, 3, d)
+    y = (signal * x[:, :4].sum(axis=1) + rng.logistic(size=n) > 0.5).astype(float)
+    test, inner = np.arange(n) % folds, np.full((n, folds), -1)
+    x[test != 1, 7] = 3.0  # constant for one fold's model
+    for f in range(folds):
+        inner[test != f, f] = np.arange((test != f).sum()) % 3
+    kept = {(f, g): (test != f) & ((inner[:, f] != g) if g >= 0 else True) for f in range(folds) for g in range(-1, 3)}
+    sizes = {(-1, -1): (int((y == 0).sum()), int(y.sum())), **{k: (int((y[r] == 0).sum()), int(y[r].sum())) for k, r in kept.items()}}
+
+    def look(asked):
+        flat = asked.zero()
+        asked.add(flat, x, y, test, inner)
+        return flat
+
+    got = logit.Joint(look, sizes, *logit.moments(x), np.stack([x[test != f].std(axis=0) for f in range(folds)])).fit()
+    for f, m in enumerate(got):
+        r = kept[f, -1]
+        want = logit.fit(x[r], y[r], inner[r, f])
+        same = np.setdiff1d(np.arange(d), [7]) if f == 1 else np.arange(d)
+        assert m.strength == want.strength and np.allclose(m.seen_from(want.mean, want.scale)[same], want.beta[same], atol=1e-5)
+        assert np.allclose(m.predict(x), want.predict(x), atol=1e-6)
+
+
 def test_the_shared_folder_must_be_named_on_clusters(monkeypatch, tmp_path):
     from types import SimpleNamespace
 
